@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: The white space of the word definition, [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\x0c\r"
 #: Bytes of text that one vectorised step takes at a time (a longer document is a step of its own).
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 17
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,17 +33,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out._stored_at = at
+    return out
 
 
 def drop_stored(*frames: DataFrame) -> None:
     """Deletes tables that ``stored`` wrote, once nothing will read them again."""
     for df in frames:
-        spark = df.sparkSession
-        for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-            if f.startswith(shared_dir(spark).replace("file://", "file:")) or f.startswith(shared_dir(spark)):
-                path = spark._jvm.org.apache.hadoop.fs.Path(f)
-                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def words(text: str | Column) -> Column:
@@ -61,6 +60,9 @@ def text_column(df: DataFrame, name: str = "text") -> Column:
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Blanks and ASCII punctuation: words then are runs of letters and digits.
+PUNCTUATED = _SPACE.copy()
+PUNCTUATED[[i for i in range(0x21, 0x7F) if not chr(i).isalnum()]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _BYTE = np.random.default_rng(20240101).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -107,13 +109,13 @@ def steps(column: pa.Array, most: int = STEP_BYTES) -> Iterator[tuple[int, int,
         i = j
 
 
-def hashed_words(data: np.ndarray, at: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first byte, end byte, row, 64-bit hash) of each word of the rows at[0]:at[1], at[1]:at[2]...; A-Z count as a-z if lower."""
+def hashed_words(data: np.ndarray, at: np.ndarray, lower: bool = True, blanks: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first byte, end byte, row, 64-bit hash) of each word of the rows at[0]:at[1], at[1]:at[2]...; A-Z count as a-z if lower. blanks: which bytes part words."""
     n = len(data)
     if not n:
         none = np.zeros(0, np.int64)
         return none, none, none, np.zeros(0, np.uint64)
-    blank = _SPACE[data]
+    blank = blanks[data]
     first = ~blank
     first[1:] &= blank[:-1]
     cuts = at[1:-1][(at[1:-1] > 0) & (at[1:-1] < n)]

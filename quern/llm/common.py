@@ -63,6 +63,7 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: Blanks and ASCII punctuation: words then are runs of letters and digits.
 PUNCTUATED = _SPACE.copy()
 PUNCTUATED[[i for i in range(0x21, 0x7F) if not chr(i).isalnum()]] = True
+_ALNUM = np.array([i < 128 and chr(i).isalnum() for i in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _BYTE = np.random.default_rng(20240101).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -109,12 +110,16 @@ def steps(column: pa.Array, most: int = STEP_BYTES) -> Iterator[tuple[int, int,
         i = j
 
 
-def hashed_words(data: np.ndarray, at: np.ndarray, lower: bool = True, blanks: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first byte, end byte, row, 64-bit hash) of each word of the rows at[0]:at[1], at[1]:at[2]...; A-Z count as a-z if lower. blanks: which bytes part words."""
+def hashed_words(data: np.ndarray, at: np.ndarray, lower: bool = True, blanks: np.ndarray = _SPACE, tail: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """(first byte, end byte, row, 64-bit hash, whether cut) of each word of the rows at[0]:at[1], at[1]:at[2]...; A-Z count as a-z if lower. blanks: which bytes part words.
+
+    tail: one such byte after an ASCII letter or digit is cut off a word's end, and a fifth array says where that was done.
+    Without tail, there are four arrays.
+    """
     n = len(data)
     if not n:
         none = np.zeros(0, np.int64)
-        return none, none, none, np.zeros(0, np.uint64)
+        return (none, none, none, np.zeros(0, np.uint64), np.zeros(0, bool))[: 4 if tail is None else 5]
     blank = blanks[data]
     first = ~blank
     first[1:] &= blank[:-1]
@@ -124,6 +129,10 @@ def hashed_words(data: np.ndarray, at: np.ndarray, lower: bool = True, blanks: n
     last[:-1] &= blank[1:]
     last[cuts - 1] = ~blank[cuts - 1]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    cut = np.zeros(len(start), bool)
+    if tail is not None:
+        cut = (end - start > 1) & tail[data[end - 1]] & _ALNUM[data[end - 2]]
+        end = end - cut
     power, inverse = _powers(n + 1)
     with np.errstate(over="ignore"):
         total = np.zeros(n + 1, np.uint64)
@@ -131,4 +140,4 @@ def hashed_words(data: np.ndarray, at: np.ndarray, lower: bool = True, blanks: n
         value = (total[end] - total[start]) * inverse[start]
         value = mix(value + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     row = np.searchsorted(at, start, "right") - 1
-    return start, end, row, value
+    return (start, end, row, value) if tail is None else (start, end, row, value, cut)

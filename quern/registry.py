@@ -33,3 +33,14 @@ def sql_query(name: str, oracle: str, text: str | None = None, tables: tuple[str
         return spark.sql((text or oracle).format(**{t: "{" + t + "}" for t in tables}), **frames)
 
     return query(name, oracle.format(**{t: t for t in tables}))(run)
+
+
+def _register() -> None:
+    from quern.functions import scalars, udf  # noqa: F401
+    from quern.operators import aggregates, joins, windows  # noqa: F401
+    from quern.plans import sql  # noqa: F401
+    from quern.sources import io  # noqa: F401
+    from quern.streaming import events  # noqa: F401
+
+
+_register()

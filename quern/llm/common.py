@@ -1,50 +1,24 @@
-"""What the operators share: intermediate tables, words as the contracts define them, and vectorised hashing of words."""
+"""What the operators share: words as the contracts define them, and vectorised hashing of words."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.storage import drop_stored, stored
+
+__all__ = ["BLANKS", "PUNCTUATED", "STEP_BYTES", "drop_stored", "hashed_words", "mix", "steps", "stored", "string_buffers", "text_column", "words"]
+
 #: The white space of the word definition, [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\x0c\r"
 #: Bytes of text that one vectorised step takes at a time (a longer document is a step of its own).
 STEP_BYTES = 1 << 17
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir. A temporary one only where that is unset, as in tests."""
-    if at := spark.conf.get("spark.checkpoint.dir", None):
-        return at.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    at = "file://" + tempfile.mkdtemp(prefix="quern-")
-    spark.conf.set("spark.checkpoint.dir", at)
-    return at
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet under the shared folder and reads it back: cuts lineage, survives lost executors, and is computed once."""
-    spark = df.sparkSession
-    at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    out = spark.read.schema(df.schema).parquet(at)
-    out._stored_at = at
-    return out
-
-
-def drop_stored(*frames: DataFrame) -> None:
-    """Deletes tables that ``stored`` wrote, once nothing will read them again."""
-    for df in frames:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stored_at)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def words(text: str | Column) -> Column:
     """The words [^\\x20\\x09-\\x0D]+ of a text, in order; null gives an empty array."""
     trimmed = F.btrim(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), F.lit(BLANKS))

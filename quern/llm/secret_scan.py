@@ -6,7 +6,7 @@ base36, base62 or base64), its characters are numbered in that alphabet, and thr
 chi-squared over the alphabet, runs above and below the middle, and serial correlation of neighbours. A run must not fail
 them. What is reported is decided the other way round: the null hypothesis is language, whose letters are so uneven that
 chi-squared grows with the length (noncentrality of SKEW a character), so a short run can hardly refute it and a
-long one can. The p-values of that test go through Benjamini-Hochberg at level FALSE_DISCOVERY over all runs of the input;
+long one can; and whose letters leave a small alphabet soon (all stay within a-f with chance HEX_LETTERS each). The p-values of that test go through Benjamini-Hochberg at level FALSE_DISCOVERY over all runs of the input;
 their ranks come from a histogram of STEPS a factor of e, so nothing is sorted or gathered.
 """
 
@@ -31,6 +31,8 @@ LEAST_RANDOM = 1e-4
 STEPS = 20
 #: Noncentrality of chi-squared for each character of language in an alphabet of k: k * 0.066 - 1, from English letter frequencies.
 SKEW = 0.066
+#: Share of a-f among the letters of English text.
+HEX_LETTERS = 0.317
 ALPHABETS = {
     "hex": "0123456789abcdef",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
@@ -115,7 +117,7 @@ def tested(runs: DataFrame) -> DataFrame:
             "p_uniform": _upper_tail(cube),
             "p_runs": 2 * _upper_tail(F.abs((F.col("flips") - (F.col("n") + 1) / 2) / F.sqrt((F.col("n") - 1) / 4))),
             "p_serial": 2 * _upper_tail(F.abs(F.col("product") / (variance * F.sqrt(F.col("n") - 1)))),
-            "p_language": _upper_tail(-(F.col("chi") - free - skew) / F.sqrt(2 * free + 4 * skew)),
+            "p_language": _upper_tail(-(F.col("chi") - free - skew) / F.sqrt(2 * free + 4 * skew)) * F.when(F.col("encoding") == "hex", F.pow(F.lit(HEX_LETTERS), F.length(F.translate("v", "0123456789", "")))).otherwise(1.0),
         }
     )
     return df.select("row", "start", "end", "value", "encoding", "p_uniform", "p_runs", "p_serial", "p_language")
@@ -147,8 +149,10 @@ def secret_spans(docs: DataFrame) -> DataFrame:
     tests = stored(tested(runs.filter(F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]"))), "tests")
     added = discoveries(tests).groupBy("row").agg(F.collect_list(F.struct(F.col("start"), F.lit(KINDS.index("random")).alias("kind"), F.col("end"), F.lit("").alias("value"))).alias("random"))
     none = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
-    base = F.array_sort(F.concat("assign", "access", "hex"))
-    return found.join(added, "row", "left").select("doc_id", "row", base.alias("base"), F.array_sort(F.concat("assign", "access", "hex", F.coalesce("random", none))).alias("spans"))
+    met = found.join(added, "row", "left").select("doc_id", "row", F.array_sort(F.concat("assign", "access", "hex")).alias("base"), F.coalesce("random", none).alias("random"))
+    # A run within a base span is reported already.
+    new = F.filter("random", lambda x: ~F.exists("base", lambda b: (b["start"] <= x["start"]) & (b["end"] >= x["end"])))
+    return met.select("doc_id", "row", "base", F.array_sort(F.concat(F.col("base"), new)).alias("spans"))
 
 
 def joined(spans: str) -> Column:

@@ -6,6 +6,8 @@ apart by doc_id and, where a verdict depends on the text, by the text's hash, so
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +24,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def _without(docs: DataFrame, gone: DataFrame, key: list[F.Column]) -> DataFrame:
     """The rows of docs whose key isn't a row of gone; the key's columns in the order of gone's, null equal to null."""
-    names = [f"gone_{i}" for i in range(len(key))]
+    names = [f"_gone_{uuid.uuid4().hex}" for _ in key]  # no column of docs has such a name
     met = [k.eqNullSafe(F.col(n)) for k, n in zip(key, names, strict=True)]
     cond = met[0]
     for m in met[1:]:

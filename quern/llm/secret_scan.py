@@ -13,6 +13,7 @@ their ranks come from a histogram of STEPS a factor of e, so nothing is sorted o
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -177,11 +178,13 @@ def redact(docs: DataFrame) -> DataFrame:
     """docs with every secret's span in text replaced by MARK; overlapping spans become one mark. Other columns and rows stay."""
     own = F.xxhash64("text")
     found = secret_spans(docs.select(F.struct("doc_id", own.alias("own")).alias("doc_id"), "text")).filter(F.size("spans") > 0)
-    found = stored(found.select(F.col("doc_id.doc_id").alias("key_id"), F.col("doc_id.own").alias("key_own"), F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias("spans")).dropDuplicates(["key_id", "key_own"]), "secrets")
-    met = docs.join(found, docs["doc_id"].eqNullSafe(found["key_id"]) & (own == found["key_own"]), "left")
+    key_id, key_own, marks = (f"_redact_{uuid.uuid4().hex}" for _ in range(3))  # no column of docs has such a name
+    ends = F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
+    found = stored(found.select(F.col("doc_id.doc_id").alias(key_id), F.col("doc_id.own").alias(key_own), ends.alias(marks)).dropDuplicates([key_id, key_own]), "secrets")
+    met = docs.join(found, docs["doc_id"].eqNullSafe(found[key_id]) & (own == found[key_own]), "left")
     text = F.col("text")
     rewritten = F.aggregate(
-        "spans",
+        marks,
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda s, x: F.struct(
             F.greatest(s["at"], x["end"]).alias("at"),
@@ -189,4 +192,4 @@ def redact(docs: DataFrame) -> DataFrame:
         ),
         lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))),
     )
-    return met.withColumn("text", F.when(F.col("spans").isNull(), text).otherwise(rewritten)).select(*docs.columns)
+    return met.withColumn("text", F.when(F.col(marks).isNull(), text).otherwise(rewritten)).select(*docs.columns)

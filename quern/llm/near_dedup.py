@@ -6,20 +6,24 @@ T rounds choose coordinates by hash, the next T rounds go to one coordinate each
 set's size, and rounds stop as soon as all are. Two sketches agree in a coordinate with the sets' Jaccard similarity as
 probability, and the mean over coordinates is at least as concentrated as that of T independent ones.
 
-Candidates are found by bands of ROWS coordinates: a pair at similarity 0.75 shares no band with probability
-(1 - 0.75**4)**32 = 5e-6. Documents with equal sets are one class first. In a bucket every class is checked against the
-bucket's least class only; buckets that then still hold more than one component are compared across components, large ones
-after they are split again by every other band. So a group of n copies costs about n checks, not n squared, and no
-bucket is capped. Links are confirmed on the full sets.
+Candidates are found by BANDS bands of ROWS coordinates: a pair at similarity 0.75 shares no band with probability
+(1 - 0.75**4)**32 = 5e-6. Documents with equal sets are one class first. In every bucket that holds more than one component,
+the classes of other components than its pivot's are checked against the pivot; STAR_ROUNDS such rounds with changing
+pivots join almost all of a group of copies at a cost in proportion to its size. What is then still apart within a bucket is
+compared in blocks of classes, whose sketches are matched as arrays: no pair becomes a row unless its sketches
+agree enough, its components differ, and the bucket is the first that the two share. Of these pairs each class's nearest
+ones to each other component are verified first, then all that still lie across components. No bucket is capped, and
+links are confirmed on the full sets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.common import drop_stored, hashed_words, mix, steps, stored, text_column
@@ -28,11 +32,13 @@ from quern.llm.components import components
 SHINGLE = 5
 SIMILARITY_PERCENT = 75
 BANDS, ROWS = 32, 4
-T = BANDS * ROWS
-#: A pair is verified if at least so many of the T coordinates agree in 8 bits; at similarity 0.75 fewer agree with probability 1e-6.
-LEAST_AGREE = 72
-#: A bucket with more classes than this is split by every other band before it is compared across components.
-WIDE_BUCKET = 64
+#: Coordinates of a sketch; the bands use the first BANDS * ROWS.
+T = 256
+#: A pair is verified if at least so many of the T coordinates agree in 8 bits; at similarity 0.75 fewer agree with probability 1e-5.
+LEAST_AGREE = 160
+STAR_ROUNDS = 3
+#: Classes in a block, on average; pairs that each class has verified first with each other component.
+BLOCK_CLASSES, NEAREST = 128, 4
 #: Cells of one (rounds x shingles) block of the sketch.
 _BLOCK = 4096
 
@@ -76,29 +82,32 @@ def sketch(items: np.ndarray) -> np.ndarray:
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     salt = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
     for batch in batches:
-        n, keys, sig, bands, lengths = [], [], [], [], []
+        n, keys, sig, bands, low, lengths = [], [], [], [], [], []
         for items in shingle_sets(batch.column("text")):
             n.append(len(items))
             if len(items):
                 s = sketch(items)
                 with np.errstate(over="ignore"):
-                    rows = mix(s).reshape(BANDS, ROWS)
+                    rows = mix(s[: BANDS * ROWS]).reshape(BANDS, ROWS)
                     bands.append(mix((rows * _MULTIPLIER[:ROWS]).sum(1, dtype=np.uint64) ^ salt))
+                low.append(bands[-1].astype(np.uint32).tobytes())
+                with np.errstate(over="ignore"):
                     one, two = mix(items ^ _SEED[0]).sum(dtype=np.uint64), np.bitwise_xor.reduce(mix(items ^ _SEED[1]))
                 keys.append(int(one).to_bytes(8, "big") + int(two).to_bytes(8, "big"))
                 sig.append((mix(s) & np.uint64(255)).astype(np.uint8).tobytes())
             else:
                 keys.append(None)
                 sig.append(None)
+                low.append(None)
             lengths.append(BANDS if len(items) else 0)
         flat = np.concatenate(bands).view(np.int64) if bands else np.zeros(0, np.int64)
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(flat))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sig, pa.binary()), lists], ["doc_id", "n_shingles", "set_key", "sig", "bands"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sig, pa.binary()), pa.array(low, pa.binary()), lists], ["doc_id", "n_shingles", "set_key", "sig", "low", "bands"])
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_key (equal for equal sets), sig (8 bits of each coordinate) and bands of every document."""
-    return docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), text_column(docs).alias("text")).mapInArrow(_sketched, "doc_id bigint, n_shingles bigint, set_key binary, sig binary, bands array<bigint>")
+    """doc_id, n_shingles, set_key (equal for equal sets), sig (8 bits of each coordinate), bands and low (32 bits of each) of every document."""
+    return docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), text_column(docs).alias("text")).mapInArrow(_sketched, "doc_id bigint, n_shingles bigint, set_key binary, sig binary, low binary, bands array<bigint>")
 
 
 def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,26 +150,98 @@ def _comparable(a: str, b: str) -> F.Column:
     return 100 * F.least(a, b) >= SIMILARITY_PERCENT * F.greatest(a, b)
 
 
-def _across(members: DataFrame, classes: DataFrame, label: DataFrame) -> DataFrame:
-    """Pairs of classes that share a bucket but not yet a component."""
-    now = members.select("key", "rep", "n").join(label.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("c"))
-    done = []
-    for level in range(3):
-        open_keys = now.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("size")).filter("low <> high")
-        now = stored(now.join(open_keys.select("key", "size"), "key"), "open")
-        done.append(now)
-        if level == 2 or now.filter(F.col("size") > WIDE_BUCKET).isEmpty():
+def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs between two blocks of a bucket that may be links across components and have no earlier bucket in common."""
+    for batch in batches:
+        out = [[], [], [], [], []]
+        for k in range(batch.num_rows):
+            band, same = batch.column("band")[k].as_py(), batch.column("same")[k].as_py()
+            side = []
+            for name in ("x", "y"):
+                block = batch.column(name)[k].values
+                rep, n, c = (block.field(f).to_numpy(zero_copy_only=False) for f in ("rep", "n", "c"))
+                sig, low = (b"".join(block.field(f).to_pylist()) for f in ("sig", "low"))
+                side.append((rep, n, c, np.frombuffer(sig, np.uint8).reshape(-1, T), np.frombuffer(low, np.uint32).reshape(-1, BANDS)))
+            (rep, n, c, sig, low), (rep2, n2, c2, sig2, low2) = side
+            for i in range(len(rep)):
+                ok = (c2 != c[i]) & (100 * np.minimum(n2, n[i]) >= SIMILARITY_PERCENT * np.maximum(n2, n[i]))
+                if same:
+                    ok &= rep2 > rep[i]
+                at = np.flatnonzero(ok)
+                if not len(at):
+                    continue
+                at = at[(low2[at] == low[i]).argmax(1) == band]
+                agree = (sig2[at] == sig[i]).sum(1)
+                at, agree = at[agree >= LEAST_AGREE], agree[agree >= LEAST_AGREE]
+                for column, value in zip(out, (np.full(len(at), rep[i]), np.full(len(at), c[i]), rep2[at], c2[at], agree), strict=True):
+                    column.append(value)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in out], ["a", "ca", "b", "cb", "agree"])
+
+
+def _across(now: DataFrame, classes: DataFrame) -> DataFrame:
+    """Likely links (a, ca, b, cb, agree) between classes that share a bucket but no component. now: key, band, rep, n, c of open buckets."""
+    sizes = now.groupBy("key").agg(F.count("*").alias("size"))
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK_CLASSES))
+    placed = now.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("rep"), blocks)).drop("size").join(classes.select("rep", "sig", "low"), "rep")
+    packed = stored(placed.groupBy("key", "band", "block").agg(F.collect_list(F.struct("rep", "n", "c", "sig", "low")).alias("x")), "blocks")
+    other = packed.select("key", F.col("block").alias("block2"), F.col("x").alias("y"))
+    met = packed.join(other, "key").filter("block <= block2 AND (block < block2 OR size(x) > 1)").select("band", (F.col("block") == F.col("block2")).alias("same"), "x", "y")
+    pairs = stored(met.mapInArrow(_matched, "a bigint, ca bigint, b bigint, cb bigint, agree bigint"), "across")
+    drop_stored(packed)
+    return pairs
+
+
+def _nearest(pairs: DataFrame) -> DataFrame:
+    """Of the pairs of each class with each other component, the NEAREST that agree most."""
+
+    def best(own: str, other: str, theirs: str) -> DataFrame:
+        order = Window.partitionBy(own, theirs).orderBy(F.desc("agree"), other)
+        return pairs.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= NEAREST).select("a", "b")
+
+    return best("a", "b", "cb").union(best("b", "a", "ca")).distinct()
+
+
+def _labelled(rows: DataFrame, label: DataFrame | None, rep: str, c: str) -> DataFrame:
+    """rows with the component of a class, the class itself where it has no link yet."""
+    if label is None:
+        return rows.withColumn(c, F.col(rep))
+    return rows.join(label.select(F.col("node").alias(rep), F.col("component").alias("_c")), rep, "left").withColumn(c, F.coalesce("_c", rep)).drop("_c")
+
+
+def _class_components(classes: DataFrame, base: DataFrame) -> DataFrame | None:
+    """(node, component) of the classes that have links, None if there is none."""
+    banded = classes.select("rep", "n", F.posexplode("bands").alias("band", "key"))
+    shared = banded.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    members = stored(banded.join(shared.select("key"), "key", "left_semi").select("key", "band", "rep", "n"), "members")
+    links, label = [], None
+
+    def relabelled(found: DataFrame) -> DataFrame | None:
+        links.append(found)
+        if found.isEmpty():
+            return label
+        every = reduce(DataFrame.union, links).select(F.col("a").alias("u"), F.col("b").alias("v"))
+        return stored(components(every), "labels")
+
+    for turn in range(STAR_ROUNDS + 1):
+        named = stored(_labelled(members, label, "rep", "c"), "named")
+        order = F.col("rep") if turn == 0 else F.xxhash64("rep", "key", F.lit(turn))
+        keys = named.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min(F.struct(order.alias("o"), "rep", "n", "c")).alias("p")).filter("low <> high")
+        met = stored(named.join(keys.select("key", "p"), "key"), "open")
+        drop_stored(members, named)
+        members = met.select("key", "band", "rep", "n")
+        members._stored_at = met._stored_at
+        if met.isEmpty():
+            return label
+        if turn == STAR_ROUNDS:
             break
-        wide = now.filter(F.col("size") > WIDE_BUCKET).join(classes.select("rep", "bands"), "rep")
-        done[-1] = now.filter(F.col("size") <= WIDE_BUCKET)
-        wide = wide.select("key", "rep", "n", "c", F.explode("bands").alias("band")).filter("band <> key")
-        now = wide.select(F.xxhash64("key", "band").alias("key"), "rep", "n", "c")
-    found = None
-    for x in done:
-        y = x.select("key", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("c").alias("d"))
-        pairs = x.join(y, "key").filter((F.col("rep") < F.col("b")) & (F.col("c") != F.col("d")) & _comparable("n", "m")).select(F.col("rep").alias("a"), "b")
-        found = pairs if found is None else found.union(pairs)
-    return found.distinct()
+        star = met.filter((F.col("c") != F.col("p.c")) & _comparable("n", "p.n")).select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b")).distinct()
+        label = relabelled(_links(star, classes, base))
+    rest = _across(met.drop("p"), classes)
+    label = relabelled(_links(_nearest(rest), classes, base))
+    apart = _labelled(_labelled(rest.select("a", "b"), label, "a", "ca"), label, "b", "cb").filter("ca <> cb").select("a", "b")
+    label = relabelled(_links(apart, classes, base))
+    drop_stored(met, rest)
+    return label
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -177,20 +258,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     if base._repeated:  # the same id with other texts: such texts are only classed with equal ones
         odd = filled.groupBy("doc_id").agg(F.min("set_key").alias("lo"), F.max("set_key").alias("hi")).filter("lo <> hi").select("doc_id")
         filled = filled.join(odd, "doc_id", "left_anti")
-    member = filled.groupBy("set_key").agg(F.min(F.struct("doc_id", "n_shingles", "sig", "bands")).alias("x"))
-    classes = stored(member.select("set_key", F.col("x.doc_id").alias("rep"), F.col("x.n_shingles").alias("n"), "x.sig", "x.bands"), "classes")
-    banded = classes.select("rep", "n", F.explode("bands").alias("key"))
-    shared = banded.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("pivot"), F.count("*").alias("size")).filter("size > 1")
-    members = stored(banded.join(shared, "key").select("key", "rep", "n", "pivot"), "members")
-    star = members.filter((F.col("rep") != F.col("pivot.rep")) & _comparable("n", "pivot.n")).select(F.col("pivot.rep").alias("a"), F.col("rep").alias("b")).distinct()
-    first = _links(star, classes, base)
-    label = stored(components(first.select(F.col("a").alias("u"), F.col("b").alias("v"))), "labels")
-    second = _links(_across(members, classes, label), classes, base)
-    if not second.isEmpty():
-        every = first.union(second).select(F.col("a").alias("u"), F.col("b").alias("v"))
-        label = stored(components(every), "labels")
-    drop_stored(members, first, second)
-    least = classes.select("set_key", "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
+    member = filled.groupBy("set_key").agg(F.min(F.struct("doc_id", "n_shingles", "sig", "low", "bands")).alias("x"))
+    classes = stored(member.select("set_key", F.col("x.doc_id").alias("rep"), F.col("x.n_shingles").alias("n"), "x.sig", "x.low", "x.bands"), "classes")
+    label = _class_components(classes, base)
+    least = _labelled(classes.select("set_key", "rep"), label, "rep", "component").select("set_key", "component")
     out = all_sketches.select("doc_id", "n_shingles", "set_key").join(least, "set_key", "left")
     component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

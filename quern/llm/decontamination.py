@@ -3,7 +3,7 @@
 Texts and benchmark items are sequences of lower-cased words (runs of letters and digits). A document is contaminated by an
 item if some stretch of it is within MOST_EDITS of the item's words, counted as word insertions, deletions and
 substitutions. Windows of item size start at every word: item lengths are rounded down to a ladder of sizes, and an item
-is known by its first and its last window of that size. An edit breaks at most two pairs of neighbouring words, so a window
+is known by its first and its last window of that size, a long one also by those between. An edit breaks at most two pairs of neighbouring words, so a window
 can only qualify if enough of its pairs occur in items of its size at all, which a running count tells; the
 others go no further.
 
@@ -30,6 +30,8 @@ MOST_EDITS = 0.2
 REPEATS, SAMPLED = 24, 4
 STRETCH = 2
 LEAST_ITEM = 8
+#: Longer items are known by windows of this size side by side, one of which has no more than its share of the edits.
+MOST_WINDOW = 128
 #: Items in one broadcast index: at most 2 * REPEATS * 16 bytes and their words each. A larger benchmark is searched in blocks.
 BLOCK_ITEMS = 20_000
 _PAD = np.uint64(0)
@@ -37,9 +39,9 @@ _WINDOWS_AT_ONCE = 1 << 12
 
 
 def ladder(n: int) -> int:
-    """The largest window size that is at most n: 8, 10, 12, 15, ... each a quarter above the last."""
+    """The largest window size that is at most n: 8, 10, 12, 15, ... each a quarter above the last, up to MOST_WINDOW."""
     size = LEAST_ITEM
-    while size * 5 // 4 <= n:
+    while size * 5 // 4 <= min(n, MOST_WINDOW):
         size = size * 5 // 4
     return size
 
@@ -109,7 +111,7 @@ def build_index(ids: list[int], texts: list[str | None]) -> Index:
     keys, owner, shift = [], [], []
     for k, words in enumerate(items):
         size = ladder(len(words))
-        for at in {0, len(words) - size}:
+        for at in sorted({*range(0, len(words) - size + 1, size), len(words) - size}):
             keys += embed(words[None, at : at + size])[:, 0].tolist()
             owner += [k] * REPEATS
             shift += [at] * REPEATS
@@ -192,7 +194,8 @@ def search(index: Index, data: np.ndarray, at: np.ndarray) -> Iterator[tuple[int
                 continue
             inside = min(max(p + len(item) // 2, 0), len(word) - 1)
             r = int(row[inside])
-            low, high = max(int(bounds[r]), p - len(item)), min(int(bounds[r + 1]), p + 2 * len(item) + most)
+            reach = 2 * most + 2
+            low, high = max(int(bounds[r]), p - reach), min(int(bounds[r + 1]), p + len(item) + reach)
             done = p + len(item) - most
             distance, first, end = infix_distance(item, word[low:high])
             if distance <= most:

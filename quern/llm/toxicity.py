@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import PUNCTUATED, hashed_words, mix, steps, text_column
+from quern.llm.common import PUNCTUATED, STEP_BYTES, hashed_words, mix, steps, text_column
 
 WINDOW, STRIDE = 32, 16
 HIDDEN, WORD_DIM, CHAR_DIM, ATTEND = 8, 6, 6, 8
@@ -40,7 +40,14 @@ class Words:
     """The words of some texts: row of each, and for the distinct ones their hash and n-gram buckets in compressed rows."""
 
     def __init__(self, data: np.ndarray, at: np.ndarray):
-        start, end, self.row, value = hashed_words(data, at, blanks=PUNCTUATED)
+        parts = []
+        i = 0
+        while i < len(at) - 1:  # a run of rows at a time: the hashes take many times the memory of the bytes
+            j = max(i + 1, int(np.searchsorted(at, at[i] + STEP_BYTES, "right")) - 1)
+            start, end, row, value = hashed_words(data[at[i] : at[j]], at[i : j + 1] - at[i], blanks=PUNCTUATED)
+            parts.append((start + at[i], end + at[i], row + i, value))
+            i = j
+        start, end, self.row, value = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else hashed_words(data, at)
         self.hash, first, self.which = np.unique(value, return_index=True, return_inverse=True)
         self.bounds = np.searchsorted(self.row, np.arange(len(at)))
         self.grams, self.gram_at = _grams(data, start[first], end[first])
@@ -186,7 +193,11 @@ def _log_odds(doc: np.ndarray, item: np.ndarray, toxic: np.ndarray, n: int) -> t
     doc, item = pair // n, pair % n
     yes = np.bincount(item, weights=toxic[doc], minlength=n)
     no = np.bincount(item, weights=1 - toxic[doc], minlength=n)
-    return np.clip(np.log((yes + 0.5) / (toxic.sum() + 1)) - np.log((no + 0.5) / (len(toxic) - toxic.sum() + 1)), -3, 3), yes + no
+    return _odds(yes, no, toxic), yes + no
+
+
+def _odds(yes: np.ndarray, no: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    return np.clip(np.log((yes + 0.5) / (toxic.sum() + 1)) - np.log((no + 0.5) / (len(toxic) - toxic.sum() + 1)), -3, 3)
 
 
 def train(texts: list[str], toxic: np.ndarray, share: float) -> Network:
@@ -206,12 +217,18 @@ def train(texts: list[str], toxic: np.ndarray, share: float) -> Network:
     net = Network(words.hash[chosen])
     net.p["word"][1:, 0] = odds[chosen]
     n = np.diff(words.gram_at)
-    # Documents of each distinct word, spread over its n-grams.
+    # Documents of each distinct word, spread over its n-grams, some documents at a time.
     pair = np.unique(words.row[fit] * len(n) + words.which[fit])
-    doc_of, word_of = pair // max(1, len(n)), pair % max(1, len(n))
-    times = n[word_of]
-    gram = words.grams[np.repeat(words.gram_at[:-1][word_of], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
-    net.p["char"][:, 0] = _log_odds(np.repeat(doc_of, times), gram, toxic, BUCKETS)[0]
+    yes, no = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for k in range(0, len(texts), 100):
+        some = pair[np.searchsorted(pair, k * len(n)) : np.searchsorted(pair, (k + 100) * len(n))]
+        doc_of, word_of = some // max(1, len(n)), some % max(1, len(n))
+        times = n[word_of]
+        gram = words.grams[np.repeat(words.gram_at[:-1][word_of], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
+        held = np.unique(np.repeat(doc_of, times) * BUCKETS + gram)
+        yes += np.bincount(held % BUCKETS, weights=toxic[held // BUCKETS], minlength=BUCKETS)
+        no += np.bincount(held % BUCKETS, weights=1 - toxic[held // BUCKETS], minlength=BUCKETS)
+    net.p["char"][:, 0] = _odds(yes, no, toxic)
     start, end, row = windows(words.bounds)
     ids, rng = net.ids(words.hash), np.random.default_rng(6)
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}

@@ -1,0 +1,69 @@
+"""The JSON tree reader on a tree written here."""
+
+from pathlib import Path
+
+import pytest
+
+from quern.sources import json_tree
+
+FILES = {
+    "Config/Ability/Avatar_One_Ability.json": '{\n  "AbilityList": []\n}',
+    "Config/Ability/Avatar_One_Ability.layout.json": '{\n  "Layouts": []\n}',
+    "Config/Ability/Avatar_Two_Ability.layout.json": '{\n  "Layouts": []\n}',
+    "Config/AI/Monster_Groups.json": '{\n  "GroupsMap": {}\n}',
+    "Config/AI/Monster_Full.json": '{"GroupsMap": {"a": 1, "b": {"c": []}}}',
+    "Config/AI/List_Full.json": '{"GroupsMap": [5, "x"]}',
+    "Config/Level/Text_Type.json": '{\n  "Type": "Mission"\n}',
+    "Config/Level/Number_Type.json": '{\n  "Type": -1\n}',
+    "Config/Device/Empty.json": "{}",
+    "Tables/None.json": "[]",
+}
+
+
+@pytest.fixture(scope="module")
+def root(tmp_path_factory) -> str:
+    at = tmp_path_factory.mktemp("tree")
+    for name, body in FILES.items():
+        path = Path(at) / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text(body)
+    return str(at)
+
+
+@pytest.fixture(scope="module")
+def tree(spark, root):
+    return json_tree.scan_tree(spark, root)
+
+
+def test_every_file_is_one_row(tree):
+    rows = {r.path: r for r in tree.drop("body").collect()}
+    assert set(rows) == set(FILES)
+    one = rows["Config/Ability/Avatar_One_Ability.layout.json"]
+    assert (one.domain, one.folder, one.entity, one.purpose, one.kind, one.stem) == ("Config", "Config/Ability", "Avatar", "Ability", "layout", "Config/Ability/Avatar_One_Ability")
+
+
+def test_companions(tree):
+    assert {r.stem.split("_")[1]: r.has_base for r in json_tree.companions(tree).collect()} == {"One": True, "Two": False}
+    assert [r.name for r in json_tree.with_layout(tree).collect()] == ["Avatar_One_Ability.json"]
+    assert json_tree.without_layout(tree).count() == 7
+
+
+def test_shapes_keep_empty_containers(tree):
+    got = {r.text: (r.shape, r.files, r["keys"]) for r in json_tree.shapes(tree).collect()}
+    assert got['{"GroupsMap":{}}'][2] == ["GroupsMap"] and got['{"Layouts":[]}'] == ("OBJECT<Layouts: ARRAY<VOID>>", 2, ["Layouts"]) and "[]" in got and "{}" in got
+
+
+def test_profile_has_subtotals(tree):
+    got = {(r.domain, r.kind): (r.files, r.bodies) for r in json_tree.profile(tree).collect()}
+    assert got[None, None] == (10, 9) and got["Config", "layout"] == (2, 1) and got["Tables", None] == (1, 1)
+
+
+def test_entries_and_scalars(tree):
+    got = {(r.path.split("/")[-1], r.name) for r in json_tree.entries(tree, "GroupsMap").drop("entry").collect()}
+    assert got == {("Monster_Full.json", "a"), ("Monster_Full.json", "b"), ("List_Full.json", None)}
+    rows = {r.path: (r.number, r.word) for r in tree.select("path", json_tree.scalar("Type", "bigint").alias("number"), json_tree.scalar("Type", "string").alias("word")).collect()}
+    assert rows["Config/Level/Number_Type.json"][0] == -1 and rows["Config/Level/Text_Type.json"] == (None, "Mission")
+
+
+def test_empty_array_file_has_no_rows(spark, root):
+    assert json_tree.scan_array(spark, root + "/Tables/None.json", "id bigint").count() == 0

@@ -9,6 +9,7 @@ from quern.llm.decontamination import contaminated
 from quern.llm.html_extract import extract
 from quern.llm.lm_score import lm_scores
 from quern.llm.near_dedup import near_duplicates
+from quern.llm.oracles import NEAR_DEDUP, QUALITY_RULES
 from quern.llm.quality_rules import quality_rules
 from quern.llm.secret_scan import secret_scan
 from quern.llm.source_mix import mix_sources
@@ -17,7 +18,7 @@ from quern.llm.toxicity import toxicity
 from quern.sources.tables import load
 
 QUERIES = {}
-ORACLES = {}
+ORACLES = {"op4_near_dedup": NEAR_DEDUP, "op7_quality_rules": QUALITY_RULES}
 
 
 def query(f):

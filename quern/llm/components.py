@@ -22,23 +22,28 @@ def _toward_minimum(pairs: DataFrame, larger_only: bool) -> DataFrame:
     return met.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
 
 
+def _settled(now: DataFrame) -> bool:
+    """Whether every node above the least of its component is linked to that one alone."""
+    if not now.join(now.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
+        return False
+    return now.groupBy("u").count().filter("count > 1").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges (u, v); component is the least node reachable. Nodes without an edge have no row.
 
     Every round is written to the shared folder; the number of edges never grows. Null ends and loops are ignored.
     """
     now = stored(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    mark = F.struct(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v") % 1000003)).alias("m")
-    seen = now.agg(mark).first().m
     for _ in range(MOST_ROUNDS):
+        if _settled(now):
+            break
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _toward_minimum(both, True).filter("u <> v").distinct()
         small = _toward_minimum(large, False).filter("u <> v").distinct()
         after = stored(small, "edges")
         drop_stored(now)
-        now, before, seen = after, seen, after.agg(mark).first().m
-        if before == seen:
-            break
+        now = after
     else:
         raise RuntimeError("components did not converge")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())

@@ -19,11 +19,12 @@ links are confirmed on the full sets.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.llm.common import drop_stored, hashed_words, mix, steps, stored, text_column
@@ -39,6 +40,8 @@ LEAST_AGREE = 160
 STAR_ROUNDS = 3
 #: Classes in a block, on average; pairs that each class has verified first with each other component.
 BLOCK_CLASSES, NEAREST = 128, 4
+#: Rows of an Arrow batch: a batch is held in the JVM and in Python at once.
+BATCH_ROWS = 1000
 #: Cells of one (rounds x shingles) block of the sketch.
 _BLOCK = 4096
 
@@ -82,7 +85,7 @@ def sketch(items: np.ndarray) -> np.ndarray:
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     salt = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
     for batch in batches:
-        n, keys, sig, bands, low, lengths = [], [], [], [], [], []
+        n, keys, sig, bands, lengths = [], [], [], [], []
         for items in shingle_sets(batch.column("text")):
             n.append(len(items))
             if len(items):
@@ -90,7 +93,6 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 with np.errstate(over="ignore"):
                     rows = mix(s[: BANDS * ROWS]).reshape(BANDS, ROWS)
                     bands.append(mix((rows * _MULTIPLIER[:ROWS]).sum(1, dtype=np.uint64) ^ salt))
-                low.append(bands[-1].astype(np.uint32).tobytes())
                 with np.errstate(over="ignore"):
                     one, two = mix(items ^ _SEED[0]).sum(dtype=np.uint64), np.bitwise_xor.reduce(mix(items ^ _SEED[1]))
                 keys.append(int(one).to_bytes(8, "big") + int(two).to_bytes(8, "big"))
@@ -98,16 +100,15 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             else:
                 keys.append(None)
                 sig.append(None)
-                low.append(None)
             lengths.append(BANDS if len(items) else 0)
         flat = np.concatenate(bands).view(np.int64) if bands else np.zeros(0, np.int64)
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(flat))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sig, pa.binary()), pa.array(low, pa.binary()), lists], ["doc_id", "n_shingles", "set_key", "sig", "low", "bands"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sig, pa.binary()), lists], ["doc_id", "n_shingles", "set_key", "sig", "bands"])
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_key (equal for equal sets), sig (8 bits of each coordinate), bands and low (32 bits of each) of every document."""
-    return docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), text_column(docs).alias("text")).mapInArrow(_sketched, "doc_id bigint, n_shingles bigint, set_key binary, sig binary, low binary, bands array<bigint>")
+    """doc_id, n_shingles, set_key (equal for equal sets), sig (8 bits of each coordinate) and bands of every document."""
+    return docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), text_column(docs).alias("text")).mapInArrow(_sketched, "doc_id bigint, n_shingles bigint, set_key binary, sig binary, bands array<bigint>")
 
 
 def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,9 +161,9 @@ def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for name in ("x", "y"):
                 block = batch.column(name)[k].values
                 rep, n, c = (block.field(f).to_numpy(zero_copy_only=False) for f in ("rep", "n", "c"))
-                sig, low = (b"".join(block.field(f).to_pylist()) for f in ("sig", "low"))
-                side.append((rep, n, c, np.frombuffer(sig, np.uint8).reshape(-1, T), np.frombuffer(low, np.uint32).reshape(-1, BANDS)))
-            (rep, n, c, sig, low), (rep2, n2, c2, sig2, low2) = side
+                bands = block.field("bands").flatten().to_numpy(zero_copy_only=False).reshape(-1, BANDS)
+                side.append((rep, n, c, np.frombuffer(b"".join(block.field("sig").to_pylist()), np.uint8).reshape(-1, T), bands))
+            (rep, n, c, sig, bands), (rep2, n2, c2, sig2, bands2) = side
             for i in range(len(rep)):
                 ok = (c2 != c[i]) & (100 * np.minimum(n2, n[i]) >= SIMILARITY_PERCENT * np.maximum(n2, n[i]))
                 if same:
@@ -170,7 +171,7 @@ def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at = np.flatnonzero(ok)
                 if not len(at):
                     continue
-                at = at[(low2[at] == low[i]).argmax(1) == band]
+                at = at[(bands2[at] == bands[i]).argmax(1) == band]
                 agree = (sig2[at] == sig[i]).sum(1)
                 at, agree = at[agree >= LEAST_AGREE], agree[agree >= LEAST_AGREE]
                 for column, value in zip(out, (np.full(len(at), rep[i]), np.full(len(at), c[i]), rep2[at], c2[at], agree), strict=True):
@@ -182,8 +183,8 @@ def _across(now: DataFrame, classes: DataFrame) -> DataFrame:
     """Likely links (a, ca, b, cb, agree) between classes that share a bucket but no component. now: key, band, rep, n, c of open buckets."""
     sizes = now.groupBy("key").agg(F.count("*").alias("size"))
     blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK_CLASSES))
-    placed = now.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("rep"), blocks)).drop("size").join(classes.select("rep", "sig", "low"), "rep")
-    packed = stored(placed.groupBy("key", "band", "block").agg(F.collect_list(F.struct("rep", "n", "c", "sig", "low")).alias("x")), "blocks")
+    placed = now.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("rep"), blocks)).drop("size").join(classes.select("rep", "sig", "bands"), "rep")
+    packed = stored(placed.groupBy("key", "band", "block").agg(F.collect_list(F.struct("rep", "n", "c", "sig", "bands")).alias("x")), "blocks")
     other = packed.select("key", F.col("block").alias("block2"), F.col("x").alias("y"))
     met = packed.join(other, "key").filter("block <= block2 AND (block < block2 OR size(x) > 1)").select("band", (F.col("block") == F.col("block2")).alias("same"), "x", "y")
     pairs = stored(met.mapInArrow(_matched, "a bigint, ca bigint, b bigint, cb bigint, agree bigint"), "across")
@@ -244,6 +245,18 @@ def _class_components(classes: DataFrame, base: DataFrame) -> DataFrame | None:
     return label
 
 
+@contextmanager
+def _short_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of at most BATCH_ROWS rows for the stages that run within; the session's setting is put back."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id reachable over links, itself included) and kept (doc_id = component_id).
 
@@ -251,6 +264,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     n_shingles 0 and are linked with nothing, as are rows without doc_id (component_id null, kept true). Rows that
     repeat a doc_id with the same text are one document; with different texts each row has the component of its own text.
     """
+    with _short_batches(docs.sparkSession):  # every Python stage is run to its end in here
+        return _near_duplicates(docs)
+
+
+def _near_duplicates(docs: DataFrame) -> DataFrame:
     base = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), text_column(docs).alias("text"))
     all_sketches = stored(sketches(docs), "sketches")
     base._repeated = bool(all_sketches.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count())
@@ -258,8 +276,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     if base._repeated:  # the same id with other texts: such texts are only classed with equal ones
         odd = filled.groupBy("doc_id").agg(F.min("set_key").alias("lo"), F.max("set_key").alias("hi")).filter("lo <> hi").select("doc_id")
         filled = filled.join(odd, "doc_id", "left_anti")
-    member = filled.groupBy("set_key").agg(F.min(F.struct("doc_id", "n_shingles", "sig", "low", "bands")).alias("x"))
-    classes = stored(member.select("set_key", F.col("x.doc_id").alias("rep"), F.col("x.n_shingles").alias("n"), "x.sig", "x.low", "x.bands"), "classes")
+    # The wide columns are fetched by the least id, not carried through the aggregation.
+    least = filled.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
+    first = filled.join(least.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi").select("set_key", F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "sig", "bands")
+    classes = stored(first.dropDuplicates(["rep"]) if base._repeated else first, "classes")
     label = _class_components(classes, base)
     least = _labelled(classes.select("set_key", "rep"), label, "rep", "component").select("set_key", "component")
     out = all_sketches.select("doc_id", "n_shingles", "set_key").join(least, "set_key", "left")

@@ -20,9 +20,10 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import BLANKS, hashed_words, steps, text_column, words
 
-TABLE_WORDS = 1 << 15
-#: Items that the frequent-items sketch tracks.
-TRACKED = 1 << 17
+TABLE_WORDS = 1 << 14
+#: Items that the frequent-items sketch tracks (about 2 MB); sketches are merged in MERGERS tasks, then in one.
+TRACKED = 1 << 15
+MERGERS = 256
 #: Words in one worker's cache; it is emptied when full.
 CACHE_WORDS = 1 << 19
 LIMIT = 2048
@@ -52,8 +53,10 @@ def _encoded_lengths(tokenizer, texts: list[str]) -> list[int]:
 def frequent_words(docs: DataFrame) -> list[str]:
     """The most frequent words of all texts by a mergeable sketch, lower-cased and without a comma or point at the end."""
     each = docs.select(F.explode(words(F.lower(text_column(docs)))).alias("w")).select(F.rtrim("w", F.lit(",.")).alias("w")).filter("w <> ''")
-    row = each.agg(F.expr(f"approx_top_k(w, {TABLE_WORDS}, {TRACKED})").alias("top")).first()
-    return [x.item for x in row.top or [] if x.item is not None]
+    parts = each.groupBy((F.spark_partition_id() % MERGERS).alias("k")).agg(F.expr(f"approx_top_k_accumulate(w, {TRACKED})").alias("sketch"))
+    merged = parts.groupBy(F.lit("all").alias("of")).agg(F.expr(f"approx_top_k_combine(sketch, {TRACKED})").alias("sketch"))  # no words, no row
+    rows = merged.select(F.expr(f"approx_top_k_estimate(sketch, {TABLE_WORDS})").alias("top")).collect()
+    return [x.item for r in rows for x in r.top or [] if x.item is not None]
 
 
 def build_table(spec: str, frequent: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -111,13 +111,6 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), text_column(docs).alias("text")).mapInArrow(_sketched, "doc_id bigint, n_shingles bigint, set_key binary, sig binary, bands array<bigint>")
 
 
-def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, T) for k in ("sig_a", "sig_b"))
-            yield batch.select(["a", "b"]).filter(pa.array((a == b).sum(1) >= LEAST_AGREE))
-
-
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     last, kept = None, None
     for batch in batches:
@@ -132,18 +125,11 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of class representatives whose full sets are similar enough."""
-    sig = classes.select("rep", "sig")
-    near = pairs.join(sig.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), "a").join(sig.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")), "b")
-    near = stored(near.select("a", "b", "sig_a", "sig_b").mapInArrow(_likely, "a bigint, b bigint"), "pairs")
-    ids = near.select(F.col("a").alias("rep")).union(near.select("b")).distinct()
-    texts = docs.join(ids, docs["doc_id"] == ids["rep"], "left_semi").select("doc_id", "text")
-    texts = stored(texts.groupBy("doc_id").agg(F.min("text").alias("text")) if docs._repeated else texts, "texts")
-    both = near.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    links = stored(both.sortWithinPartitions("a").select("a", "b", "text_a", "text_b").mapInArrow(_confirmed, "a bigint, b bigint"), "links")
-    drop_stored(near, texts)
-    return links
+def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of class representatives whose full sets are similar enough. texts: rep, text."""
+    right, left = (texts.select(F.col("rep").alias(k), F.col("text").alias(f"text_{k}")) for k in "ba")
+    both = pairs.join(right, "b").join(left, "a")
+    return stored(both.sortWithinPartitions("a").select("a", "b", "text_a", "text_b").mapInArrow(_confirmed, "a bigint, b bigint"), "links")
 
 
 def _comparable(a: str, b: str) -> F.Column:
@@ -214,6 +200,10 @@ def _class_components(classes: DataFrame, base: DataFrame) -> DataFrame | None:
     banded = classes.select("rep", "n", F.posexplode("bands").alias("band", "key"))
     shared = banded.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     members = stored(banded.join(shared.select("key"), "key", "left_semi").select("key", "band", "rep", "n"), "members")
+    own = members.select("rep").distinct()
+    texts = stored(base.join(own, F.col("doc_id") == F.col("rep"), "left_semi").select(F.col("doc_id").alias("rep"), "text"), "texts")
+    if base._repeated:
+        texts = stored(texts.groupBy("rep").agg(F.min("text").alias("text")), "texts")
     links, label = [], None
 
     def relabelled(found: DataFrame) -> DataFrame | None:
@@ -236,12 +226,12 @@ def _class_components(classes: DataFrame, base: DataFrame) -> DataFrame | None:
         if turn == STAR_ROUNDS:
             break
         star = met.filter((F.col("c") != F.col("p.c")) & _comparable("n", "p.n")).select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b")).distinct()
-        label = relabelled(_links(star, classes, base))
+        label = relabelled(_links(star, texts))
     rest = _across(met.drop("p"), classes)
-    label = relabelled(_links(_nearest(rest), classes, base))
+    label = relabelled(_links(_nearest(rest), texts))
     apart = _labelled(_labelled(rest.select("a", "b"), label, "a", "ca"), label, "b", "cb").filter("ca <> cb").select("a", "b")
-    label = relabelled(_links(apart, classes, base))
-    drop_stored(met, rest)
+    label = relabelled(_links(apart, texts))
+    drop_stored(met, rest, texts)
     return label
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -83,7 +84,9 @@ def test_near_duplicates_on_edge_rows(edge, no_documents):
     assert [r.component_id for r in got if r.doc_id is None] == [None, None]
 
 
-def test_components_of_long_chains_and_hubs(spark):
+@pytest.mark.parametrize("one_task", [500_000, 0])
+def test_components_of_long_chains_and_hubs(spark, monkeypatch, one_task):
+    monkeypatch.setattr(sys.modules["quern.llm.components"], "ONE_TASK_EDGES", one_task)
     edges = [(i, i + 1) for i in range(200, 260)] + [(1, k) for k in range(300, 400)] + [(500, 399), (7, 7), (None, 3)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
     assert got == {i: 200 for i in range(200, 261)} | {k: 1 for k in (1, *range(300, 400), 500)}

@@ -3,11 +3,14 @@
 Tokens are lower-cased runs of letters and digits. Each token is hidden in turn and predicted from the SIDE tokens on either
 side; a document's score is the sum of the log-probabilities. A token's probability is that of its class given the
 window, times that of the token within the class. The TOP most frequent words are put into classes by frequency; all others into
-classes by length, where the spelling decides: a byte-bigram model over all tokens, normalised for each length.
+classes by length. There a word's own count decides, less a discount of one that goes to the spelling: a byte-bigram model
+over all tokens, normalised for each length, which alone speaks for words seen once.
 
 Three passes read the whole corpus. The first counts words and byte pairs, summed by key over the cluster. The second
 trains the network: each task goes through all of its tokens from the same start, and the parameters are averaged by tokens. The
-third scores. To the driver go TOP words, 257 * 257 byte-pair counts and the averaged parameters, whatever the input.
+third scores, and stores the words outside the TOP of each text, which are then joined with the stored counts of all words by
+shuffling. So only TOP words, 257 * 257 byte-pair counts, two sums a length class and the averaged parameters go to the driver; the
+counts, which grow with the corpus, stay distributed.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,15 +42,17 @@ def _letters(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of the words (kind 0) and of the neighbouring byte pairs (kind 1) of each batch."""
+    """Counts of the words (kind: the length, at most LENGTH_CLASSES) and of the neighbouring byte pairs (kind 0) of each batch."""
     for batch in batches:
         for _, _, data, at in steps(batch.column("text"), 1 << 22):
-            key, n = np.unique(hashed_words(data, at, blanks=PUNCTUATED)[3], return_counts=True)
+            start, end, _, value = hashed_words(data, at, blanks=PUNCTUATED)
+            key, first, n = np.unique(value, return_index=True, return_counts=True)
+            length = np.minimum((end - start)[first], LENGTH_CLASSES)
             x = np.concatenate([[0], _letters(data, at)])
             pair = np.bincount(x[:-1] * 257 + x[1:], minlength=257 * 257)
             pair[0] = 0  # between words nothing is spelt
             used = np.flatnonzero(pair)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat([0, 1], [len(key), len(used)]), pa.int32()), pa.array(np.concatenate([key.view(np.int64), used])), pa.array(np.concatenate([n, pair[used]]), pa.int64())], ["kind", "key", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([length, np.zeros(len(used), np.int64)]), pa.int32()), pa.array(np.concatenate([key.view(np.int64), used])), pa.array(np.concatenate([n, pair[used]]), pa.int64())], ["kind", "key", "n"])
 
 
 @dataclass
@@ -86,7 +92,12 @@ def build_lexicon(top: list[tuple[int, int]], pairs: dict[int, int]) -> Lexicon:
 
 
 def tokens(lexicon: Lexicon, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, class and log-probability within the class of every token."""
+    """Row, class and log-probability within the class of every token; in the classes by length, that of the spelling."""
+    return hashed_tokens(lexicon, data, at)[:3]
+
+
+def hashed_tokens(lexicon: Lexicon, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """What ``tokens`` gives, and the hash of every token."""
     start, end, row, value = hashed_words(data, at, blanks=PUNCTUATED)
     length = end - start
     group = COMMON_CLASSES + np.minimum(length, LENGTH_CLASSES) - 1
@@ -98,7 +109,18 @@ def tokens(lexicon: Lexicon, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarr
         place = np.minimum(np.searchsorted(lexicon.keys, value), len(lexicon.keys) - 1)
         hit = lexicon.keys[place] == value
         group[hit], inside[hit] = lexicon.group[place[hit]], lexicon.inside[place[hit]]
-    return row, group, inside
+    return row, group, inside, value
+
+
+def rare_words(row: np.ndarray, group: np.ndarray, inside: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(row, hash, length, log-probability of the spelling, times) of the different words of each row in the classes by length."""
+    rare = np.flatnonzero(group >= COMMON_CLASSES)
+    rare = rare[np.lexsort((value[rare], row[rare]))]
+    new = np.ones(len(rare), bool)
+    new[1:] = (row[rare][1:] != row[rare][:-1]) | (value[rare][1:] != value[rare][:-1])
+    first = np.flatnonzero(new)
+    one = rare[first]
+    return row[one], value[one], group[one] - COMMON_CLASSES + 1, inside[one], np.diff(np.append(first, len(rare)))
 
 
 def contexts(row: np.ndarray, group: np.ndarray) -> np.ndarray:
@@ -171,8 +193,16 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     base = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), text_column(docs).alias("text"))
     counts = stored(base.select("text").mapInArrow(_counted, "kind int, key bigint, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n")), "words")
-    top = [(r.key, r.n) for r in counts.filter("kind = 0").orderBy(F.desc("n"), "key").limit(TOP).collect()]
-    pairs = {r.key: r.n for r in counts.filter("kind = 1").collect()}  # 257 * 257 at most
+    common = counts.filter("kind > 0").orderBy(F.desc("n"), "key").limit(TOP).collect()
+    top = [(r.key, r.n) for r in common]
+    pairs = {r.key: r.n for r in counts.filter("kind = 0").collect()}  # 257 * 257 at most
+    # Of the words outside the TOP: tokens and different words of each length class.
+    seen_words, different = np.zeros(LENGTH_CLASSES + 1), np.zeros(LENGTH_CLASSES + 1)
+    for r in counts.filter("kind > 0").groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect():
+        seen_words[r.kind], different[r.kind] = r.n, r.words
+    for r in common:
+        seen_words[r.kind] -= r.n
+        different[r.kind] -= 1
     lexicon = spark.sparkContext.broadcast(build_lexicon(top, pairs))
 
     def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,17 +223,28 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     weights = spark.sparkContext.broadcast(flat if len(flat) else None)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = WindowNetwork(weights.value)
+        net, names = WindowNetwork(weights.value), ["row", "doc_id", "n", "total", "key", "kind", "spelt", "times"]
+        kinds, after = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int32(), pa.float64(), pa.int64()], TaskContext.get().partitionId() << 40
         for batch in batches:
-            n, total = [], []
             for i, j, data, at in steps(batch.column("text"), _STEP):
-                row, group, inside = tokens(lexicon.value, data, at)
-                value = inside + net.log_probability(contexts(row, group), group)
-                n.append(np.bincount(row, minlength=j - i))
-                total.append(np.bincount(row, weights=value, minlength=j - i))
-            n, total = (np.concatenate(x) if x else np.zeros(0) for x in (n, total))
-            with np.errstate(invalid="ignore", divide="ignore"):
-                mean = pa.array(total / n, pa.float64(), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(total, pa.float64()), mean], ["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood"])
-
-    return base.mapInArrow(scored, "doc_id bigint, n_tokens bigint, log_likelihood double, mean_log_likelihood double")
+                row, group, inside, value = hashed_tokens(lexicon.value, data, at)
+                total = net.log_probability(contexts(row, group), group) + np.where(group < COMMON_CLASSES, inside, 0)
+                own = [np.arange(after, after + j - i), batch.column("doc_id").slice(i, j - i), np.bincount(row, minlength=j - i), np.bincount(row, weights=total, minlength=j - i)]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(own, kinds, strict=False)] + [pa.nulls(j - i, t) for t in kinds[4:]], names)
+                at_row, *rare = rare_words(row, group, inside, value)
+                rare[0] = rare[0].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(at_row + after, pa.int64()), *[pa.nulls(len(at_row), t) for t in kinds[1:4]], *[pa.array(x, t) for x, t in zip(rare, kinds[4:], strict=True)]], names)
+                after += j - i
+
+    parts = stored(base.mapInArrow(scored, "row bigint, doc_id bigint, n bigint, total double, key bigint, kind int, spelt double, times bigint"), "scores")
+    again = counts.filter("kind > 0 and n > 1").select(F.col("key").alias("word"), F.col("n").alias("seen"))
+    words = parts.filter("key is not null").join(again.hint("merge"), F.col("key") == F.col("word"), "left")
+    tokens_of, words_of = (F.element_at(F.array(*[F.lit(float(v)) for v in x[1:]]), F.col("kind")) for x in (seen_words, different))
+    inside = F.when(F.col("seen").isNull(), F.log(words_of / tokens_of) + F.col("spelt")).otherwise(F.log((F.col("seen") - 1 + words_of * F.exp("spelt")) / tokens_of))
+    texts = parts.filter("key is null").select("row", "doc_id", "n", "total")
+    nothing = F.lit(None).cast("bigint")
+    all_parts = texts.union(words.select("row", nothing, nothing, F.col("times") * inside))
+    # A text of no rare words has one part; the sums of the others are those of their words.
+    return all_parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n").alias("n_tokens"), F.sum("total").alias("log_likelihood")).select(
+        "doc_id", "n_tokens", "log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")).alias("mean_log_likelihood")
+    )

@@ -181,3 +181,22 @@ def test_spelling_model_is_a_distribution():
     a, b = ord("a") + 1, ord("b") + 1
     assert inside[0] == pytest.approx(spell[0, a] + spell[a, b] + spell[b, 0] - lexicon.length_mass[1])
     assert inside[1] == pytest.approx(spell[0, a] + spell[a, 0] - lexicon.length_mass[0])
+
+
+def test_words_outside_the_most_frequent_are_scored_by_their_counts(spark, monkeypatch):
+    """Two words of like spelling outside the TOP: the one seen often scores above the one seen once, by their counts."""
+    monkeypatch.setattr(lm_score, "TOP", 2)
+    rows = [(i, "aaaa bbbb aaaa bbbb aaaa bbbb", "en", "a") for i in range(60)] + [(100 + i, "aaaa cdcd bbbb", "en", "a") for i in range(50)] + [(200, "aaaa dcdc bbbb", "en", "a"), (200, None, "en", "a")]
+    got = [r for r in lm_scores(documents(spark, rows)).collect()]
+    often, once, none = (next(r for r in got if r.doc_id == i and (r.n_tokens > 0) == some) for i, some in ((100, True), (200, True), (200, False)))
+    assert len(got) == len(rows) and (none.n_tokens, none.log_likelihood, none.mean_log_likelihood) == (0, 0, None)
+    assert often.log_likelihood - once.log_likelihood > 3
+    # Of 51 such tokens and 2 such words, the common one has (50 - 1 + 2 * spelling) / 51 and the single one 2 / 51 * spelling.
+    pairs = Counter()
+    for _, text, *_ in rows:
+        letters = [0] + [0 if c == " " else ord(c) + 1 for c in (text or "")] + [0]
+        pairs.update(a * 257 + b for a, b in zip(letters, letters[1:], strict=False) if a or b)
+    lexicon = lm_score.build_lexicon([], dict(pairs))
+    spelt = [float(lm_score.tokens(lexicon, np.frombuffer(w, np.uint8), np.array([0, 4]))[2][0]) for w in (b"cdcd", b"dcdc")]
+    want = np.log((49 + 2 * np.exp(spelt[0])) / 51) - (np.log(2 / 51) + spelt[1])
+    assert often.log_likelihood - once.log_likelihood == pytest.approx(want, abs=1e-6)

@@ -144,9 +144,9 @@ def infix_distance(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return int(row[end]), end - int(np.argmin(back)), end
 
 
-def _candidates(index: Index, word: np.ndarray, ends: np.ndarray, known: np.ndarray, place: np.ndarray) -> set[tuple[int, int]]:
-    """(position where the item would begin, item) of the windows that meet an item. ends: end of each word's row; known: positions of the benchmark's pairs, place: theirs in the vocabulary."""
-    found: set[tuple[int, int]] = set()
+def _candidates(index: Index, word: np.ndarray, ends: np.ndarray, known: np.ndarray, place: np.ndarray) -> set[tuple[int, int, int]]:
+    """(end of the row, position where the item would begin, item) of the windows that meet an item. ends: end of each word's row; known: positions of the benchmark's pairs, place: theirs in the vocabulary."""
+    found: set[tuple[int, int, int]] = set()
     here = np.arange(len(word))
     for column, size in enumerate(index.sizes):
         hit = np.zeros(len(word), bool)
@@ -162,7 +162,7 @@ def _candidates(index: Index, word: np.ndarray, ends: np.ndarray, known: np.ndar
             key = embed(windows)
             lo, hi = np.searchsorted(index.keys, key, "left"), np.searchsorted(index.keys, key, "right")
             for r, k in zip(*np.nonzero(hi > lo), strict=True):
-                found.update((int(p[k] - index.shift[x]), int(index.owner[x])) for x in range(lo[r, k], hi[r, k]))
+                found.update((int(ends[p[k]]), int(p[k] - index.shift[x]), int(index.owner[x])) for x in range(lo[r, k], hi[r, k]))
     return found
 
 
@@ -182,21 +182,21 @@ def search(index: Index, data: np.ndarray, at: np.ndarray) -> Iterator[tuple[int
     ends = bounds[1:][row]
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
     regions: dict[tuple[int, int], list[int]] = {}
-    for p, k in _candidates(index, word, ends, known, place):
-        # A start before the row's first word still has the row of the window that was met.
-        regions.setdefault((int(row[max(p, 0)]) if p >= 0 and ends[p] > p else 0, k), []).append(p)
-    for (_, k), places in regions.items():
+    for row_end, p, k in _candidates(index, word, ends, known, place):
+        regions.setdefault((int(row[row_end - 1]), k), []).append(p)
+    for (r, k), places in regions.items():
         item = index.items[k]
         most = edits_allowed(len(item))
-        done = -1
+        reach = 2 * most + 2
+        # Candidates whose stretches overlap are verified as one, so that none of them hides another.
+        spans: list[list[int]] = []
         for p in sorted(places):
-            if p < done:
-                continue
-            inside = min(max(p + len(item) // 2, 0), len(word) - 1)
-            r = int(row[inside])
-            reach = 2 * most + 2
             low, high = max(int(bounds[r]), p - reach), min(int(bounds[r + 1]), p + len(item) + reach)
-            done = p + len(item) - most
+            if spans and low <= spans[-1][1]:
+                spans[-1][1] = max(high, spans[-1][1])
+            else:
+                spans.append([low, high])
+        for low, high in spans:
             distance, first, end = infix_distance(item, word[low:high])
             if distance <= most:
                 now = (distance, low + first - int(bounds[r]), low + end - int(bounds[r]))

@@ -125,6 +125,17 @@ def test_contamination_equals_brute_force(spark, edge, no_documents):
     assert sorted((r.doc_id, r.item_id) for r in found) == [(6, 2), (7, 2), (11, 1), (11, 1)]
 
 
+def test_a_partial_quote_does_not_hide_a_whole_copy(spark):
+    rows, items = [], []
+    for i in range(40):
+        n, part, between = ((59, 29, 5), (100, 50, 10), (100, 65, 0))[i % 3]
+        item = prose(3000 + i, n).split()
+        items.append((i, " ".join(item)))
+        rows.append((i, " ".join([*prose(i, 40).split(), *item[:part], *prose(5000 + i, between).split(), *item, *prose(6000 + i, 40).split()]), "en", "a"))
+    got = {(r.doc_id, r.item_id): r.distance for r in contaminated(documents(spark, rows), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    assert got == {(i, i): 0 for i in range(40)}
+
+
 def test_benchmark_blocks(spark, monkeypatch):
     from quern.llm import decontamination
 

@@ -3,7 +3,7 @@
 Texts and benchmark items are sequences of lower-cased words (runs of letters and digits). A document is contaminated by an
 item if some stretch of it is within MOST_EDITS of the item's words, counted as word insertions, deletions and
 substitutions. Windows of item size start at every word: item lengths are rounded down to a ladder of sizes, and an item
-is known by its first and its last window of that size, a long one also by those between. An edit breaks at most two pairs of neighbouring words, so a window
+is known by its first and its last window of that size, one of over MOST_WINDOW words by windows side by side. An edit breaks at most two pairs of neighbouring words, so a window
 can only qualify if enough of its pairs occur in items of its size at all, which a running count tells; the
 others go no further.
 
@@ -27,25 +27,32 @@ from pyspark.sql import functions as F
 from quern.llm.common import PUNCTUATED, hashed_words, mix, steps, text_column
 
 MOST_EDITS = 0.2
-REPEATS, SAMPLED = 24, 4
+REPEATS, SAMPLED = 48, 4
 STRETCH = 2
 LEAST_ITEM = 8
-#: Longer items are known by windows of this size side by side, one of which has no more than its share of the edits.
-MOST_WINDOW = 128
-#: Items in one broadcast index: at most 2 * REPEATS * 16 bytes and their words each. A larger benchmark is searched in blocks.
+#: Longer items are known by equal windows of at most this size side by side, one of which has no more than its share of the edits.
+MOST_WINDOW = 48
+#: Items in one broadcast index: REPEATS * 24 bytes a window, and their words. A larger benchmark is searched in blocks.
 BLOCK_ITEMS = 20_000
 _PAD = np.uint64(0)
 _WINDOWS_AT_ONCE = 1 << 12
 
 
 def ladder(n: int) -> int:
-    """The largest window size that is at most n: 8, 10, 12, 15, ... each a quarter above the last, up to MOST_WINDOW."""
+    """The largest window size that is at most n: 8, 10, 12, 15, ... each a quarter above the last."""
     size = LEAST_ITEM
-    while size * 5 // 4 <= min(n, MOST_WINDOW):
+    while size * 5 // 4 <= n:
         size = size * 5 // 4
     return size
 
 
+def windows_of(n: int) -> tuple[int, list[int]]:
+    """Size and starts of the windows that an item of n words is known by; those of a long item do not overlap."""
+    parts = -(-n // MOST_WINDOW)
+    size = ladder(n // parts)
+    return size, sorted({k * (n - size) // max(parts - 1, 1) for k in range(max(parts, 2))})
+
+
 def edits_allowed(n: int) -> int:
     return int(MOST_EDITS * n + 1e-9)
 
@@ -110,19 +117,20 @@ def build_index(ids: list[int], texts: list[str | None]) -> Index:
             items.append(words)
     keys, owner, shift = [], [], []
     for k, words in enumerate(items):
-        size = ladder(len(words))
-        for at in sorted({*range(0, len(words) - size + 1, size), len(words) - size}):
-            keys += embed(words[None, at : at + size])[:, 0].tolist()
-            owner += [k] * REPEATS
-            shift += [at] * REPEATS
-    order = np.argsort(np.array(keys, np.uint64), kind="stable")
-    pick = lambda x, kind: np.array(x, kind)[order]
-    sizes = sorted({ladder(len(x)) for x in items})
+        size, starts = windows_of(len(words))
+        for at in starts:
+            keys.append(embed(words[None, at : at + size])[:, 0])
+            owner.append(k)
+            shift.append(at)
+    every = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+    order = np.argsort(every, kind="stable")
+    pick = lambda x: np.repeat(np.array(x, np.int64), REPEATS)[order]
+    sizes = sorted({windows_of(len(x))[0] for x in items})
     vocabulary = np.unique(np.concatenate([pairs(x) for x in items])) if items else np.zeros(0, np.uint64)
     member = np.zeros((len(vocabulary), len(sizes)), bool)
     for x in items:
-        member[np.searchsorted(vocabulary, pairs(x)), sizes.index(ladder(len(x)))] = True
-    return Index(kept, items, vocabulary, member, sizes, pick(keys, np.uint64), pick(owner, np.int64), pick(shift, np.int64))
+        member[np.searchsorted(vocabulary, pairs(x)), sizes.index(windows_of(len(x))[0])] = True
+    return Index(kept, items, vocabulary, member, sizes, every[order], pick(owner), pick(shift))
 
 
 def infix_distance(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:

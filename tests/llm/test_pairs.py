@@ -6,12 +6,13 @@ import random
 import re
 import sys
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quern.llm.components import components
-from quern.llm.decontamination import contaminated, edits_allowed
+from quern.llm.decontamination import build_index, contaminated, edits_allowed, search
 from quern.llm.near_dedup import near_duplicates
 from quern.llm.source_mix import targets
 from quern.sources.tables import load
@@ -136,6 +137,21 @@ def test_a_partial_quote_does_not_hide_a_whole_copy(spark):
     assert got == {(i, i): 0 for i in range(40)}
 
 
+@pytest.mark.parametrize("n", [8, 15, 30, 48, 49, 60, 80, 97, 100, 120, 150])
+def test_items_with_all_allowed_edits_are_found(n):
+    r = random.Random(n)
+    missed = 0
+    for _ in range(40):
+        word = lambda: f"w{r.randrange(3000)}"
+        item = [word() for _ in range(n)]
+        leak = list(item)
+        for k in sorted(r.sample(range(n), edits_allowed(n)), reverse=True):
+            leak[k : k + 1] = r.choice(([], ["new"], ["new", leak[k]]))
+        raw = " ".join([*[word() for _ in range(40)], *leak, *[word() for _ in range(40)]]).encode()
+        missed += not list(search(build_index([1], [" ".join(item)]), np.frombuffer(raw, np.uint8), np.array([0, len(raw)])))
+    assert missed == 0
+
+
 def test_benchmark_blocks(spark, monkeypatch):
     from quern.llm import decontamination
 

@@ -2,11 +2,15 @@
 
 The text view sees what is written: shares of byte classes and of pairs of them, line and word shape, and how repetitive the
 text is. The metadata view sees language, source and length only. Each view is a logistic regression. Both start from
-labelled documents; in every round each view labels the unlabelled documents of which it is most certain, and the other
+labelled documents; in every round each view labels all unlabelled documents of which it is CERTAIN, and the other
 view learns from them too. Labelled documents that were kept aside calibrate each view, and a last regression on the two calibrated
 log-odds combines them. The result scores every document.
 
-The views are fitted on at most MOST_LABELLED labelled and MOST_UNLABELLED other documents, those with the least hash of doc_id.
+At most MOST_LABELLED labelled documents are used, those with the least hash of doc_id, and every unlabelled one: their features
+are stored once, and each of Newton's steps sums gradients and Hessians over all of them on the cluster, so that only
+matrices of the features' size reach the driver. The documents that carry a label from the other view together weigh at most TAUGHT_WEIGHT
+times the labelled documents of that label, however many there are. A view teaches a label only while its certainty holds among the
+labelled documents kept aside: one that knows no more than the share of good documents would otherwise spoil the other.
 """
 
 from __future__ import annotations
@@ -19,10 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import hashed_words, steps, text_column
+from quern.llm.common import drop_stored, hashed_words, steps, stored, text_column
 
-MOST_LABELLED, MOST_UNLABELLED = 4000, 4000
-ROUNDS, EXCHANGED, CERTAIN = 5, 200, 0.95
+MOST_LABELLED = 4000
+ROUNDS, NEWTON_STEPS, CERTAIN, TAUGHT_WEIGHT = 5, 10, 0.95, 0.5
+#: Tasks that add up the sums of the others before the driver does.
+MERGES = 8
 SOURCE_BUCKETS, LANG_BUCKETS, LENGTH_STEPS = 64, 16, 16
 KEEP_FROM = 0.5
 
@@ -72,56 +78,126 @@ def meta_view(lang: list[str | None], source: list[str | None], n_chars: np.ndar
 class Logistic:
     """Logistic regression on standardised features by Newton's iterations with a ridge."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = 1.0):
-        self.mean, self.spread = x.mean(0), np.maximum(x.std(0), 1e-3)
-        z = np.concatenate([(x - self.mean) / self.spread, np.ones((len(x), 1))], 1)
-        w = np.ones(len(x)) if weight is None else weight
-        self.beta, r = np.zeros(z.shape[1]), np.full(z.shape[1], ridge)
-        r[-1] = 1e-6
+    def __init__(self, x: np.ndarray, y: np.ndarray, ridge: float = 1.0, moments: tuple[np.ndarray, np.ndarray] | None = None):
+        self.mean, self.spread = moments or spread_of(x.mean(0), x.std(0))
+        self.z, self.y, self.ridge = self.standard(x), y, np.full(x.shape[1] + 1, ridge)
+        self.ridge[-1] = 1e-6
+        self.beta = np.zeros(x.shape[1] + 1)
         for _ in range(12):
-            q = 1 / (1 + np.exp(-np.clip(z @ self.beta, -30, 30)))
-            step = np.linalg.solve((z * (w * np.maximum(q * (1 - q), 1e-5))[:, None]).T @ z + np.diag(r), z.T @ (w * (q - y)) + r * self.beta)
-            self.beta -= np.clip(step, -5, 5)
-            if np.abs(step).max() < 1e-6:
+            if self.step() < 1e-6:
                 break
 
+    def standard(self, x: np.ndarray) -> np.ndarray:
+        return np.concatenate([(x - self.mean) / self.spread, np.ones((len(x), 1))], 1)
+
+    def step(self, taught: tuple[tuple[int, np.ndarray, np.ndarray], ...] = ()) -> float:
+        """One of Newton's steps, and its size. taught: of each label the number, gradient and Hessian of the documents that the other view labelled."""
+        _, gradient, hessian = derivatives(self.z, self.y, self.beta)
+        for label, (n, g, h) in enumerate(taught):
+            weight = min(TAUGHT_WEIGHT, TAUGHT_WEIGHT * float((self.y == label).sum()) / max(n, 1))
+            gradient, hessian = gradient + weight * g, hessian + weight * h
+        step = np.linalg.solve(hessian + np.diag(self.ridge), gradient + self.ridge * self.beta)
+        self.beta = self.beta - np.clip(step, -5, 5)
+        return float(np.abs(step).max())
+
     def log_odds(self, x: np.ndarray) -> np.ndarray:
         return np.clip(((x - self.mean) / self.spread) @ self.beta[:-1] + self.beta[-1], -30, 30)
 
 
-def _exchange(teacher: Logistic, x: np.ndarray, free: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The free rows that a view is most certain of, at most EXCHANGED of each label, and those labels."""
+def spread_of(mean: np.ndarray, deviation: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return mean, np.maximum(deviation, 1e-3)
+
+
+def derivatives(z: np.ndarray, y: np.ndarray | float, beta: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """Number of rows, gradient and Hessian of the logistic loss over them."""
+    q = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
+    return len(z), z.T @ (q - y), (z * np.maximum(q * (1 - q), 1e-5)[:, None]).T @ z
+
+
+def _summed(pool: DataFrame, kernel, size: int) -> np.ndarray:
+    """The sum of kernel(text view, metadata view), an array of that size, over all batches of the pool of features."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for batch in batches:
+            if batch.num_rows:
+                total += kernel(*_unpacked(batch))
+        yield pa.RecordBatch.from_pydict({"total": pa.array([total.tobytes()], pa.binary())})
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for batch in batches:
+            for x in batch.column("total"):
+                total += np.frombuffer(x.as_py())
+        yield pa.RecordBatch.from_pydict({"total": pa.array([total.tobytes()], pa.binary())})
+
+    rows = pool.select("text_view", "meta_view").mapInArrow(each, "total binary").repartition(MERGES).mapInArrow(merged, "total binary").collect()
+    return np.sum([np.frombuffer(bytes(r.total)) for r in rows], 0) if rows else np.zeros(size)
+
+
+def _taught(pool: DataFrame, fitted: list[Logistic], teachers: list[np.ndarray]) -> list[tuple]:
+    """Of each view and label: the number, gradient and Hessian, at the view's own weights, of the unlabelled documents that the other view is certain of."""
+    scales, betas = [(f.mean, f.spread) for f in fitted], [f.beta for f in fitted]
+
+    def kernel(*views: np.ndarray) -> np.ndarray:
+        z = [np.concatenate([(x - mean) / spread, np.ones((len(x), 1))], 1) for x, (mean, spread) in zip(views, scales, strict=True)]
+        out = []
+        for pupil, teacher in ((0, 1), (1, 0)):
+            p = 1 / (1 + np.exp(-np.clip(z[teacher] @ teachers[teacher], -30, 30)))
+            for label, sure in ((0, 1 - p >= CERTAIN), (1, p >= CERTAIN)):
+                n, g, h = derivatives(z[pupil][sure], float(label), betas[pupil])
+                out += [np.array([n], float), g, h.ravel()]
+        return np.concatenate(out)
+
+    widths = [len(b) for b in betas]
+    flat, at, out = _summed(pool, kernel, sum(2 * (1 + w + w * w) for w in widths)), 0, []
+    for w in widths:
+        labels = []
+        for _ in range(2):
+            labels.append((int(round(flat[at])), flat[at + 1 : at + 1 + w], flat[at + 1 + w : at + 1 + w + w * w].reshape(w, w)))
+            at += 1 + w + w * w
+        out.append(tuple(labels))
+    return out
+
+
+def _trusted(teacher: Logistic, x: np.ndarray, y: np.ndarray) -> list[bool]:
+    """Of each label: whether a share of at least CERTAIN of the documents x that the view is certain of has it, with at most half the errors of giving it to all."""
     p = 1 / (1 + np.exp(-teacher.log_odds(x)))
-    places, labels = [], []
-    for y, q in ((1, p), (0, 1 - p)):
-        sure = np.flatnonzero(free & (q >= CERTAIN))
-        best = sure[np.argsort(-q[sure], kind="stable")[:EXCHANGED]]
-        places.append(best)
-        labels.append(np.full(len(best), y, float))
-    return np.concatenate(places), np.concatenate(labels)
+    return [bool(sure.any() and (y[sure] != label).mean() <= min(1 - CERTAIN, (y != label).mean() / 2)) for label, sure in ((0, 1 - p >= CERTAIN), (1, p >= CERTAIN))]
 
 
-def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray, np.ndarray]):
-    """Two fitted views, their calibrations and the combination. views: features of labelled rows; pool: of unlabelled ones."""
+def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: DataFrame):
+    """Two fitted views, their calibrations and the combination. views: features of labelled rows; pool: packed features of all unlabelled ones."""
     aside = np.arange(len(y)) % 4 == 0 if min(y.sum(), len(y) - y.sum()) >= 8 else np.zeros(len(y), bool)
     learn, tell = ~aside, aside if aside.any() else ~aside
-    taught = [(np.zeros(0, int), np.zeros(0)) for _ in views]
-    free = [np.ones(len(pool[0]), bool) for _ in views]
-    for turn in range(ROUNDS + 1):
-        fitted = [Logistic(np.concatenate([v[learn], q[at]]), np.concatenate([y[learn], label]), np.concatenate([np.ones(learn.sum()), np.full(len(at), 0.5)])) for v, q, (at, label) in zip(views, pool, taught, strict=True)]
-        if turn == ROUNDS or not len(pool[0]):
+    sums = _summed(pool, lambda *v: np.concatenate([[len(v[0])], *[x.sum(0) for x in v], *[(x * x).sum(0) for x in v]]), 1 + 2 * (TEXT_FEATURES + META_FEATURES))
+    ones, squares = np.split(sums[1:], 2)
+    n, moments, at = sums[0] + learn.sum(), [], 0
+    for v in views:
+        w = v.shape[1]
+        mean, square = (ones[at : at + w] + v[learn].sum(0)) / n, (squares[at : at + w] + (v[learn] ** 2).sum(0)) / n
+        moments.append(spread_of(mean, np.sqrt(np.maximum(square - mean * mean, 0))))
+        at += w
+    fitted = [Logistic(v[learn], y[learn], moments=m) for v, m in zip(views, moments, strict=True)]
+    for _ in range(ROUNDS if sums[0] else 0):
+        teachers = [f.beta for f in fitted]
+        trusted = [_trusted(f, v[tell], y[tell]) for f, v in zip(fitted, views, strict=True)][::-1]  # by pupil
+        if not any(map(any, trusted)):
             break
-        moved = 0
-        for pupil, teacher in ((0, 1), (1, 0)):
-            at, label = _exchange(fitted[teacher], pool[teacher], free[pupil])
-            free[pupil][at] = False
-            taught[pupil] = tuple(np.concatenate(x) for x in zip(taught[pupil], (at, label), strict=True))
-            moved += len(at)
-        if not moved:
+        for f in fitted:
+            f.beta = np.zeros_like(f.beta)  # from saturated weights, Newton's steps would overshoot
+        for _ in range(NEWTON_STEPS):
+            taught = [tuple((k, g, h) if ok else (0, 0 * g, 0 * h) for ok, (k, g, h) in zip(may, own, strict=True)) for may, own in zip(trusted, _taught(pool, fitted, teachers), strict=True)]
+            if max([f.step(t) for f, t in zip(fitted, taught, strict=True)]) < 1e-3:
+                break
+        if not any(k for t in taught for k, _, _ in t) or max(np.abs(f.beta - t).max() for f, t in zip(fitted, teachers, strict=True)) < 1e-2:
             break
     calibrated = [Logistic(f.log_odds(v[tell])[:, None], y[tell], ridge=0.1) for f, v in zip(fitted, views, strict=True)]
     odds = np.stack([c.log_odds(f.log_odds(v[tell])[:, None]) for c, f, v in zip(calibrated, fitted, views, strict=True)], 1)
-    return fitted, calibrated, Logistic(odds, y[tell], ridge=0.1)
+    joint = Logistic(odds, y[tell], ridge=0.1)
+    for model in (*fitted, *calibrated, joint):
+        model.z = model.y = None  # not needed to predict
+    return fitted, calibrated, joint
 
 
 def predict(model, views: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
@@ -138,6 +214,26 @@ def _views(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield text_view(data, at), meta_view(lang[i:j], source[i:j], chars)
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id and the two views of every row, as bytes: single precision, and the places of the metadata view's ones."""
+    for batch in batches:
+        at = 0
+        for text, meta in _views(batch):
+            n = len(text)
+            places = np.nonzero(meta)[1].astype(np.uint8).reshape(n, -1)
+            own = [pa.array([r.tobytes() for r in x], pa.binary()) for x in (text.astype(np.float32), places)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, n), *own], ["doc_id", "text_view", "meta_view"])
+            at += n
+
+
+def _unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    n = batch.num_rows
+    text, places = (np.frombuffer(b"".join(batch.column(c).to_pylist()), kind).reshape(n, -1) for c, kind in (("text_view", np.float32), ("meta_view", np.uint8)))
+    meta = np.zeros((n, META_FEATURES))
+    np.put_along_axis(meta, places.astype(np.int64), 1, 1)
+    return text.astype(float), meta
+
+
 def _stacked(rows: list, own: tuple[str, ...] = ("text", "lang", "source")) -> tuple[np.ndarray, np.ndarray]:
     batch = pa.RecordBatch.from_pydict({k: pa.array([r[k] for r in rows], pa.string()) for k in own})
     parts = list(_views(batch))
@@ -162,11 +258,10 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     y = np.array([r.quality for r in known], float)
     model, share = None, float(y.mean()) if len(y) else 0.5
     if 0 < y.sum() < len(y):
-        spare = base.select("doc_id").filter("doc_id is not null").join(marks, F.col("doc_id") == F.col("id"), "left_anti").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MOST_UNLABELLED)
-        chosen = spark.createDataFrame([(r.doc_id,) for r in spare.collect()], "id bigint")
-        rest = base.join(F.broadcast(chosen), F.col("doc_id") == F.col("id"), "left_semi").collect()
-        rest.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.text))
-        model = co_train(_stacked(known), y, _stacked(rest))
+        features = base.mapInArrow(_packed, "doc_id bigint, text_view binary, meta_view binary")
+        pool = stored(features.join(marks, F.col("doc_id") == F.col("id"), "left_anti").select("text_view", "meta_view"), "features")
+        model = co_train(_stacked(known), y, pool)
+        drop_stored(pool)
     sent = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

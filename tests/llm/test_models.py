@@ -200,3 +200,27 @@ def test_words_outside_the_most_frequent_are_scored_by_their_counts(spark, monke
     spelt = [float(lm_score.tokens(lexicon, np.frombuffer(w, np.uint8), np.array([0, 4]))[2][0]) for w in (b"cdcd", b"dcdc")]
     want = np.log((49 + 2 * np.exp(spelt[0])) / 51) - (np.log(2 / 51) + spelt[1])
     assert often.log_likelihood - once.log_likelihood == pytest.approx(want, abs=1e-6)
+
+
+def test_every_unlabelled_document_teaches(spark, monkeypatch):
+    """A source that no label names, among 4500 documents: all that the text view is certain of teach the metadata view."""
+    from quern.llm import cotraining
+
+    rows, marks = labelled(200)
+    shout = " ".join(w.upper() + "!!" for w in prose(1, 60).split())
+    rows += [(1000 + i, shout if i % 3 == 0 else prose(4, 60), "en", "bad" if i % 3 == 0 else "new") for i in range(4500)]
+    seen = []
+    taught = cotraining._taught
+    monkeypatch.setattr(cotraining, "_taught", lambda *x: seen.append(taught(*x)) or seen[-1])
+    got = {r.doc_id: r for r in quality(documents(spark, rows), spark.createDataFrame(marks, "doc_id bigint, quality int, toxic int")).collect()}
+    (bad, _, _), (good, _, _) = seen[-1][1]
+    assert (bad, good) == (1500, 3000)
+    assert got[1000].meta_score < got[1001].meta_score
+
+
+def test_the_text_view_keeps_what_the_labels_taught_it(spark):
+    """Few bad documents and metadata that tell little: learning from all documents must not spoil the text view."""
+    rows = [(i, " ".join(w.upper() + "!!" for w in prose(i, 60).split()) if i % 16 == 0 else prose(i, 60), "en" if i // 16 % 2 else "fr", f"s{i // 32 % 3}") for i in range(3200)]
+    marks = [(i, int(i % 16 > 0)) for i in range(0, 1600)]
+    got = quality(documents(spark, rows), spark.createDataFrame(marks, "doc_id bigint, quality int")).collect()
+    assert all((r.text_score >= 0.5) == (r.doc_id % 16 > 0) for r in got)

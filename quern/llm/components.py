@@ -1,4 +1,4 @@
-"""Connected components of an undirected edge table: in one task up to a fixed number of edges, beyond it by alternating large-star and small-star rounds."""
+"""Connected components of an undirected edge table: each partition contracts its own edges, then large-star and small-star rounds join what is left."""
 
 from __future__ import annotations
 
@@ -11,9 +11,8 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import drop_stored, stored
 
-MOST_ROUNDS = 60
-#: Up to so many edges (16 bytes each) are labelled by one task; the rounds' many small shuffles would take far longer.
-ONE_TASK_EDGES = 500_000
+#: Edges that a partition contracts at a time (16 bytes each), so that memory doesn't follow the partition.
+CONTRACTED = 1 << 20
 
 
 def _toward_minimum(pairs: DataFrame, larger_only: bool) -> DataFrame:
@@ -30,15 +29,12 @@ def _toward_minimum(pairs: DataFrame, larger_only: bool) -> DataFrame:
 
 def _settled(now: DataFrame) -> bool:
     """Whether every node above the least of its component is linked to that one alone."""
-    if not now.join(now.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
-        return False
-    return now.groupBy("u").count().filter("count > 1").isEmpty()
+    ends = now.select(F.col("u").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).union(now.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up")).filter("down > 1 OR down = 1 AND up = 1").isEmpty()
 
 
-def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The least node that each node reaches, by hooking roots to lesser ones and shortening paths."""
-    sides = [[b.column(k).to_numpy() for b in batches_] for batches_ in [list(batches)] for k in ("u", "v")]
-    u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in sides)
+def _roots(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All nodes, and the least node that each reaches, by hooking roots to lesser ones and shortening paths."""
     nodes, place = np.unique(np.concatenate([u, v]), return_inverse=True)
     a, b = place[: len(u)], place[len(u) :]
     root = np.arange(len(nodes))
@@ -52,26 +48,41 @@ def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             root = root[root]
         if (root == before).all():
             break
-    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[root])], ["node", "component"])
+    return nodes, nodes[root]
+
+
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges that join the same nodes as a partition's: of each CONTRACTED edges, every node with the least that it reaches."""
+    held: list[pa.RecordBatch] = []
+
+    def emitted() -> pa.RecordBatch:
+        u, v = (np.concatenate([b.column(k).to_numpy() for b in held]) for k in ("u", "v"))
+        nodes, roots = _roots(u, v)
+        above = nodes > roots
+        return pa.RecordBatch.from_arrays([pa.array(nodes[above]), pa.array(roots[above])], ["u", "v"])
+
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= CONTRACTED:
+            yield emitted()
+            held.clear()
+    if held:
+        yield emitted()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges (u, v); component is the least node reachable. Nodes without an edge have no row.
 
-    Each round beyond ONE_TASK_EDGES is written to the shared folder; the number of edges never grows. Null ends and loops are ignored.
+    Every round is written to the shared folder; the number of edges never grows. Null ends and loops are ignored. Rounds go on
+    until every node is linked to the least of its component alone, which large-star and small-star rounds always reach.
     """
-    now = stored(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    if now.count() <= ONE_TASK_EDGES:
-        return now.coalesce(1).mapInArrow(_labelled, "node bigint, component bigint")
-    for _ in range(MOST_ROUNDS):
-        if _settled(now):
-            break
+    ordered = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    now = stored(ordered.mapInArrow(_contracted, "u bigint, v bigint").distinct(), "edges")
+    while not _settled(now):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _toward_minimum(both, True).filter("u <> v").distinct()
         small = _toward_minimum(large, False).filter("u <> v").distinct()
-        after = stored(small, "edges")
+        after = stored(small.mapInArrow(_contracted, "u bigint, v bigint").distinct(), "edges")
         drop_stored(now)
         now = after
-    else:
-        raise RuntimeError("components did not converge")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from quern.llm.components import components
 from quern.llm.decontamination import build_index, contaminated, edits_allowed, search
-from quern.llm.near_dedup import near_duplicates
+from quern.llm.near_dedup import near_duplicates, near_groups
 from quern.llm.source_mix import targets
 from quern.sources.tables import load
 
@@ -75,6 +75,33 @@ def test_near_duplicates_of_a_large_loose_group(spark):
     assert result(near_duplicates(documents(spark, rows).repartition(5))) == classes_of([(x[0], x[1]) for x in rows])
 
 
+def test_near_duplicates_of_ids_with_several_texts(spark):
+    """Every text of an id has its own links, through the other texts of its id too only where those are similar."""
+    a, b = prose(61, 100), prose(62, 100)
+    rows = [(2, a, "en", "a"), (2, b, "en", "a"), (1, a + " more", "en", "a"), (3, b + " more", "en", "a"), (4, prose(63, 100), "en", "a"), (4, prose(63, 100), "en", "a")]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(documents(spark, rows)).collect())
+    assert got == [(1, 97, 1), (2, 96, 1), (2, 96, 2), (3, 97, 2), (4, 96, 4), (4, 96, 4)]
+    leads = sorted(r.doc_id for r in near_groups(documents(spark, rows)).collect() if r.leads)
+    assert leads == [1, 2, 4, 4]
+
+
+def test_blocks_around_a_pivot_lose_no_link(spark, monkeypatch):
+    """Loose copies around one text in many small blocks and chunks: components equal those of all pairs."""
+    module = sys.modules["quern.llm.near_dedup"]
+    for name, value in (("BLOCK_CLASSES", 16), ("CHUNK_CLASSES", 16), ("PRODUCT_COLUMNS", 8), ("PAIRS_AT_ONCE", 64)):
+        monkeypatch.setattr(module, name, value)
+    r = random.Random(5)
+    base, rows = prose(70, 120).split(), []
+    for i in range(400):
+        w = list(rows[r.randrange(len(rows))][1].split() if rows and r.random() < 0.5 else base)
+        for _ in range(r.choice((1, 2, 3, 3, 4, 5))):
+            w[r.randrange(len(w))] = f"edit{r.randrange(10**6)}"
+        rows.append((5000 - i, " ".join(w), "en", "a"))
+    want = classes_of([(x[0], x[1]) for x in rows])
+    assert len({c for _, c in want.values()}) > 20
+    assert result(near_duplicates(documents(spark, rows).repartition(7))) == want
+
+
 def test_near_duplicates_on_edge_rows(edge, no_documents):
     got = near_duplicates(edge).collect()
     assert len(got) == len(edge_rows()) and near_duplicates(no_documents).count() == 0
@@ -85,11 +112,16 @@ def test_near_duplicates_on_edge_rows(edge, no_documents):
     assert [r.component_id for r in got if r.doc_id is None] == [None, None]
 
 
-@pytest.mark.parametrize("one_task", [500_000, 0])
-def test_components_of_long_chains_and_hubs(spark, monkeypatch, one_task):
-    monkeypatch.setattr(sys.modules["quern.llm.components"], "ONE_TASK_EDGES", one_task)
+@pytest.mark.parametrize("contracted", [1 << 20, 1])
+def test_components_of_long_chains_and_hubs(spark, monkeypatch, contracted):
+    """In one contraction, and, where a partition contracts each edge by itself, by star rounds over the cluster."""
+    monkeypatch.setattr(sys.modules["quern.llm.components"], "CONTRACTED", contracted)
     edges = [(i, i + 1) for i in range(200, 260)] + [(1, k) for k in range(300, 400)] + [(500, 399), (7, 7), (None, 3)]
-    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1 if contracted == 1 else 10_000)
+    try:
+        got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u bigint, v bigint").repartition(8)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == {i: 200 for i in range(200, 261)} | {k: 1 for k in (1, *range(300, 400), 500)}
 
 

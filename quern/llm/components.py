@@ -1,4 +1,4 @@
-"""Connected components of an undirected edge table: each partition contracts its own edges, then large-star and small-star rounds join what is left."""
+"""Connected components of an undirected edge table: partitions of bounded size contract their own edges, then large-star and small-star rounds join what is left."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import drop_stored, stored
 
-#: Edges that a partition contracts at a time (16 bytes each), so that memory doesn't follow the partition.
+#: Edges of a partition that is contracted (16 bytes each).
 CONTRACTED = 1 << 20
 
 
@@ -74,15 +74,23 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges (u, v); component is the least node reachable. Nodes without an edge have no row.
 
     Every round is written to the shared folder; the number of edges never grows. Null ends and loops are ignored. Rounds go on
-    until every node is linked to the least of its component alone, which large-star and small-star rounds always reach.
+    until every node is linked to the least of its component alone, which large-star and small-star rounds always reach; edges that
+    fill one partition only are there after its contraction.
     """
-    ordered = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    now = stored(ordered.mapInArrow(_contracted, "u bigint, v bigint").distinct(), "edges")
-    while not _settled(now):
-        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    now = stored(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "edges")
+
+    def contracted(table: DataFrame) -> tuple[DataFrame, bool]:
+        parts = -(-table.count() // CONTRACTED)
+        out = stored(table.coalesce(max(parts, 1)).mapInArrow(_contracted, "u bigint, v bigint"), "edges")
+        drop_stored(table)
+        return out, parts <= 1 or _settled(out.distinct())
+
+    now, settled = contracted(now)
+    while not settled:
+        edges = now.distinct()
+        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _toward_minimum(both, True).filter("u <> v").distinct()
-        small = _toward_minimum(large, False).filter("u <> v").distinct()
-        after = stored(small.mapInArrow(_contracted, "u bigint, v bigint").distinct(), "edges")
+        small = stored(_toward_minimum(large, False).filter("u <> v").distinct(), "edges")
         drop_stored(now)
-        now = after
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
+        now, settled = contracted(small)
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v")).distinct()

@@ -14,12 +14,11 @@ import corpus_pipeline
 from quern.llm.components import components
 from quern.llm.decontamination import build_index, contaminated, edits_allowed, search
 from quern.llm.near_dedup import near_duplicates, near_groups
-from quern.llm.source_mix import targets
 from quern.sources.tables import load
 
 from .conftest import documents, edge_rows, prose
 from .test_kernels import edit_infix, lowered
-from .test_native import base_counts, base_secrets
+from .test_native import base_counts, base_secrets, plain_targets
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -127,7 +126,7 @@ def test_components_of_long_chains_and_hubs(spark, monkeypatch, contracted):
 
 def planted(spark):
     r = random.Random(9)
-    items = [(k, prose(700 + k, n)) for k, n in enumerate((8, 12, 20, 33, 60, 150))] + [(90, "too short"), (91, None), (None, prose(5, 30))]
+    items = [(k, prose(700 + k, n)) for k, n in enumerate((8, 12, 20, 33, 60, 150))] + [(90, "a short item"), (90, "of one id"), (91, None), (92, "..."), (None, prose(5, 30))]
     rows, want = [], set()
     for i in range(120):
         words = prose(i, 120).split()
@@ -138,11 +137,13 @@ def planted(spark):
                 leak[r.randrange(len(leak))] = "changed"
             at = r.randrange(len(words))
             words[at:at] = leak
+        if i % 10 == 0:
+            words[5:5] = ["A", "short,", "item" if i % 20 else "thing", "of", "one", "id"]
         rows.append((i, " ".join(words).upper() if i % 2 else " ".join(words), "en", "a"))
     for i, text, *_ in rows:
         for k, item in items:
             own = re.findall("[a-z0-9]+", (item or "").lower())
-            if k is not None and len(own) >= 8 and edit_infix(own, re.findall("[a-z0-9]+", text.lower())) <= edits_allowed(len(own)):
+            if k is not None and own and edit_infix(own, re.findall("[a-z0-9]+", text.lower())) <= (edits_allowed(len(own)) if len(own) >= 8 else 0):
                 want.add((i, k))
     return rows, items, want
 
@@ -169,6 +170,15 @@ def test_a_partial_quote_does_not_hide_a_whole_copy(spark):
     assert got == {(i, i): 0 for i in range(40)}
 
 
+def test_items_without_blanks_and_repeated_ids(spark):
+    """Characters of scripts without blanks are words; items that share an id are all searched, across blocks too."""
+    item = "我们在河边测量水位并记录每天的变化情况直到春天结束"
+    rows = [(1, "前言。" + item + "。后记", "zh", "a"), (2, "前言。" + item[:10] + "换" + item[11:] + "。后记", "zh", "a"), (3, item[:8], "zh", "a"), (4, prose(1, 40), "en", "a")]
+    items = spark.createDataFrame([(7, item), (7, prose(1, 40)), (7, prose(2, 40))], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id, r.distance) for r in contaminated(documents(spark, rows), items).collect()}
+    assert got == {(1, 7, 0), (2, 7, 1), (4, 7, 0)}
+
+
 @pytest.mark.parametrize("n", [8, 15, 30, 48, 49, 60, 80, 97, 100, 120, 150])
 def test_items_with_all_allowed_edits_are_found(n):
     r = random.Random(n)
@@ -187,10 +197,14 @@ def test_items_with_all_allowed_edits_are_found(n):
 def test_benchmark_blocks(spark, monkeypatch):
     from quern.llm import decontamination
 
-    monkeypatch.setattr(decontamination, "BLOCK_ITEMS", 2)
     rows, items, want = planted(spark)
-    got = contaminated(documents(spark, rows), spark.createDataFrame(items, "item_id bigint, text string")).collect()
-    assert {(r.doc_id, r.item_id) for r in got} == want
+    items += [(90, items[k][1]) for k in range(4)]  # more items than a block share the id
+    want |= {(i, 90) for i, k in want if k in range(4)}
+    for name, value in (("BLOCK_ITEMS", 2), ("BLOCK_BYTES", 300)):
+        with monkeypatch.context() as m:
+            m.setattr(decontamination, name, value)
+            got = contaminated(documents(spark, rows), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+        assert {(r.doc_id, r.item_id) for r in got} == want
 
 
 def test_pipeline_equals_its_stages_by_brute_force(spark, sf_dir):
@@ -217,5 +231,5 @@ def test_pipeline_equals_its_stages_by_brute_force(spark, sf_dir):
     sizes: dict = {}
     for r in masked.values():
         sizes[r.source] = sizes.get(r.source, 0) + len(WORD.findall(r.text))
-    want_mix = targets(sizes)
+    want_mix = plain_targets(sizes)
     assert {r.doc_id for r in mix} == set(masked) and all(r.target == pytest.approx(want_mix[masked[r.doc_id].source]) for r in mix)

@@ -22,7 +22,7 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = comp
 _DROP = f"greatest(length(bin(value)) - {SKETCH_BITS}, 0)"
 _RATES = ", ".join(f"({rule.replace(' DIV ', ' // ')})::BIGINT AS {k}" for k, (rule, _) in RULES.items())
 _LONG = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS rule, {k} AS value FROM measured WHERE NOT base_failed" for k in RULES)
-_FLOOR = "CASE rule " + " ".join(f"WHEN '{k}' THEN {least}" for k, (_, least) in RULES.items()) + " END"
+_SPREAD = "CASE rule " + " ".join(f"WHEN '{k}' THEN {least}" for k, (_, least) in RULES.items()) + " END"
 _WIDE = ", ".join(f"max(lim) FILTER (WHERE rule = '{k}')::BIGINT AS {k}_limit" for k in RULES)
 _ABOVE = " OR ".join(f"coalesce({k} > {k}_limit, false)" for k in RULES)
 
@@ -33,13 +33,13 @@ runs AS (SELECT r, i, count(*) OVER (PARTITION BY r, x) AS times FROM (SELECT r,
 covered AS (SELECT r, sum(least(8, coalesce(after - i, 8)))::BIGINT AS n FROM (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS after FROM runs WHERE times > 1) GROUP BY r),
 counted AS (SELECT worded.r, doc_id, lang, source, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\x09-\x0D\x20]', '', 'g'))::BIGINT AS word_chars,
     (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
-    coalesce(covered.n, 0)::BIGINT AS n_repeat_words FROM worded LEFT JOIN covered ON worded.r = covered.r),
+    len(list_filter(w, lambda x, i: i > 1 AND x = w[i - 1]))::BIGINT AS n_echoes, coalesce(covered.n, 0)::BIGINT AS n_repeat_words FROM worded LEFT JOIN covered ON worded.r = covered.r),
 measured AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, {_RATES} FROM counted),
 rates AS ({_LONG}),
 sketch AS (SELECT lang, source, rule, (((value >> {_DROP}) + 1) << {_DROP}) - 1 AS bucket, count(*) AS n FROM rates GROUP BY ALL),
 ranked AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, rule ORDER BY bucket) AS seen, sum(n) OVER (PARTITION BY lang, source, rule) AS total FROM sketch),
 quartiles AS (SELECT lang, source, rule, min(bucket) FILTER (WHERE seen >= (total + 3) // 4) AS q1, min(bucket) FILTER (WHERE seen >= (total * 3 + 3) // 4) AS q3 FROM ranked GROUP BY ALL),
-limited AS (SELECT lang AS l, source AS s, {_WIDE} FROM (SELECT lang, source, rule, greatest(q3 + {FENCE} * (q3 - q1), {_FLOOR}) AS lim FROM quartiles) GROUP BY lang, source)
+limited AS (SELECT lang AS l, source AS s, {_WIDE} FROM (SELECT lang, source, rule, q3 + greatest({FENCE} * (q3 - q1), {_SPREAD}) AS lim FROM quartiles) GROUP BY lang, source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({_ABOVE}) AS kept, {", ".join(RULES)}, {", ".join(f"{k}_limit" for k in RULES)}
 FROM measured LEFT JOIN limited ON lang IS NOT DISTINCT FROM l AND source IS NOT DISTINCT FROM s
 """

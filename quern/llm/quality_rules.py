@@ -1,11 +1,12 @@
 """Operator 7: quality rules with adaptive thresholds, in DataFrame functions only.
 
-Every text gets counts of words, symbols, repeated lines and words in repeated windows. Each rule's figure is summed into a
-sketch per language and source: a table of bucket counts, where a bucket holds the values that share their leading
+Every text gets counts of words, symbols, repeated lines, words in repeated windows and words that echo the one before. Each
+rule's figure is summed into a sketch per language and source: a table of bucket counts, where a bucket holds the values that share their leading
 SKETCH_BITS bits (a log-linear histogram, relative error 2**-(SKETCH_BITS - 1)). Such sketches merge by adding counts, so the
 partial aggregation before the shuffle is the merge, and the result does not depend on how rows are dealt. A group's
-limit is its upper quartile plus FENCE times its interquartile range, but at least the rule's floor; the documents are
-joined to their group's limits and filtered.
+limit is its upper quartile plus FENCE times its interquartile range, and lies at least the rule's least spread above that quartile,
+so that a group in which most figures are equal doesn't lose its clean documents; the documents are joined to their group's
+limits and filtered. No limit is a fixed cutoff: each moves with its group's quantiles.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import BLANKS, stored, text_column, words
+from quern.llm.common import BLANKS, let, stored, text_column, words
 
 WINDOW = 8
 LEAST_WORDS = 20
@@ -21,20 +22,15 @@ MOST_REPEATED_PERCENT = 30
 SYMBOLS = "#*$%&|<>"
 SKETCH_BITS = 7
 FENCE = 3
-#: Rule: (its figure per mille, as SQL over the counts; the least limit). A document above its group's limit is rejected.
+#: Rule: (its figure per mille, as SQL over the counts; the least spread). A document above its group's limit is rejected.
 RULES = {
     "symbol_rate": ("1000 * n_symbols DIV greatest(n_words, 1)", 250),
     "dup_line_rate": ("1000 * n_dup_lines DIV greatest(n_lines, 1)", 400),
-    "repeat_rate": ("1000 * n_repeat_words DIV greatest(n_words, 1)", 300),
-    "word_length": ("1000 * word_chars DIV greatest(n_words, 1)", 15000),
+    "echo_rate": ("1000 * n_echoes DIV greatest(n_words, 1)", 150),
+    "word_length": ("1000 * word_chars DIV greatest(n_words, 1)", 1500),
 }
 
 
-def _let(value: Column, body) -> Column:
-    """body(value), with value computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _repeated_words(hashes: Column) -> Column:
     """Words covered by the windows whose hash occurs more than once. hashes: one per window start.
 
@@ -51,7 +47,7 @@ def _repeated_words(hashes: Column) -> Column:
         return F.array_sort(F.transform(equal, lambda x: x["p"]))
 
     placed = F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("p")))
-    return _let(F.array_sort(placed), lambda s: _let(starts(s), covered))
+    return let(F.array_sort(placed), lambda s: let(starts(s), covered))
 
 
 def counts(docs: DataFrame) -> DataFrame:
@@ -68,6 +64,7 @@ def counts(docs: DataFrame) -> DataFrame:
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
         F.size("lines").cast("bigint").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("n_dup_lines"),
+        F.size(F.filter("w", lambda x, i: (i > 0) & (x == F.get("w", i - 1)))).cast("bigint").alias("n_echoes"),
         F.when(F.size(F.array_distinct("h")) == F.size("h"), F.lit(0).cast("bigint")).otherwise(_repeated_words(F.col("h"))).alias("n_repeat_words"),
     )
 
@@ -94,8 +91,9 @@ def limits(measured: DataFrame) -> DataFrame:
             lambda s: s["at"],
         )
 
-    floor = F.create_map(*[F.lit(x) for k, (_, least) in RULES.items() for x in (k, least)])
-    return group.select("lang", "source", "rule", quantile(1).alias("q1"), quantile(3).alias("q3")).select("lang", "source", "rule", F.greatest(F.col("q3") + FENCE * (F.col("q3") - F.col("q1")), F.element_at(floor, F.col("rule")).cast("bigint")).alias("limit"))
+    spread = F.create_map(*[F.lit(x) for k, (_, least) in RULES.items() for x in (k, least)])
+    reach = F.greatest(FENCE * (F.col("q3") - F.col("q1")), F.element_at(spread, F.col("rule")).cast("bigint"))
+    return group.select("lang", "source", "rule", quantile(1).alias("q1"), quantile(3).alias("q3")).select("lang", "source", "rule", (F.col("q3") + reach).alias("limit"))
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:

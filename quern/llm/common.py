@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quern.storage import drop_stored, stored
 
-__all__ = ["BLANKS", "PUNCTUATED", "STEP_BYTES", "drop_stored", "hashed_words", "mix", "steps", "stored", "string_buffers", "text_column", "words"]
+__all__ = ["BLANKS", "PUNCTUATED", "STEP_BYTES", "drop_stored", "hashed_words", "let", "mix", "steps", "stored", "string_buffers", "text_column", "words"]
 
 #: The white space of the word definition, [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\x0c\r"
@@ -19,6 +19,11 @@ BLANKS = " \t\n\x0b\x0c\r"
 STEP_BYTES = 1 << 17
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def words(text: str | Column) -> Column:
     """The words [^\\x20\\x09-\\x0D]+ of a text, in order; null gives an empty array."""
     trimmed = F.btrim(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), F.lit(BLANKS))
@@ -84,11 +89,12 @@ def steps(column: pa.Array, most: int = STEP_BYTES) -> Iterator[tuple[int, int,
         i = j
 
 
-def hashed_words(data: np.ndarray, at: np.ndarray, lower: bool = True, blanks: np.ndarray = _SPACE, tail: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+def hashed_words(data: np.ndarray, at: np.ndarray, lower: bool = True, blanks: np.ndarray = _SPACE, tail: np.ndarray | None = None, unspaced: bool = False) -> tuple[np.ndarray, ...]:
     """(first byte, end byte, row, 64-bit hash, whether cut) of each word of the rows at[0]:at[1], at[1]:at[2]...; A-Z count as a-z if lower. blanks: which bytes part words.
 
     tail: one such byte after an ASCII letter or digit is cut off a word's end, and a fifth array says where that was done.
-    Without tail, there are four arrays.
+    Without tail, there are four arrays. unspaced: characters of the scripts written without blanks (UTF-8 from U+3000 to U+D7FF) are words
+    of their own.
     """
     n = len(data)
     if not n:
@@ -102,6 +108,10 @@ def hashed_words(data: np.ndarray, at: np.ndarray, lower: bool = True, blanks: n
     last = ~blank
     last[:-1] &= blank[1:]
     last[cuts - 1] = ~blank[cuts - 1]
+    if unspaced and len(lead := np.flatnonzero((data >= 0xE3) & (data <= 0xED))):
+        first[lead] = last[np.minimum(lead + 2, n - 1)] = True
+        after, before = lead[lead + 3 < n] + 3, lead[lead > 0] - 1
+        first[after], last[before] = ~blank[after], ~blank[before]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
     cut = np.zeros(len(start), bool)
     if tail is not None:

@@ -11,20 +11,23 @@ The CGK embedding walks through a window: at step j it emits the current word an
 walks over sequences at edit distance d meet again soon after each edit, so the embeddings' Hamming distance is of
 the order of d squared at most, whatever the window's length. Each of REPEATS walks is hashed at SAMPLED random
 steps; windows that meet an item in any repeat are candidates, and each is verified by the exact edit distance.
+
+Items of fewer than LEAST_ITEM words leave no room for edits: they are found word for word, by the hash of the whole item.
+Characters of scripts written without blanks count as words.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
-from functools import cache
+from dataclasses import dataclass, field
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import PUNCTUATED, hashed_words, mix, steps, text_column
+from quern.llm.common import PUNCTUATED, hashed_words, mix, steps, stored, text_column
 
 MOST_EDITS = 0.2
 REPEATS, SAMPLED = 48, 4
@@ -32,8 +35,9 @@ STRETCH = 2
 LEAST_ITEM = 8
 #: Longer items are known by equal windows of at most this size side by side, one of which has no more than its share of the edits.
 MOST_WINDOW = 48
-#: Items in one broadcast index: REPEATS * 24 bytes a window, and their words. A larger benchmark is searched in blocks.
-BLOCK_ITEMS = 20_000
+#: Items and bytes of text in one broadcast index of about 15 bytes for each of the text (REPEATS * 24 for each window). A larger
+#: benchmark is searched in blocks; an item longer than that is a block of its own.
+BLOCK_ITEMS, BLOCK_BYTES = 20_000, 4 << 20
 _PAD = np.uint64(0)
 _WINDOWS_AT_ONCE = 1 << 12
 
@@ -88,10 +92,11 @@ def embed(windows: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    """What a block of the benchmark is searched with; its size is bounded by BLOCK_ITEMS and the items' words."""
+    """What a block of the benchmark is searched with; its size is bounded by BLOCK_ITEMS and BLOCK_BYTES."""
 
     ids: list[int]
     items: list[np.ndarray]
+    short: dict[int, tuple[np.ndarray, np.ndarray]] = field(repr=False)  # by number of words: sorted hashes of whole items, and the items
     vocabulary: np.ndarray  # hashes of pairs of neighbouring words
     member: np.ndarray  # of each pair in the vocabulary and each window size: whether an item of that size has the pair
     sizes: list[int]
@@ -106,31 +111,51 @@ def pairs(word: np.ndarray) -> np.ndarray:
         return mix(word[:-1] * np.uint64(0x9E3779B97F4A7C15) + word[1:])
 
 
+def sequences(word: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the runs of n words."""
+    out = np.full(max(len(word) - n + 1, 0), n, np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(n):
+            out = mix(out * np.uint64(0x9E3779B97F4A7C15) + word[k : k + len(out)])
+    return out
+
+
+def words_of(text: str | None) -> np.ndarray:
+    raw = np.frombuffer((text or "").encode(), np.uint8)
+    return hashed_words(raw, np.array([0, len(raw)]), blanks=PUNCTUATED, unspaced=True)[3]
+
+
 def build_index(ids: list[int], texts: list[str | None]) -> Index:
-    """Items of fewer than LEAST_ITEM words are too short to tell a leak and are left out."""
-    kept, items = [], []
-    for i, text in zip(ids, texts, strict=True):
-        raw = np.frombuffer((text or "").encode(), np.uint8)
-        words = hashed_words(raw, np.array([0, len(raw)]), blanks=PUNCTUATED)[3]
-        if len(words) >= LEAST_ITEM:
-            kept.append(i)
-            items.append(words)
-    keys, owner, shift = [], [], []
+    """Items without a word are left out."""
+    items = [words_of(x) for x in texts]
+    kept, items = [i for i, x in zip(ids, items, strict=True) if len(x)], [x for x in items if len(x)]
+    long, short = [], {}
     for k, words in enumerate(items):
-        size, starts = windows_of(len(words))
-        for at in starts:
-            keys.append(embed(words[None, at : at + size])[:, 0])
-            owner.append(k)
-            shift.append(at)
-    every = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+        (long if len(words) >= LEAST_ITEM else short.setdefault(len(words), [])).append(k)
+    for n, own in short.items():
+        value = np.concatenate([sequences(items[k], n) for k in own])
+        order = np.argsort(value, kind="stable")
+        short[n] = value[order], np.array(own)[order]
+    known: dict[int, list[tuple[int, int]]] = {}
+    for k in long:
+        size, starts = windows_of(len(items[k]))
+        known.setdefault(size, []).extend((k, at) for at in starts)
+    keys, owner, shift = [np.zeros(0, np.uint64)], [], []
+    for size, places in known.items():
+        for a in range(0, len(places), _WINDOWS_AT_ONCE):
+            some = places[a : a + _WINDOWS_AT_ONCE]
+            keys.append(embed(np.stack([items[k][at : at + size] for k, at in some])).T.ravel())
+            owner += [k for k, _ in some]
+            shift += [at for _, at in some]
+    every = np.concatenate(keys)
     order = np.argsort(every, kind="stable")
     pick = lambda x: np.repeat(np.array(x, np.int64), REPEATS)[order]
-    sizes = sorted({windows_of(len(x))[0] for x in items})
-    vocabulary = np.unique(np.concatenate([pairs(x) for x in items])) if items else np.zeros(0, np.uint64)
+    sizes = sorted({windows_of(len(items[k]))[0] for k in long})
+    vocabulary = np.unique(np.concatenate([pairs(items[k]) for k in long])) if long else np.zeros(0, np.uint64)
     member = np.zeros((len(vocabulary), len(sizes)), bool)
-    for x in items:
-        member[np.searchsorted(vocabulary, pairs(x)), sizes.index(windows_of(len(x))[0])] = True
-    return Index(kept, items, vocabulary, member, sizes, every[order], pick(owner), pick(shift))
+    for k in long:
+        member[np.searchsorted(vocabulary, pairs(items[k])), sizes.index(windows_of(len(items[k]))[0])] = True
+    return Index(kept, items, short, vocabulary, member, sizes, every[order], pick(owner), pick(shift))
 
 
 def infix_distance(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
@@ -174,23 +199,36 @@ def _candidates(index: Index, word: np.ndarray, ends: np.ndarray, known: np.ndar
     return found
 
 
-def search(index: Index, data: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
-    """(row, item number, distance, first word, end word) of the nearest stretch of each contaminated row and item."""
-    _, _, row, word = hashed_words(data, at, blanks=PUNCTUATED)
-    if not len(word) or not index.items:
-        return
+def _windows(index: Index, word: np.ndarray, row: np.ndarray, ends: np.ndarray) -> set[tuple[int, int, int]]:
+    """The candidates of the items that are searched by windows."""
+    if not len(index.vocabulary):
+        return set()
     bits = np.zeros(1 << 20, bool)
     bits[index.vocabulary & np.uint64((1 << 20) - 1)] = True
     pair = pairs(word)
     maybe = np.flatnonzero(bits[pair & np.uint64((1 << 20) - 1)] & (row[1:] == row[:-1]))
     place = np.minimum(np.searchsorted(index.vocabulary, pair[maybe]), len(index.vocabulary) - 1)
     same = index.vocabulary[place] == pair[maybe]
-    known, place = maybe[same], place[same]
+    return _candidates(index, word, ends, maybe[same], place[same])
+
+
+def search(index: Index, data: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, int, int, int, int]]:
+    """(row, item number, distance, first word, end word, words of the row) of the nearest stretch of each contaminated row and item."""
+    _, _, row, word = hashed_words(data, at, blanks=PUNCTUATED, unspaced=True)
+    if not len(word) or not index.items:
+        return
     bounds = np.searchsorted(row, np.arange(len(at)))
     ends = bounds[1:][row]
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
     regions: dict[tuple[int, int], list[int]] = {}
-    for row_end, p, k in _candidates(index, word, ends, known, place):
+    for n, (keys, own) in index.short.items():
+        value = sequences(word, n)
+        lo, hi = np.searchsorted(keys, value, "left"), np.searchsorted(keys, value, "right")
+        for p in np.flatnonzero((hi > lo) & (np.arange(len(value)) + n <= ends[: len(value)])):
+            for k in own[lo[p] : hi[p]]:
+                r = int(row[p])
+                best.setdefault((r, int(k)), (0, int(p - bounds[r]), int(p - bounds[r]) + n))
+    for row_end, p, k in _windows(index, word, row, ends):
         regions.setdefault((int(row[row_end - 1]), k), []).append(p)
     for (r, k), places in regions.items():
         item = index.items[k]
@@ -210,38 +248,58 @@ def search(index: Index, data: np.ndarray, at: np.ndarray) -> Iterator[tuple[int
                 now = (distance, low + first - int(bounds[r]), low + end - int(bounds[r]))
                 best[r, k] = min(now, best.get((r, k), now))
     for (r, k), (distance, first, end) in best.items():
-        yield r, k, distance, first, end
+        yield r, k, distance, first, end, int(bounds[r + 1] - bounds[r])
+
 
+COLUMNS = ("item_id", "item_words", "distance", "first_word", "end_word", "doc_words")
 
-def _searched(index: Index):
+
+def _searched(index: Index, own: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, out = batch.column("doc_id"), []
+            out = []
             for i, _, data, at in steps(batch.column("text")):
-                out += [(i + r, index.ids[k], len(index.items[k]), d, a, b) for r, k, d, a, b in search(index, data, at)]
-            rows, *rest = (list(x) for x in zip(*out, strict=True)) if out else ([], [], [], [], [], [])
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows, pa.int64())), *[pa.array(x, pa.int64()) for x in rest]], ["doc_id", "item_id", "item_words", "distance", "first_word", "end_word"])
+                out += [(i + r, index.ids[k], len(index.items[k]), *x) for r, k, *x in search(index, data, at)]
+            rows, *rest = (list(x) for x in zip(*out, strict=True)) if out else [[]] * (1 + len(COLUMNS))
+            kept = [batch.column(c).take(pa.array(rows, pa.int64())) for c in own]
+            yield pa.RecordBatch.from_arrays([*kept, *[pa.array(x, pa.int64()) for x in rest]], [*own, *COLUMNS])
 
     return run
 
 
+def _blocks(items: DataFrame) -> Iterator[list]:
+    """All rows of items, in runs of at most BLOCK_ITEMS rows and BLOCK_BYTES of text (or one item)."""
+    block, size = [], 0
+    for r in items.toLocalIterator():
+        n = len(r.text.encode())
+        if block and (len(block) == BLOCK_ITEMS or size + n > BLOCK_BYTES):
+            yield block
+            block, size = [], 0
+        block.append(r)
+        size += n
+    yield block
+
+
+def leaks(base: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The columns of base but for text, and COLUMNS: one row for each row of base and item of the benchmark that its text holds."""
+    items = benchmark.select(benchmark["item_id"].cast("bigint").alias("item_id"), text_column(benchmark).alias("text")).filter("item_id is not null")
+    own = [c for c in base.columns if c != "text"]
+    kinds = dict(base.dtypes)
+    schema = ", ".join([f"{c} {kinds[c]}" for c in own] + [f"{c} bigint" for c in COLUMNS])
+    done: list[DataFrame] = []
+    now = None
+    for block in _blocks(items):
+        if now is not None:  # another block follows: only one index is held at a time
+            done.append(stored(now, "leaks"))
+        now = base.mapInArrow(_searched(build_index([r.item_id for r in block], [r.text for r in block]), own), schema)
+    return reduce(DataFrame.union, [*done, now])
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, item_words, distance, first_word, end_word: one row per document row and benchmark item that it holds.
+    """doc_id, item_id, item_words, distance, first_word, end_word, doc_words: one row per document row and benchmark item that it holds.
 
-    docs: doc_id, text; benchmark: item_id, text; other columns are ignored. Null or empty texts hold nothing, null or short
-    items are not searched. Repeated rows each give their rows. An empty benchmark gives no rows.
+    docs: doc_id, text; benchmark: item_id, text; other columns are ignored. Null or empty texts hold nothing; items without id or
+    words are not searched; rows that repeat an item_id are items of their own. Repeated documents each give their rows. An empty
+    benchmark gives no rows.
     """
-    items = benchmark.select(benchmark["item_id"].cast("bigint").alias("item_id"), text_column(benchmark).alias("text")).filter("item_id is not null")
-    base = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), text_column(docs).alias("text"))
-    schema = "doc_id bigint, item_id bigint, item_words bigint, distance bigint, first_word bigint, end_word bigint"
-    out, after = None, None
-    while True:
-        block = items if after is None else items.filter(F.col("item_id") > after)
-        rows = block.orderBy("item_id").limit(BLOCK_ITEMS).collect()
-        if not rows and out is not None:
-            return out
-        found = base.mapInArrow(_searched(build_index([r.item_id for r in rows], [r.text for r in rows])), schema)
-        out = found if out is None else out.union(found)
-        if len(rows) < BLOCK_ITEMS:
-            return out
-        after = rows[-1].item_id
+    return leaks(docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), text_column(docs).alias("text")), benchmark)

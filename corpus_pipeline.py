@@ -11,9 +11,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import stored
-from quern.llm.decontamination import contaminated
-from quern.llm.near_dedup import near_duplicates
+from quern.llm.common import stored, text_column
+from quern.llm.decontamination import LEAST_ITEM, leaks
+from quern.llm.near_dedup import near_groups
 from quern.llm.quality_rules import quality_rules
 from quern.llm.secret_scan import redact
 from quern.llm.source_mix import mix_sources
@@ -32,26 +32,33 @@ def _without(docs: DataFrame, gone: DataFrame, key: list[F.Column]) -> DataFrame
     return docs.join(gone.toDF(*names).distinct(), cond, "left_anti")
 
 
+def _own(*columns: str) -> F.Column:
+    """A hash that tells rows of one doc_id apart; null counts as empty."""
+    return F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
+
+
 def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    own = F.xxhash64("text", "lang", "source")
+    own = _own("text", "lang", "source")
     verdicts = quality_rules(docs.withColumn("doc_id", F.struct("doc_id", own.alias("own"))))
     gone = stored(verdicts.filter(~F.col("kept")).select("doc_id.doc_id", "doc_id.own"), "rejected")
     return _without(docs, gone, [F.col("doc_id"), own])
 
 
 def _near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: the one with the least doc_id; a repeated row stays once."""
-    groups = stored(near_duplicates(docs), "groups")
-    left = _without(docs, groups.filter(~F.col("kept")).select("doc_id"), [F.col("doc_id")])
-    again = not groups.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").isEmpty()
-    return left.dropDuplicates(["doc_id", "text"]) if again else left
+    """One document of each group of near duplicates stays: the one with the least doc_id and text hash; a repeated row stays once."""
+    groups = stored(near_groups(docs).select("doc_id", "own", "leads"), "groups")
+    left = _without(docs, groups.filter(~F.col("leads")).select("doc_id", "own"), [F.col("doc_id"), _own("text")])
+    if groups.filter("doc_id is not null").groupBy("doc_id", "own").count().filter("count > 1").isEmpty():
+        return left
+    return left.filter("doc_id is null").union(left.filter("doc_id is not null").dropDuplicates(["doc_id", "text"]))
 
 
 def _clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold an item of the benchmark go."""
-    found = stored(contaminated(docs, load(spark, sf_dir, "benchmark")).select("doc_id"), "leaks")
-    return _without(docs, found, [F.col("doc_id")])
+    """Documents that hold an item of the benchmark go; one of fewer than LEAST_ITEM words must be all that the document says."""
+    base = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), _own("text").alias("own"), text_column(docs).alias("text"))
+    found = leaks(base, load(spark, sf_dir, "benchmark")).filter((F.col("item_words") >= LEAST_ITEM) | (F.col("item_words") == F.col("doc_words")))
+    return _without(docs, stored(found.select("doc_id", "own"), "leaks"), [F.col("doc_id"), _own("text")])
 
 
 def _secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,16 +1,18 @@
 """Operator 6: documents scored by masked pseudo-likelihood under a bidirectional window network trained in numpy.
 
 Tokens are lower-cased runs of letters and digits. Each token is hidden in turn and predicted from the SIDE tokens on either
-side; a document's score is the sum of the log-probabilities. A token's probability is that of its class given the
-window, times that of the token within the class. The TOP most frequent words are put into classes by frequency; all others into
-classes by length. There a word's own count decides, less a discount of one that goes to the spelling: a byte-bigram model
-over all tokens, normalised for each length, which alone speaks for words seen once.
-
-Three passes read the whole corpus. The first counts words and byte pairs, summed by key over the cluster. The second
-trains the network: each task goes through all of its tokens from the same start, and the parameters are averaged by tokens. The
-third scores, and stores the words outside the TOP of each text, which are then joined with the stored counts of all words by
-shuffling. So only TOP words, 257 * 257 byte-pair counts, two sums a length class and the averaged parameters go to the driver; the
-counts, which grow with the corpus, stay distributed.
+side; a document's score is the sum of the log-probabilities. The network has a vector for each of the TOP most frequent words, and
+BUCKETS for the others by hash, in each place around the hidden token; one hidden layer gives the odds of the token's class, and the odds of
+the word within it. Words of like frequency form a class of CLASS_WORDS (so a softmax needs no more than that many words at a time);
+the words outside the TOP form classes by length. There a word's own count decides, less a discount of one that goes to the
+spelling: a byte-bigram model over all tokens, normalised for each length, which alone speaks for words seen once.
+
+The first pass counts words and byte pairs, summed by key over the cluster. Training takes ROUNDS rounds that each go through a part
+of the documents: shards that depend on doc_id and text alone train from the same start, and their parameters are averaged by tokens,
+so that every token is learnt from once and the model doesn't depend on how rows are dealt. The last pass scores, and stores the words
+outside the TOP of each text, which are then joined with the stored counts of all words by shuffling. So only TOP words, 257 * 257
+byte-pair counts, two sums a length class and the averaged parameters go to the driver; the counts, which grow with the corpus,
+stay distributed.
 """
 
 from __future__ import annotations
@@ -26,11 +28,15 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import PUNCTUATED, hashed_words, steps, stored, text_column
 
-TOP = 8192
+TOP, CLASS_WORDS, BUCKETS = 2048, 64, 512
 SIDE = 2
-COMMON_CLASSES, LENGTH_CLASSES, HIDDEN = 48, 12, 16
+COMMON_CLASSES, LENGTH_CLASSES, HIDDEN = TOP // CLASS_WORDS, 12, 16
 CLASSES = COMMON_CLASSES + LENGTH_CLASSES
-BATCH, RATE = 8192, 0.01
+#: Stands where the text has no token.
+NOTHING = TOP + BUCKETS
+BATCH, ROUNDS, RATES = 2048, 4, (0.02, 0.01, 0.005, 0.0025)
+#: Tokens of a shard, unless there would be more than MOST_SHARDS; each shard's parameters are sent once a round in CHUNKS pieces.
+SHARD_TOKENS, MOST_SHARDS, CHUNKS = 1 << 19, 4096, 16
 _STEP = 1 << 18
 _LOWERED = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.int64)
 
@@ -57,22 +63,21 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Lexicon:
-    """Sorted hashes of the most frequent words with their classes and log-probabilities, and the spelling model."""
+    """Sorted hashes of the most frequent words with their ranks, the spelling model, and where the network starts: at plain counts."""
 
     keys: np.ndarray
-    group: np.ndarray
-    inside: np.ndarray
+    rank: np.ndarray
     spell: np.ndarray
     length_mass: np.ndarray
+    class_odds: np.ndarray
+    word_odds: np.ndarray
 
 
-def build_lexicon(top: list[tuple[int, int]], pairs: dict[int, int]) -> Lexicon:
-    """top: (word hash, count) in falling order of counts; pairs: byte-pair counts."""
+def build_lexicon(top: list[tuple[int, int]], pairs: dict[int, int], others: np.ndarray) -> Lexicon:
+    """top: (word hash, count) in falling order of counts; pairs: byte-pair counts; others: tokens outside the top of each length class."""
     keys = np.array([k for k, _ in top], np.int64).view(np.uint64)
-    n = np.array([c for _, c in top], float)
-    mass = np.cumsum(np.sqrt(n))
-    group = np.minimum((mass - np.sqrt(n)) / (mass[-1] if len(n) else 1) * COMMON_CLASSES, COMMON_CLASSES - 1).astype(np.int64)
-    inside = np.log(n / np.bincount(group, weights=n, minlength=COMMON_CLASSES)[group]) if len(n) else n
+    n = np.zeros(TOP)
+    n[: len(top)] = [c for _, c in top]
     table = np.zeros(257 * 257)
     for k, c in pairs.items():
         table[k] = c
@@ -88,158 +93,266 @@ def build_lexicon(top: list[tuple[int, int]], pairs: dict[int, int]) -> Lexicon:
         spell = np.log(chance)
     spell[0, 0] = 0.0  # stands between words, where nothing is spelt
     order = np.argsort(keys, kind="stable")
-    return Lexicon(keys[order], group[order], inside[order], spell.ravel(), np.log(np.array(lengths)))
+    n = n.reshape(COMMON_CLASSES, CLASS_WORDS)
+    classes = np.concatenate([n.sum(1), others]) + 0.5
+    return Lexicon(keys[order], order, spell.ravel(), np.log(np.array(lengths)), np.log(classes / classes.sum()), np.log((n + 1e-6) / (n + 1e-6).sum(1, keepdims=True)))
+
 
+@dataclass
+class Tokens:
+    """Of every token: its row, its class, its place in a class of words (0 in one by length), its number as a neighbour, its hash, and the log-probability of its spelling."""
 
-def tokens(lexicon: Lexicon, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, class and log-probability within the class of every token; in the classes by length, that of the spelling."""
-    return hashed_tokens(lexicon, data, at)[:3]
+    row: np.ndarray
+    group: np.ndarray
+    place: np.ndarray
+    number: np.ndarray
+    value: np.ndarray
+    spelt: np.ndarray
 
 
-def hashed_tokens(lexicon: Lexicon, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
-    """What ``tokens`` gives, and the hash of every token."""
+def tokens(lexicon: Lexicon, data: np.ndarray, at: np.ndarray) -> Tokens:
     start, end, row, value = hashed_words(data, at, blanks=PUNCTUATED)
-    length = end - start
-    group = COMMON_CLASSES + np.minimum(length, LENGTH_CLASSES) - 1
+    length = np.minimum(end - start, LENGTH_CLASSES) - 1
+    group, place, number = COMMON_CLASSES + length, np.zeros(len(value), np.int64), TOP + (value % np.uint64(BUCKETS)).astype(np.int64)
     x = _letters(data, at)
     spelt = np.concatenate([[0.0], np.cumsum(lexicon.spell[np.concatenate([[0], x[:-1]]) * 257 + x])]) if len(x) else np.zeros(1)
     # Each earlier row adds one place, and a word's end is spelt at the place after it.
-    inside = spelt[end + row + 1] - spelt[start + row] - lexicon.length_mass[group - COMMON_CLASSES]
+    inside = spelt[end + row + 1] - spelt[start + row] - lexicon.length_mass[length]
     if len(lexicon.keys) and len(value):
-        place = np.minimum(np.searchsorted(lexicon.keys, value), len(lexicon.keys) - 1)
-        hit = lexicon.keys[place] == value
-        group[hit], inside[hit] = lexicon.group[place[hit]], lexicon.inside[place[hit]]
-    return row, group, inside, value
+        found = np.minimum(np.searchsorted(lexicon.keys, value), len(lexicon.keys) - 1)
+        hit = lexicon.keys[found] == value
+        rank = lexicon.rank[found[hit]]
+        number[hit], group[hit], place[hit] = rank, rank // CLASS_WORDS, rank % CLASS_WORDS
+    return Tokens(row, group, place, number, value, inside)
 
 
-def rare_words(row: np.ndarray, group: np.ndarray, inside: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, ...]:
+def rare_words(t: Tokens) -> tuple[np.ndarray, ...]:
     """(row, hash, length, log-probability of the spelling, times) of the different words of each row in the classes by length."""
-    rare = np.flatnonzero(group >= COMMON_CLASSES)
-    rare = rare[np.lexsort((value[rare], row[rare]))]
+    rare = np.flatnonzero(t.group >= COMMON_CLASSES)
+    rare = rare[np.lexsort((t.value[rare], t.row[rare]))]
     new = np.ones(len(rare), bool)
-    new[1:] = (row[rare][1:] != row[rare][:-1]) | (value[rare][1:] != value[rare][:-1])
+    new[1:] = (t.row[rare][1:] != t.row[rare][:-1]) | (t.value[rare][1:] != t.value[rare][:-1])
     first = np.flatnonzero(new)
     one = rare[first]
-    return row[one], value[one], group[one] - COMMON_CLASSES + 1, inside[one], np.diff(np.append(first, len(rare)))
+    return t.row[one], t.value[one], t.group[one] - COMMON_CLASSES + 1, t.spelt[one], np.diff(np.append(first, len(rare)))
 
 
-def contexts(row: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """[position, token]: the classes SIDE before to SIDE after, CLASSES where the text has no token."""
-    out = np.full((2 * SIDE, len(group)), CLASSES)
+def contexts(t: Tokens) -> np.ndarray:
+    """[position, token]: the numbers of the tokens SIDE before to SIDE after, NOTHING where the text has none."""
+    out = np.full((2 * SIDE, len(t.number)), NOTHING, np.int16)
     for k, shift in enumerate((*range(-SIDE, 0), *range(1, SIDE + 1))):
         a, b = (slice(-shift, None), slice(None, shift)) if shift < 0 else (slice(None, -shift), slice(shift, None))
-        same = row[a] == row[b]
-        out[k][a] = np.where(same, group[b], CLASSES)
+        out[k][a] = np.where(t.row[a] == t.row[b], t.number[b], NOTHING)
     return out
 
 
+def _softmax(o: np.ndarray) -> np.ndarray:
+    """Log-probabilities, in place."""
+    o -= o.max(1, keepdims=True)
+    o -= np.log(np.exp(o).sum(1, keepdims=True))
+    return o
+
+
 class WindowNetwork:
-    """Class probabilities from the classes around: tables of each position, one hidden layer, softmax."""
+    """Probabilities of classes and of words within them from the words around: a table for each place, one hidden layer, two softmaxes."""
 
-    def __init__(self, flat: np.ndarray | None = None):
+    def __init__(self, lexicon: Lexicon, flat: np.ndarray | None = None):
         rng = np.random.default_rng(3)
-        shapes = {"e": (2 * SIDE, CLASSES + 1, HIDDEN), "b": (HIDDEN,), "w": (HIDDEN, CLASSES), "c": (CLASSES,)}
+        shapes = {"e": (2 * SIDE, NOTHING + 1, HIDDEN), "b": (HIDDEN,), "w": (HIDDEN, CLASSES), "c": (CLASSES,), "o": (COMMON_CLASSES, CLASS_WORDS, HIDDEN), "d": (COMMON_CLASSES, CLASS_WORDS)}
+        start = {"e": lambda s: rng.standard_normal(s) * 0.3, "c": lambda s: lexicon.class_odds, "d": lambda s: lexicon.word_odds}
         self.p, at = {}, 0
         for k, s in shapes.items():
             n = int(np.prod(s))
-            self.p[k] = (rng.standard_normal(s) * (0 if k in "bc" else 0.1)).astype(np.float32) if flat is None else flat[at : at + n].reshape(s).astype(np.float32)
+            self.p[k] = (start.get(k, np.zeros)(s) if flat is None else flat[at : at + n].reshape(s)).astype(np.float32)
             at += n
         self.moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in self.p.items()}
         self.turn = 0
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([v.ravel() for v in self.p.values()]).astype(float)
+        return np.concatenate([v.ravel() for v in self.p.values()])
 
-    def _run(self, around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        h = self.p["b"] + self.p["e"][0][around[0]]
+    def _hidden(self, around: np.ndarray) -> np.ndarray:
+        h = self.p["e"][0][around[0]]
         for k in range(1, 2 * SIDE):
             h += self.p["e"][k][around[k]]
-        np.tanh(h, out=h)
-        o = h @ self.p["w"] + self.p["c"]
-        o -= o.max(1, keepdims=True)
-        q = np.exp(o)
-        total = q.sum(1, keepdims=True)
-        return h, o - np.log(total), q / total
-
-    def log_probability(self, around: np.ndarray, group: np.ndarray) -> np.ndarray:
-        out = [self._run(around[:, k : k + BATCH])[1][np.arange(len(group[k : k + BATCH])), group[k : k + BATCH]] for k in range(0, len(group), BATCH)]
-        return np.concatenate(out) if out else np.zeros(0)
-
-    def learn(self, around: np.ndarray, group: np.ndarray) -> None:
-        """One step of Adam."""
-        h, _, d = self._run(around)
-        d[np.arange(len(group)), group] -= 1
-        d /= len(group)
-        dh = (d @ self.p["w"].T) * (1 - h * h)
-        g = {"w": h.T @ d, "c": d.sum(0), "b": dh.sum(0), "e": np.zeros_like(self.p["e"])}
+        h += self.p["b"]
+        return np.tanh(h, out=h)
+
+    @staticmethod
+    def _by_class(group: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Each class of words that occurs, and which tokens are in it."""
+        order = np.argsort(group.astype(np.uint8), kind="stable")
+        bounds = np.searchsorted(group[order], np.arange(COMMON_CLASSES + 1))
+        for c in np.flatnonzero(np.diff(bounds)):
+            yield int(c), order[bounds[c] : bounds[c + 1]]
+
+    def log_probability(self, around: np.ndarray, group: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Of each token its class's, plus the word's within it where that is a class of words."""
+        out, p = np.zeros(len(group)), self.p
+        for a in range(0, len(group), 8 * BATCH):
+            part = slice(a, a + 8 * BATCH)
+            h, g, w = self._hidden(around[:, part]), group[part], place[part]
+            found = _softmax(h @ p["w"] + p["c"])[np.arange(len(g)), g].astype(float)
+            for c, at in self._by_class(g):
+                found[at] += _softmax(h[at] @ p["o"][c].T + p["d"][c])[np.arange(len(at)), w[at]]
+            out[part] = found
+        return out
+
+    def gradients(self, around: np.ndarray, group: np.ndarray, place: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean negative log-probability."""
+        p, n = self.p, len(group)
+        h = self._hidden(around)
+        d = np.exp(_softmax(h @ p["w"] + p["c"]))
+        d[np.arange(n), group] -= 1
+        d /= n
+        dh = d @ p["w"].T
+        g = {"e": np.zeros_like(p["e"]), "w": h.T @ d, "c": d.sum(0), "o": np.zeros_like(p["o"]), "d": np.zeros_like(p["d"])}
+        for c, at in self._by_class(group):
+            own = h[at]
+            d = np.exp(_softmax(own @ p["o"][c].T + p["d"][c]))
+            d[np.arange(len(at)), place[at]] -= 1
+            d /= n
+            g["o"][c], g["d"][c] = d.T @ own, d.sum(0)
+            dh[at] += d @ p["o"][c]
+        dh *= 1 - h * h
+        g["b"] = dh.sum(0)
         for k, a in enumerate(around):
-            order = np.argsort(a.astype(np.uint8), kind="stable")
-            one, first = np.unique(a[order], return_index=True)
-            g["e"][k][one] = np.add.reduceat(dh[order], first, 0)
+            order = np.argsort(a, kind="stable")
+            sorted_ = a[order]
+            first = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
+            g["e"][k][sorted_[first]] = np.add.reduceat(dh[order], first, 0)
+        return g
+
+    def learn(self, around: np.ndarray, group: np.ndarray, place: np.ndarray, rate: float) -> None:
+        """One step of Adam."""
         self.turn += 1
-        for k, v in g.items():
+        pace = rate * np.sqrt(1 - 0.999**self.turn) / (1 - 0.9**self.turn)
+        for k, v in self.gradients(around, group, place).items():
             m, s = self.moments[k]
             m += 0.1 * (v - m)
-            s += 0.001 * (v * v - s)
-            self.p[k] -= RATE * (m / (1 - 0.9**self.turn)) / (np.sqrt(s / (1 - 0.999**self.turn)) + 1e-8)
+            v *= v
+            s += 0.001 * (v - s)
+            self.p[k] -= pace * m / (np.sqrt(s) + 1e-8)
 
 
-def lm_scores(docs: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, log_likelihood (the sum over tokens) and mean_log_likelihood of every row of docs.
+@dataclass
+class Model:
+    """A lexicon, the network's parameters (None without a token), the stored counts of words, and of the words outside the TOP the tokens and different words of each length class."""
 
-    docs: doc_id, text, others ignored. A text without tokens, null ones included, has 0 tokens, sum 0 and a null mean. Repeated rows
-    and null ids have their own rows. An empty table gives no rows.
-    """
-    spark = docs.sparkSession
-    base = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), text_column(docs).alias("text"))
+    lexicon: Lexicon
+    weights: np.ndarray | None
+    counts: DataFrame
+    others: np.ndarray
+    different: np.ndarray
+
+
+def _base(docs: DataFrame) -> DataFrame:
+    return docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), text_column(docs).alias("text"))
+
+
+def _average(parts: DataFrame) -> np.ndarray | None:
+    """The parameters of all shards, averaged by tokens; added up in the order of the shards. parts: shard, chunk, seen, value."""
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, tuple[int, np.ndarray]] = {}
+        for batch in batches:
+            for chunk, seen, value in zip(*(batch.column(k).to_pylist() for k in ("chunk", "seen", "value")), strict=True):
+                n, total = sums.get(chunk, (0, 0.0))
+                sums[chunk] = n + seen, total + seen * np.frombuffer(value, np.float32).astype(float)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([(t / n).astype(np.float32).tobytes() for n, t in sums.values()], pa.binary())], ["chunk", "value"])
+
+    rows = parts.repartition(CHUNKS, "chunk").sortWithinPartitions("chunk", "shard").mapInArrow(added, "chunk int, value binary").collect()
+    return np.concatenate([np.frombuffer(bytes(r.value), np.float32) for r in sorted(rows, key=lambda r: r.chunk)]) if rows else None
+
+
+def fit(docs: DataFrame, top: int = TOP) -> Model:
+    """The model of all texts of docs, with at most top (up to TOP) words in classes by frequency."""
+    spark, base = docs.sparkSession, _base(docs)
     counts = stored(base.select("text").mapInArrow(_counted, "kind int, key bigint, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n")), "words")
-    common = counts.filter("kind > 0").orderBy(F.desc("n"), "key").limit(TOP).collect()
-    top = [(r.key, r.n) for r in common]
+    common = counts.filter("kind > 0").orderBy(F.desc("n"), "key").limit(top).collect()
     pairs = {r.key: r.n for r in counts.filter("kind = 0").collect()}  # 257 * 257 at most
-    # Of the words outside the TOP: tokens and different words of each length class.
-    seen_words, different = np.zeros(LENGTH_CLASSES + 1), np.zeros(LENGTH_CLASSES + 1)
+    others, different, total = np.zeros(LENGTH_CLASSES), np.zeros(LENGTH_CLASSES), 0
     for r in counts.filter("kind > 0").groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect():
-        seen_words[r.kind], different[r.kind] = r.n, r.words
+        others[r.kind - 1], different[r.kind - 1] = r.n, r.words
+        total += r.n
     for r in common:
-        seen_words[r.kind] -= r.n
-        different[r.kind] -= 1
-    lexicon = spark.sparkContext.broadcast(build_lexicon(top, pairs))
-
-    def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, seen = WindowNetwork(), 0
-        for batch in batches:
-            for _, _, data, at in steps(batch.column("text"), _STEP):
-                row, group, _ = tokens(lexicon.value, data, at)
-                around = contexts(row, group)
-                for k in range(0, len(group), BATCH):
-                    net.learn(around[:, k : k + BATCH], group[k : k + BATCH])
-                seen += len(group)
-        if seen:
-            flat = net.flat() * seen
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat)), pa.int32()), pa.array(flat), pa.array(np.full(len(flat), seen), pa.int64())], ["k", "total", "seen"])
-
-    rows = base.select("text").mapInArrow(trained, "k int, total double, seen bigint").groupBy("k").agg((F.sum("total") / F.sum("seen")).alias("value")).collect()
-    flat = np.array([r.value for r in sorted(rows, key=lambda r: r.k)])
-    weights = spark.sparkContext.broadcast(flat if len(flat) else None)
+        others[r.kind - 1] -= r.n
+        different[r.kind - 1] -= 1
+    lexicon = build_lexicon([(r.key, r.n) for r in common], pairs, others)
+    sent, weights = spark.sparkContext.broadcast(lexicon), None
+    shards = int(min(MOST_SHARDS, max(1, -(-total // (ROUNDS * SHARD_TOKENS)))))
+    mark = F.xxhash64("doc_id", "text")
+    marked = base.withColumns({"mark": mark, "shard": F.pmod(mark, F.lit(shards)), "turn": F.pmod(F.shiftright(mark, 32), F.lit(ROUNDS))})
+    for turn in range(ROUNDS if total else 0):
+        start = spark.sparkContext.broadcast(weights)
+
+        def trained(batches: Iterator[pa.RecordBatch], start=start, rate=RATES[turn]) -> Iterator[pa.RecordBatch]:
+            shard, net, seen, held = None, None, 0, []
+
+            def learn(all_: bool) -> None:
+                nonlocal held, seen
+                around, group, place = (np.concatenate(x, -1) for x in zip(*held, strict=True))
+                end = len(group) if all_ else len(group) // BATCH * BATCH
+                for a in range(0, end, BATCH):
+                    part = slice(a, min(a + BATCH, end))
+                    net.learn(around[:, part], group[part], place[part], rate)
+                seen += end
+                held = [(around[:, end:], group[end:], place[end:])]
+
+            def told() -> Iterator[pa.RecordBatch]:
+                if held:
+                    learn(True)
+                if seen:
+                    pieces = np.array_split(net.flat(), CHUNKS)
+                    columns = [shard] * CHUNKS, range(CHUNKS), [seen] * CHUNKS, [x.tobytes() for x in pieces]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["shard", "chunk", "seen", "value"])
+
+            for batch in batches:
+                own = batch.column("shard").to_numpy()
+                bounds = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), len(own)]
+                for i, j in zip(bounds[:-1], bounds[1:], strict=True):
+                    if j == i:
+                        continue
+                    if own[i] != shard:  # rows come sorted by shard
+                        yield from told()
+                        shard, net, seen, held = int(own[i]), WindowNetwork(sent.value, start.value), 0, []
+                    for _, _, data, at in steps(batch.column("text").slice(i, j - i), _STEP):
+                        t = tokens(sent.value, data, at)
+                        held.append((contexts(t), t.group, t.place))
+                        if sum(len(x[1]) for x in held) >= BATCH:
+                            learn(False)
+            yield from told()
+
+        dealt = marked.filter(F.col("turn") == turn).repartition(shards, "shard").sortWithinPartitions("shard", "mark").select("shard", "text")
+        after = _average(dealt.mapInArrow(trained, "shard bigint, chunk int, seen bigint, value binary"))
+        weights = weights if after is None else after
+    return Model(lexicon, weights, counts, others, different)
+
+
+def scores(docs: DataFrame, model: Model) -> DataFrame:
+    """What ``lm_scores`` gives, under a fitted model. Words that the model has not seen are scored by their spelling."""
+    base, spark = _base(docs), docs.sparkSession
+    sent = spark.sparkContext.broadcast((model.lexicon, model.weights))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, names = WindowNetwork(weights.value), ["row", "doc_id", "n", "total", "key", "kind", "spelt", "times"]
+        lexicon, weights = sent.value
+        net, names = WindowNetwork(lexicon, weights), ["row", "doc_id", "n", "total", "key", "kind", "spelt", "times"]
         kinds, after = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int32(), pa.float64(), pa.int64()], TaskContext.get().partitionId() << 40
         for batch in batches:
             for i, j, data, at in steps(batch.column("text"), _STEP):
-                row, group, inside, value = hashed_tokens(lexicon.value, data, at)
-                total = net.log_probability(contexts(row, group), group) + np.where(group < COMMON_CLASSES, inside, 0)
-                own = [np.arange(after, after + j - i), batch.column("doc_id").slice(i, j - i), np.bincount(row, minlength=j - i), np.bincount(row, weights=total, minlength=j - i)]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(own, kinds, strict=False)] + [pa.nulls(j - i, t) for t in kinds[4:]], names)
-                at_row, *rare = rare_words(row, group, inside, value)
+                t = tokens(lexicon, data, at)
+                total = net.log_probability(contexts(t), t.group, t.place)
+                own = [np.arange(after, after + j - i), batch.column("doc_id").slice(i, j - i), np.bincount(t.row, minlength=j - i), np.bincount(t.row, weights=total, minlength=j - i)]
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(own, kinds, strict=False)] + [pa.nulls(j - i, k) for k in kinds[4:]], names)
+                at_row, *rare = rare_words(t)
                 rare[0] = rare[0].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(at_row + after, pa.int64()), *[pa.nulls(len(at_row), t) for t in kinds[1:4]], *[pa.array(x, t) for x, t in zip(rare, kinds[4:], strict=True)]], names)
+                yield pa.RecordBatch.from_arrays([pa.array(at_row + after, pa.int64()), *[pa.nulls(len(at_row), k) for k in kinds[1:4]], *[pa.array(x, k) for x, k in zip(rare, kinds[4:], strict=True)]], names)
                 after += j - i
 
     parts = stored(base.mapInArrow(scored, "row bigint, doc_id bigint, n bigint, total double, key bigint, kind int, spelt double, times bigint"), "scores")
-    again = counts.filter("kind > 0 and n > 1").select(F.col("key").alias("word"), F.col("n").alias("seen"))
+    again = model.counts.filter("kind > 0 and n > 1").select(F.col("key").alias("word"), F.col("n").alias("seen"))
     words = parts.filter("key is not null").join(again.hint("merge"), F.col("key") == F.col("word"), "left")
-    tokens_of, words_of = (F.element_at(F.array(*[F.lit(float(v)) for v in x[1:]]), F.col("kind")) for x in (seen_words, different))
+    tokens_of, words_of = (F.element_at(F.array(*[F.lit(float(max(v, 1))) for v in x]), F.col("kind")) for x in (model.others, model.different))
     inside = F.when(F.col("seen").isNull(), F.log(words_of / tokens_of) + F.col("spelt")).otherwise(F.log((F.col("seen") - 1 + words_of * F.exp("spelt")) / tokens_of))
     texts = parts.filter("key is null").select("row", "doc_id", "n", "total")
     nothing = F.lit(None).cast("bigint")
@@ -248,3 +361,13 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     return all_parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n").alias("n_tokens"), F.sum("total").alias("log_likelihood")).select(
         "doc_id", "n_tokens", "log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")).alias("mean_log_likelihood")
     )
+
+
+def lm_scores(docs: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, log_likelihood (the sum over tokens) and mean_log_likelihood of every row of docs.
+
+    docs: doc_id, text, others ignored. A text without tokens, null ones included, has 0 tokens, sum 0 and a null mean. Repeated rows
+    and null ids have their own rows. An empty table gives no rows. Scores are the same however rows are dealt, but for
+    rounding.
+    """
+    return scores(docs, fit(docs))

@@ -1,14 +1,16 @@
 """Operator 2: the main text of web pages by classifying flat text blocks.
 
 A page is read as a flat run of text blocks: block-level tags part them, inline tags and line breaks don't. Each block has its
-word count and link density, those of the block before and after it, and what kind of element it lies in. A decision tree
-trained on the labelled blocks of TRAINING_PAGES says which blocks are the article.
+word count and link density, those of the block before and after it, and what kind of element it and they lie in. A decision tree
+trained on the labelled blocks of TRAINING_PAGES says which blocks are the article. Class names that sound like an advert or a
+comment are one feature among the others, and don't count for an element that holds the page's title or article.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -25,14 +27,27 @@ BLOCK = frozenset(
 )
 VOID = frozenset("area base br col embed frame hr img input keygen link meta param source track wbr".split())
 RAW = frozenset("script style noscript template svg math iframe object canvas video audio textarea head title select datalist noframes".split())
-ASIDE = frozenset("nav footer aside form menu button dialog search".split())
+ASIDE = frozenset("nav footer aside menu button dialog search".split())
 CLOSES_P = BLOCK - {"body", "html", "button"}
-#: Words in class, id or role that name what isn't the article.
-HINT = re.compile(r"^(ads?|adverts?|advertisement|adsense|banner|sponsor(ed|s)?|promo(tion|ted)?s?|cookies?|consent|gdpr|notices?|alerts?|newsletter|subscri(be|ption)|signup|login|sidebar|side|menu|nav|navbar|navigation|breadcrumbs?|pagination|pager|comments?|commentlist|repl(y|ies)|respond|discussion|disqus|share|sharing|social|related|recommended|more|popular|trending|widgets?|toolbar|footer|header|masthead|popup|modal|overlay|copyright|disclaimer|legal|tags?|search)$")
+TITLED = tuple("p h1 h2 h3 h4 h5 h6 li td th dt dd pre blockquote figcaption caption summary legend address".split())
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+ARTICLES = ("article", "main")
+NEUTRAL = ("html", "body", "article", "main")
+#: Words in class, id or role that often name what isn't the article.
+HINT = frozenset(
+    "ad ads advert adverts advertisement adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice newsletter subscribe subscription signup login sidebar menu nav navbar navigation breadcrumb breadcrumbs pagination pager comment comments commentlist reply replies respond discussion disqus share sharing social related recommended trending widget toolbar footer masthead popup modal overlay copyright disclaimer complementary contentinfo".split()
+)
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[A-Za-z][^>]*(?:>|\Z)", re.S)
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 LABEL = re.compile(r"\bdata-main=\"?([01])")
-FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "in_aside", "in_article", "heading", "in_list")
+FEATURES = ("words", "link_density", "plain", "words_before", "link_density_before", "plain_before", "words_after", "link_density_after", "plain_after", "in_aside", "in_article", "heading", "in_list", "hinted")
+
+
+@dataclass
+class _Hint:
+    """An element whose name or kind says that it isn't the article, unless it holds the article."""
+
+    void: bool = False
 
 
 @dataclass
@@ -40,60 +55,92 @@ class Block:
     text: str
     words: int
     linked: int
-    aside: int
-    article: int
-    heading: int
-    listed: int
-    label: int | None = None
+    aside: bool
+    article: bool
+    heading: bool
+    listed: bool
+    plain: bool
+    hint: _Hint | None
+    label: int | None
 
 
-@dataclass
+@dataclass(slots=True)
 class _Open:
     name: str
     aside: bool
+    hint: _Hint | None
     label: int | None
 
 
 @dataclass
 class _Reader:
-    """Flat blocks of one page; elements left open are closed by whatever closes around them."""
+    """Flat blocks of one page; elements left open are closed by whatever closes around them. What is open is known by counts and places, so no tag walks the stack but for what it closes."""
 
     blocks: list[Block] = field(default_factory=list)
     open: list[_Open] = field(default_factory=list)
+    places: dict[str, list[int]] = field(default_factory=lambda: defaultdict(list))
+    hints: list[_Hint] = field(default_factory=list)
+    labels: list[int] = field(default_factory=list)
+    asides: int = 0
     parts: list[str] = field(default_factory=list)
     linked: int = 0
 
+    def last(self, names: tuple[str, ...]) -> int:
+        """The place of the innermost open element of these names, -1 if there is none."""
+        return max([x[-1] for x in map(self.places.get, names) if x], default=-1)
+
     def end_block(self) -> None:
+        if not self.parts:
+            return
         text = " ".join("".join(self.parts).split())
         if text:
-            names = [x.name for x in self.open]
-            label = next((x.label for x in reversed(self.open) if x.label is not None), None)
-            self.blocks.append(Block(text, len(text.split()), self.linked, sum(x.aside for x in self.open), int("article" in names or "main" in names), int(any(re.fullmatch("h[1-6]", x) for x in names)), int("li" in names), label))
+            at = self.places
+            plain = self.last(TITLED) <= self.last(("div", "section", "body"))
+            hint, label = (x[-1] if x else None for x in (self.hints, self.labels))
+            self.blocks.append(Block(text, len(text.split()), self.linked, self.asides > 0, any(at[k] for k in ARTICLES), any(at[k] for k in HEADINGS), bool(at["li"]), plain, hint, label))
         self.parts, self.linked = [], 0
 
     def add(self, raw: str) -> None:
-        text = html.unescape(raw)
+        text = html.unescape(raw) if "&" in raw else raw
         self.parts.append(text)
-        if any(x.name == "a" for x in self.open):
+        if self.places["a"]:
             self.linked += len(text.split())
 
     def start(self, name: str, attributes: str) -> None:
-        if name in CLOSES_P and self.open and self.open[-1].name == "p":
-            self.open.pop()
-        if name == "li":
-            self.close("li", until=("ul", "ol", "menu"))
-        hint = any(HINT.match(w) for m in NAMES.finditer(attributes) for w in re.split(r"[^a-z0-9]+", (m[1] or m[2] or m[3] or "").lower()))
-        inside = any(x.name in ("article", "main") for x in self.open)
+        if self.places["p"] and name in CLOSES_P and self.last(("p",)) > self.last(("button", "td", "th")):
+            self.close("p")
+        if name == "li" and self.last(("li",)) > self.last(("ul", "ol", "menu")):
+            self.close("li")
+        inside = any(self.places[k] for k in ARTICLES)
+        if name == "h1" or name in ARTICLES:
+            for x in reversed(self.hints):  # what is around a void one is void already
+                if x.void:
+                    break
+                x.void = True
+        hinted = name == "form" or bool(attributes) and name not in NEUTRAL and any(w in HINT for m in NAMES.finditer(attributes) for w in re.split(r"[^a-z0-9]+", (m[1] or m[2] or m[3] or "").lower()))
         label = LABEL.search(attributes)
-        self.open.append(_Open(name, name in ASIDE or name == "header" and not inside or hint and name not in ("html", "body", "article", "main"), int(label[1]) if label else None))
-
-    def close(self, name: str, until: tuple[str, ...] = ()) -> None:
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k].name == name:
-                del self.open[k:]
-                return
-            if self.open[k].name in until:
-                return
+        opened = _Open(name, name in ASIDE or name == "header" and not inside, _Hint() if hinted else None, int(label[1]) if label else None)
+        self.places[name].append(len(self.open))
+        self.open.append(opened)
+        self.asides += opened.aside
+        if opened.hint:
+            self.hints.append(opened.hint)
+        if opened.label is not None:
+            self.labels.append(opened.label)
+
+    def close(self, name: str) -> None:
+        """Closes the last open element of that name with all in it."""
+        if not self.places[name]:
+            return
+        end = self.places[name][-1]
+        while len(self.open) > end:
+            x = self.open.pop()
+            self.places[x.name].pop()
+            self.asides -= x.aside
+            if x.hint:
+                self.hints.pop()
+            if x.label is not None:
+                self.labels.pop()
 
 
 def blocks(page: str) -> list[Block]:
@@ -129,14 +176,16 @@ def blocks(page: str) -> list[Block]:
 
 
 def features(found: list[Block]) -> np.ndarray:
-    own = np.array([(b.words, b.linked / max(1, b.words)) for b in found], float).reshape(-1, 2)
-    edge = np.zeros((1, 2))
+    """A row of FEATURES for each block. in_article is -1 outside the article of a page that has one."""
+    own = np.array([(b.words, b.linked / max(1, b.words), b.plain) for b in found], float).reshape(-1, 3)
+    edge = np.zeros((1, 3))
     before, after = np.concatenate([edge, own[:-1]]), np.concatenate([own[1:], edge])
-    kind = np.array([(min(b.aside, 1), b.article, b.heading, b.listed) for b in found], float).reshape(-1, 4)
+    outside = -1 if any(b.article for b in found) else 0
+    kind = np.array([(b.aside, 1 if b.article else outside, b.heading, b.listed, b.hint is not None and not b.hint.void) for b in found], float).reshape(-1, 5)
     return np.concatenate([own, before[: len(own)], after[: len(own)], kind], 1)
 
 
-def train_tree(x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 2):
+def train_tree(x: np.ndarray, y: np.ndarray, depth: int = 10, least: int = 2):
     """A classification tree by Gini impurity: nested (feature, limit, at most, above), or a share of positives."""
     share = float(y.mean())
     if depth == 0 or share in (0.0, 1.0) or len(y) < 2 * least:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import dataclasses
 import os
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -12,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quern.llm import html_extract, lm_score, toxicity
+from quern.llm import html_extract, html_training, lm_score, toxicity
 from quern.llm.cotraining import quality
 from quern.llm.lm_score import lm_scores
 from quern.llm.token_count import token_counts
@@ -69,6 +70,55 @@ def test_broken_pages_do_not_crash(page):
     assert isinstance(html_extract.main_text(page, html_extract.trained()), str)
 
 
+def wrong_blocks(tree, pages, zeroed=()):
+    """Blocks of labelled pages that the tree gets wrong, of how many; some features set to 0."""
+    wrong = n = 0
+    for page in pages:
+        found = html_extract.blocks(page)
+        x = html_extract.features(found)
+        x[:, [html_extract.FEATURES.index(k) for k in zeroed]] = 0
+        n += len(found)
+        wrong += sum((html_extract.predict(tree, row) >= 0.5) != b.label for b, row in zip(found, x, strict=True) if b.label is not None)
+    return wrong, n
+
+
+def test_the_tree_learns_from_neighbours_and_generalises():
+    tree, pages = html_extract.trained(), html_training.pages(99, 10)
+    used, rest = set(), [tree]
+    while rest:
+        node = rest.pop()
+        if isinstance(node, tuple):
+            used.add(html_extract.FEATURES[node[0]])
+            rest += node[2:]
+    neighbours = [k for k in html_extract.FEATURES if k.endswith(("_before", "_after"))]
+    assert used & {"words_before", "words_after"} and used & {"link_density_before", "link_density_after"} and "link_density" in used and "words" in used
+    wrong, n = wrong_blocks(tree, pages)
+    assert wrong <= 0.01 * n and wrong_blocks(tree, pages, neighbours)[0] > 5 * wrong + 10
+
+
+def test_names_decide_nothing_alone():
+    tree = html_extract.trained()
+    long = "The notes of that year fill four large boxes in the archive of the town and nobody has read all of them since."
+    page = f'<body><div class="two-col side-by-side"><h1>On maps</h1><p>{long}</p><p>{long}</p></div></body>'
+    assert html_extract.main_text(page, tree) == f"On maps\n{long}\n{long}"
+    page = f"<article><h1>T</h1><h2><a href=1>A linked heading</a></h2><p>{long}</p><ul><li><a href=2>One</a></li><li><a href=3>Two</a></li></ul></article>"
+    assert html_extract.main_text(page, tree) == f"T\nA linked heading\n{long}\nOne\nTwo"
+    page = f'<article><h1>T</h1><p>{long}</p><div class="x">Buy two pairs of boots now.</div><p>{long}</p></article><div class="y"><div>Ann Hill</div><p>I was there too and {long}</p></div>'
+    assert html_extract.main_text(page, tree) == f"T\n{long}\n{long}"
+    page = f'<body><form><div class="sidebar-layout"><h1>T</h1><p>{long}</p></div></form><form><p>{long}</p></form></body>'
+    assert html_extract.main_text(page, tree) == f"T\n{long}"
+
+
+@pytest.mark.parametrize("part", ["<p><span>x ", "<div><a>x", "<ul><li>x", "</b>", "<p>x", "<li><ul><b>", '<a "', "<!-- ", "<form>"])
+def test_reading_takes_linear_time(part):
+    tree, took = html_extract.trained(), []
+    for n in (200_000, 800_000):
+        began = time.process_time()
+        html_extract.main_text(part * (n // len(part)), tree)
+        took.append(time.process_time() - began)
+    assert took[1] < 8 * took[0] + 1
+
+
 def test_pages(spark, sf_dir):
     pages = load(spark, sf_dir, "pages")
     got = {r.page_id: r for r in html_extract.extract(pages).collect()}
@@ -79,8 +129,9 @@ def test_pages(spark, sf_dir):
 
 
 def test_null_pages(spark):
-    df = spark.createDataFrame([(1, None, None, "x"), (None, "u", "", "y"), (2, "u", "<p>One two three four five six.</p>", "z")], "page_id bigint, url string, html string, text string")
-    assert Counter((r.page_id, r.text, r.n_chars) for r in html_extract.extract(df).collect())[1, "", 0] == 1
+    assert html_extract.extract(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
+    df = spark.createDataFrame([(1, None, None, "x"), (1, None, None, "x"), (None, "u", "", "y"), (2, "u", "<p>One two three four five six.</p>", "z")], "page_id bigint, url string, html string, text string")
+    assert Counter((r.page_id, r.text, r.n_chars) for r in html_extract.extract(df).collect()) == {(1, "", 0): 2, (None, "", 0): 1, (2, "One two three four five six.", 28): 1}
 
 
 def test_tree_learns_its_table():

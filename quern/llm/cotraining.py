@@ -234,12 +234,6 @@ def _unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return text.astype(float), meta
 
 
-def _stacked(rows: list, own: tuple[str, ...] = ("text", "lang", "source")) -> tuple[np.ndarray, np.ndarray]:
-    batch = pa.RecordBatch.from_pydict({k: pa.array([r[k] for r in rows], pa.string()) for k in own})
-    parts = list(_views(batch))
-    return (np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])) if parts else (np.zeros((0, TEXT_FEATURES)), np.zeros((0, META_FEATURES)))
-
-
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, text_score, meta_score, score (each 0 to 1) and kept (score >= 0.5) of every row of docs.
 
@@ -253,14 +247,17 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     picked = marks.orderBy(F.xxhash64("id"), "id").limit(MOST_LABELLED).collect()
     spark = docs.sparkSession
     ids = spark.createDataFrame([(r.id, r.quality) for r in picked], "id bigint, quality int")
-    known = base.join(F.broadcast(ids), F.col("doc_id") == F.col("id")).groupBy("doc_id", "quality").agg(F.min(F.struct("text", "lang", "source")).alias("x")).select("doc_id", "quality", "x.*").collect()
+    once = base.join(F.broadcast(ids), F.col("doc_id") == F.col("id")).groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source")).alias("x")).select("doc_id", "x.*")
+    schema = "doc_id bigint, text_view binary, meta_view binary"
+    known = once.mapInArrow(_packed, schema).collect()  # features, not texts: MOST_LABELLED rows of less than 1 kB
     known.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id))
-    y = np.array([r.quality for r in known], float)
+    marked = dict(picked)
+    y = np.array([marked[r.doc_id] for r in known], float)
     model, share = None, float(y.mean()) if len(y) else 0.5
     if 0 < y.sum() < len(y):
-        features = base.mapInArrow(_packed, "doc_id bigint, text_view binary, meta_view binary")
+        features = base.mapInArrow(_packed, schema)
         pool = stored(features.join(marks, F.col("doc_id") == F.col("id"), "left_anti").select("text_view", "meta_view"), "features")
-        model = co_train(_stacked(known), y, pool)
+        model = co_train(_unpacked(pa.RecordBatch.from_pydict({k: [bytes(r[k]) for r in known] for k in ("text_view", "meta_view")})), y, pool)
         drop_stored(pool)
     sent = spark.sparkContext.broadcast(model)
 

@@ -3,7 +3,7 @@
 Pre-tokens are the white-space-separated words: the tokenizer drops white space and never joins across it, so a text's count is
 the sum of its words' counts. Tier one is a broadcast table of word hashes and lengths (TABLE_WORDS * 9 bytes) of the most
 frequent words, which a frequent-items sketch over all texts finds; only sketches are merged, never words. Words that the table
-lacks go through a cache in each worker, and what the cache lacks is encoded in batches. Everything runs where the text
+lacks, long ones among them, go through a cache in each worker, and what the cache lacks is encoded in batches. Everything runs where the text
 is; no pre-token is shuffled. Which words are in the table affects the time only, never a count.
 """
 
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from quern.llm.common import BLANKS, hashed_words, steps, text_column, words
 
 TABLE_WORDS = 1 << 14
-#: Items that the frequent-items sketch tracks (about 2 MB); sketches are merged in MERGERS tasks, then in one.
-TRACKED = 1 << 15
+#: Items that the frequent-items sketch tracks, of at most so many bytes each (so 4 MB); sketches are merged in MERGERS tasks, then in one.
+TRACKED, TRACKED_BYTES = 1 << 15, 64
 MERGERS = 256
 #: Words in one worker's cache; it is emptied when full.
 CACHE_WORDS = 1 << 19
@@ -31,6 +31,8 @@ LIMIT = 2048
 _TAIL = np.zeros(256, bool)
 _TAIL[[ord(x) for x in ",."]] = True
 _WORKER: dict = {}
+#: Texts whose words are joined, cased and parted in ways that tokenizers differ in.
+PROBES = ("The River, the RIVER", "one two  three", " Lead and trail ", "line\nline\tTab", "It's 12,345.67 (or so)!", "UPPER lower MiXeD")
 
 
 def _tokenizer(spec: str):
@@ -46,13 +48,20 @@ def _tokenizer(spec: str):
     return _WORKER["tokenizer"]
 
 
+def check_separable(tokenizer) -> None:
+    """Refuses a tokenizer whose counts aren't the sums of those of the lower-cased words between white space."""
+    for text in PROBES:
+        if sum(_encoded_lengths(tokenizer, [w.lower() for w in text.split()])) != _encoded_lengths(tokenizer, [text])[0]:
+            raise ValueError("the tokenizer must fold case and part texts at white space, which it drops")
+
+
 def _encoded_lengths(tokenizer, texts: list[str]) -> list[int]:
     return [len(x.ids) for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
 def frequent_words(docs: DataFrame) -> list[str]:
     """The most frequent words of all texts by a mergeable sketch, lower-cased and without a comma or point at the end."""
-    each = docs.select(F.explode(words(F.lower(text_column(docs)))).alias("w")).select(F.rtrim("w", F.lit(",.")).alias("w")).filter("w <> ''")
+    each = docs.select(F.explode(words(F.lower(text_column(docs)))).alias("w")).select(F.rtrim("w", F.lit(",.")).alias("w")).filter((F.col("w") != "") & (F.octet_length("w") <= TRACKED_BYTES))
     parts = each.groupBy((F.spark_partition_id() % MERGERS).alias("k")).agg(F.expr(f"approx_top_k_accumulate(w, {TRACKED})").alias("sketch"))
     merged = parts.groupBy(F.lit("all").alias("of")).agg(F.expr(f"approx_top_k_combine(sketch, {TRACKED})").alias("sketch"))  # no words, no row
     rows = merged.select(F.expr(f"approx_top_k_estimate(sketch, {TABLE_WORDS})").alias("top")).collect()
@@ -111,12 +120,14 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT) -> Da
     """doc_id, n_bytes (UTF-8), n_tokens and over_limit (n_tokens > limit) of every whole text.
 
     docs: doc_id, text, others ignored; one row per input row, repeated rows and null ids included. Null text is empty.
-    tokenizer_path: a file of the tokenizers library, read by the driver. The counts are those of the library's default
-    encoding without added special tokens, truncation or padding.
+    tokenizer_path: a file of the tokenizers library, read by the driver, of a tokenizer that folds case and parts texts at white space (any
+    other is refused with a ValueError). The counts are those of the library's default encoding without added special tokens, truncation or
+    padding.
     """
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = f.read()
     special = [x["content"].encode() for x in json.loads(spec).get("added_tokens", [])]
+    check_separable(_tokenizer(spec))
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast((spec, special, build_table(spec, frequent_words(docs))))
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from quern.llm import html_extract, html_training, lm_score, toxicity
 from quern.llm.cotraining import quality
 from quern.llm.lm_score import lm_scores
-from quern.llm.token_count import token_counts
+from quern.llm.token_count import frequent_words, token_counts
 from quern.sources.tables import load
 
 from .conftest import documents, edge_rows, prose
@@ -50,6 +50,19 @@ def test_token_counts_on_documents(spark, sf_dir):
     assert got == {r.doc_id: len(library.encode(r.text, add_special_tokens=False).ids) for r in docs.collect()}
 
 
+def test_other_tokenizers_are_refused(no_documents):
+    with pytest.raises(ValueError, match="fold case"):
+        token_counts(no_documents, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_long_words_stay_out_of_the_sketch_but_count(spark):
+    library = tokenizers.Tokenizer.from_file(PATH)
+    rows = [(i, f"{'ab' * 400} short {'x' * (60 + i % 9)},", None, None) for i in range(50)]
+    assert all(len(w.encode()) <= 64 for w in frequent_words(documents(spark, rows)))
+    got = {r.doc_id: r.n_tokens for r in token_counts(documents(spark, rows), PATH).collect()}
+    assert got == {r[0]: len(library.encode(r[1], add_special_tokens=False).ids) for r in rows}
+
+
 def test_token_counts_of_nothing(no_documents):
     assert token_counts(no_documents, PATH).count() == 0
 

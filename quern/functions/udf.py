@@ -21,21 +21,33 @@ def udf_scalar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "part").select("p_partkey", scaled("p_size").alias("scaled"))
 
 
+def _partial(df: DataFrame, key: str, reduce, schema: str) -> DataFrame:
+    """reduce(frame) of each key in each Arrow batch, so that what follows gathers a row for each key and batch, not a key's rows."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in frames:
+            yield x.groupby(key, as_index=False, sort=False).agg(**reduce)
+
+    return df.mapInPandas(run, schema)
+
+
 @query("udaf_grouped", "SELECT p_brand, (max(p_size) - min(p_size))::BIGINT AS spread FROM part GROUP BY p_brand")
 def udaf_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
     @F.pandas_udf("bigint")
-    def spread(x: pd.Series) -> int:
-        return int(x.max() - x.min())
+    def spread(low: pd.Series, high: pd.Series) -> int:
+        return int(high.max() - low.min())
 
-    return load(spark, sf_dir, "part").groupBy("p_brand").agg(spread("p_size").alias("spread"))
+    parts = _partial(load(spark, sf_dir, "part", "p_brand", "p_size"), "p_brand", {"low": ("p_size", "min"), "high": ("p_size", "max")}, "p_brand string, low int, high int")
+    return parts.groupBy("p_brand").agg(spread("low", "high").alias("spread"))
 
 
 @query("udf_grouped_map", "SELECT p_brand, count(*)::BIGINT AS n, max(p_name) AS last_name FROM part GROUP BY p_brand")
 def udf_grouped_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     def one(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"p_brand": [group.p_brand.iloc[0]], "n": [len(group)], "last_name": [group.p_name.max()]})
+        return pd.DataFrame({"p_brand": [group.p_brand.iloc[0]], "n": [group.n.sum()], "last_name": [group.last_name.max()]})
 
-    return load(spark, sf_dir, "part", "p_brand", "p_name").groupBy("p_brand").applyInPandas(one, "p_brand string, n bigint, last_name string")
+    parts = _partial(load(spark, sf_dir, "part", "p_brand", "p_name"), "p_brand", {"n": ("p_name", "size"), "last_name": ("p_name", "max")}, "p_brand string, n bigint, last_name string")
+    return parts.groupBy("p_brand").applyInPandas(one, "p_brand string, n bigint, last_name string")
 
 
 @query("udf_map", "SELECT p_partkey, length(p_name)::BIGINT AS size FROM part WHERE p_size > 25")

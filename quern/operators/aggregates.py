@@ -7,9 +7,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from quern.operators.joins import BROADCAST_ROWS
 from quern.registry import query
 from quern.sources.tables import load
+from quern.storage import stored
 
 
 def cents(column: str) -> Column:
@@ -84,9 +87,36 @@ def agg_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def exact_quantiles(df: DataFrame, key: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """One row for each key with the linearly interpolated quantiles of its non-null values, however many rows a key has.
+
+    Equal values are counted first. The counts are dealt by ranges of key and value; the sums of each range (a row for each range and key) tell
+    which ranges hold the wanted ranks, and only those are summed up row by row, so that no task holds more than one range.
+    """
+    counted = df.filter(F.col(value).isNotNull()).groupBy(F.col(key).alias("k"), F.col(value).alias("v")).agg(F.count("*").alias("n"))
+    dealt = stored(counted.repartitionByRange("k", "v").withColumn("part", F.spark_partition_id()), "dealt")
+    parts = dealt.groupBy("k", "part").agg(F.sum("n").alias("here"))
+    by_key = Window.partitionBy("k")
+    ranges = parts.select("k", "part", "here", F.sum("here").over(by_key).alias("all"), (F.sum("here").over(by_key.orderBy("part")) - F.col("here")).alias("before"))
+    wanted = F.array(*[F.struct(F.lit(name).alias("name"), ((F.col("all") - 1) * F.lit(share)).alias("at")) for name, share in shares.items()])
+    asked = ranges.select("k", "part", "here", "before", F.explode(wanted).alias("w")).filter((F.floor("w.at") < F.col("before") + F.col("here")) & (F.floor("w.at") + 1 >= F.col("before")))
+    near = asked.groupBy("k", "part").agg(F.first("before").alias("before"), F.collect_list("w").alias("w"))  # of each range, a quantile once
+    near = near.select(F.col("k").alias("k1"), F.col("part").alias("p1"), "before", "w")
+    met = dealt.join(near, F.col("k").eqNullSafe(F.col("k1")) & (F.col("part") == F.col("p1")))
+    upto = F.sum("n").over(Window.partitionBy("part", "k").orderBy("v")) + F.col("before")
+    # A value holds the ranks from last - n to last - 1; each wanted rank lies between the floor and the one above it.
+    spots = met.withColumn("last", upto).select("k", "v", "n", "last", F.explode("w").alias("w"))
+    low, share = F.floor("w.at"), F.col("w.at") - F.floor("w.at")
+    holds = lambda rank: (rank >= F.col("last") - F.col("n")) & (rank < F.col("last"))
+    weight = F.when(holds(low), 1 - share).otherwise(0.0) + F.when(holds(low + 1), share).otherwise(0.0)
+    found = spots.withColumn("weight", weight).filter((F.col("weight") > 0) | holds(low)).groupBy("k").agg(*[F.sum(F.when(F.col("w.name") == name, F.col("v") * F.col("weight"))).alias(name) for name in shares])
+    return found.withColumnRenamed("k", key)
+
+
 @query("agg_percentile", "SELECT event_type, round(median(value), 6) AS middle, round(quantile_cont(value, 0.9), 6) AS p90 FROM events GROUP BY event_type")
 def agg_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "events").groupBy("event_type").agg(F.round(F.median("value"), 6).alias("middle"), F.round(F.percentile("value", 0.9), 6).alias("p90"))
+    found = exact_quantiles(load(spark, sf_dir, "events", "event_type", "value"), "event_type", "value", {"middle": 0.5, "p90": 0.9})
+    return found.select("event_type", F.round("middle", 6).alias("middle"), F.round("p90", 6).alias("p90"))
 
 
 @query("agg_minmax_by", "SELECT event_type, min_by(user_id, event_id) AS first_user, max_by(user_id, event_id) AS last_user FROM events GROUP BY event_type")
@@ -133,3 +163,19 @@ def conv_assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vec_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = load(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("position", "x"))
     return parts.groupBy("label", F.col("position").cast("bigint").alias("position")).agg(F.round(F.avg(F.col("x").cast("double")), 5).alias("mean"))
+
+
+@query("vec_nearest_label", """WITH means AS (SELECT label, i, avg(CAST(x AS DOUBLE)) AS m FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY label, i),
+    centres AS (SELECT label, list(m ORDER BY i) AS centre FROM means GROUP BY label)
+    SELECT vec_id, e.label, arg_max(c.label, round(list_inner_product(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), centre), 9)) AS nearest FROM embeddings e CROSS JOIN centres c GROUP BY vec_id, e.label""")
+def vec_nearest_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector with the label whose centroid has the greatest product with it; the least label of equals. The centroids, a row a label, go into each row as one array."""
+    vectors = load(spark, sf_dir, "embeddings")
+    means = vectors.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    centres = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]).alias("centre"))
+    table = centres.groupBy(F.lit(1).alias("one")).agg(F.collect_list(F.struct("label", "centre")).alias("centres"))
+    if centres.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:  # else the row is shuffled to the vectors
+        table = F.broadcast(table)
+    product = lambda c: F.round(F.aggregate(F.zip_with("embedding", c["centre"], lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x), 9)
+    best = F.array_max(F.transform("centres", lambda c: F.struct(product(c).alias("product"), (-c["label"]).alias("minus"))))
+    return vectors.withColumn("one", F.lit(1)).join(table, "one").select("vec_id", "label", (-best["minus"]).alias("nearest"))

@@ -78,27 +78,30 @@ def join_shuffle_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _order_customer(spark, sf_dir, "shuffle_hash")
 
 
-def _order_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    lines = load(spark, sf_dir, "lineitem", "l_orderkey").filter("l_orderkey % 3 = 0").groupBy("l_orderkey").agg(F.count("*").alias("n_lines"))
-    return load(spark, sf_dir, "orders", "o_orderkey", "o_custkey").filter("o_orderkey % 2 = 0"), lines
-
-
-def _outer_sql(kind: str) -> str:
-    return f"""SELECT o_orderkey, o_custkey, l_orderkey, n_lines FROM (SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 2 = 0) o
-    {kind} JOIN (SELECT l_orderkey, CAST(count(*) AS BIGINT) AS n_lines FROM lineitem WHERE l_orderkey % 3 = 0 GROUP BY l_orderkey) l ON o_orderkey = l_orderkey"""
-
+@query("join_left", """SELECT o_orderkey, o_custkey, l_orderkey, n_lines FROM orders
+    LEFT JOIN (SELECT l_orderkey, CAST(count(*) AS BIGINT) AS n_lines FROM lineitem GROUP BY l_orderkey) ON o_orderkey = l_orderkey""")
+def join_left(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order with the number of its lines; some orders have none."""
+    lines = load(spark, sf_dir, "lineitem", "l_orderkey").groupBy("l_orderkey").agg(F.count("*").alias("n_lines"))
+    orders = load(spark, sf_dir, "orders", "o_orderkey", "o_custkey")
+    return orders.join(lines, orders.o_orderkey == lines.l_orderkey, "left").select("o_orderkey", "o_custkey", "l_orderkey", "n_lines")
 
-def _outer(kind: str):
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        orders, lines = _order_lines(spark, sf_dir)
-        return orders.join(lines, orders.o_orderkey == lines.l_orderkey, kind).select("o_orderkey", "o_custkey", "l_orderkey", "n_lines")
 
-    return run
+@query("join_right", """SELECT o_orderkey, c_custkey, c_name FROM (SELECT o_orderkey, o_custkey FROM orders WHERE o_orderpriority = '1-URGENT') RIGHT JOIN customer ON o_custkey = c_custkey""")
+def join_right(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer with their urgent orders; some customers have none."""
+    urgent = load(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'").select("o_orderkey", "o_custkey")
+    customer = load(spark, sf_dir, "customer", "c_custkey", "c_name")
+    return urgent.join(customer, urgent.o_custkey == customer.c_custkey, "right").select("o_orderkey", "c_custkey", "c_name")
 
 
-join_left = query("join_left", _outer_sql("LEFT"))(_outer("left"))
-join_right = query("join_right", _outer_sql("RIGHT"))(_outer("right"))
-join_full = query("join_full", _outer_sql("FULL OUTER"))(_outer("full"))
+@query("join_full", """SELECT o_custkey, n_orders, user_id, n_events FROM (SELECT o_custkey, count(*)::BIGINT AS n_orders FROM orders GROUP BY o_custkey HAVING count(*) > 12)
+    FULL OUTER JOIN (SELECT user_id, count(*)::BIGINT AS n_events FROM events GROUP BY user_id) ON o_custkey = user_id""")
+def join_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers of many orders beside the users seen in events; some are only the one or the other."""
+    buyers = load(spark, sf_dir, "orders", "o_custkey").groupBy("o_custkey").agg(F.count("*").alias("n_orders")).filter("n_orders > 12")
+    users = load(spark, sf_dir, "events", "user_id").groupBy("user_id").agg(F.count("*").alias("n_events"))
+    return buyers.join(users, buyers.o_custkey == users.user_id, "full")
 
 
 @query("join_semi", "SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)")

@@ -36,7 +36,7 @@ def sql_query(name: str, oracle: str, text: str | None = None, tables: tuple[str
 
 
 def _register() -> None:
-    from quern.functions import scalars, udf  # noqa: F401
+    from quern.functions import hashing, scalars, udf  # noqa: F401
     from quern.operators import aggregates, joins, windows  # noqa: F401
     from quern.plans import sql  # noqa: F401
     from quern.sources import io  # noqa: F401

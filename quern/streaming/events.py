@@ -1,5 +1,6 @@
 """Structured Streaming over events. Each query runs its stream to the end of the input and returns what the sink holds.
 
+Windows close by watermark in append mode, so state ends with its window; a row far after the last event closes the last ones.
 Streams end in foreachBatch writers that put each batch in a folder of its own, so a batch that is run again replaces itself.
 State is kept by RocksDB, off the heap. Event time needs a zoned type, so ts is cast (the session zone is UTC).
 """
@@ -46,23 +47,32 @@ def _times(df: DataFrame) -> DataFrame:
     return df.withColumns({k: F.col(k).cast("timestamp_ntz") for k, t in df.dtypes if t == "timestamp"})
 
 
+def closed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stream of events, and one more a hundred days after the last: it moves the watermark past every window of theirs, and its own stays open."""
+    events = load(spark, sf_dir, "events")
+    at = fresh_path(spark, "closing")
+    last = events.agg(F.max("ts").alias("ts"))
+    last.select(*[(F.col("ts") + F.expr("INTERVAL 100 DAYS") if f.name == "ts" else F.lit(None)).cast(f.dataType).alias(f.name) for f in events.schema]).write.parquet(at)
+    return read_events(spark, sf_dir).unionByName(read_events(spark, sf_dir, at))
+
+
 @query("stream_tumbling", "SELECT date_trunc('day', ts)::TIMESTAMP AS day_start, event_type, count(*)::BIGINT AS n FROM events GROUP BY 1, 2")
 def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = read_events(spark, sf_dir).withWatermark("ts", "1 hour").groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n"))
-    return _times(drained(counted.select(F.col("window.start").alias("day_start"), "event_type", "n"), "complete"))
+    counted = closed_events(spark, sf_dir).withWatermark("ts", "1 hour").groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n"))
+    return _times(drained(counted.select(F.col("window.start").alias("day_start"), "event_type", "n"), "append"))
 
 
 @query("stream_sliding", """SELECT start_at, count(*)::BIGINT AS n FROM (SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2000-01-01') - k * INTERVAL 6 HOUR AS start_at FROM events, (SELECT unnest(generate_series(0, 3)) AS k)) GROUP BY start_at""")
 def stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = read_events(spark, sf_dir).groupBy(F.window("ts", "1 day", "6 hours")).agg(F.count("*").alias("n"))
-    return _times(drained(counted.select(F.col("window.start").alias("start_at"), "n"), "complete"))
+    counted = closed_events(spark, sf_dir).withWatermark("ts", "1 hour").groupBy(F.window("ts", "1 day", "6 hours")).agg(F.count("*").alias("n"))
+    return _times(drained(counted.select(F.col("window.start").alias("start_at"), "n"), "append"))
 
 
 @query("stream_session", """SELECT user_id, min(ts) AS start_at, count(*)::BIGINT AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM (
     SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, s""")
 def stream_session(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = read_events(spark, sf_dir).groupBy(F.session_window("ts", "6 hours"), "user_id").agg(F.count("*").alias("n"))
-    return _times(drained(counted.select("user_id", F.col("session_window.start").alias("start_at"), "n"), "complete"))
+    counted = closed_events(spark, sf_dir).withWatermark("ts", "1 hour").groupBy(F.session_window("ts", "6 hours"), "user_id").agg(F.count("*").alias("n"))
+    return _times(drained(counted.select("user_id", F.col("session_window.start").alias("start_at"), "n"), "append"))
 
 
 @query("stream_dedup", "SELECT event_id, user_id, event_type FROM events")

@@ -1,9 +1,13 @@
 """Every registered query against its DuckDB SQL, and the sketches against exact counts."""
 
+import numpy as np
 import pytest
+import xxhash
 
 import __spark_entry__ as entry
 from quern import registry
+from quern.functions.hashing import text_key
+from quern.operators.aggregates import exact_quantiles
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
@@ -23,3 +27,20 @@ def test_entry_gives_rows(spark):
 
 def test_every_oracle_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_text_keys_are_xxh64_of_seed_0(spark):
+    df = spark.createDataFrame([("",), ("a",), ("hello",), (None,), ("é" * 100,)], "t string").select("t", text_key("t").alias("key"))
+    got = {r.t: r.key for r in df.collect()}
+    assert (got[""], got["a"], got["hello"], got[None]) == (-1205034819632174695, -3292477735350538661, 2794345569481354659, None)
+    assert got["é" * 100] % 2**64 == xxhash.xxh64_intdigest(("é" * 100).encode())
+    assert registry.QUERIES["fn_text_key"](spark, "/root/testdata/sf0.001").filter("key IS NULL").isEmpty()
+
+
+def test_exact_quantiles_of_ties_nulls_and_one_hot_key(spark):
+    rows = [("a", float(i % 7)) for i in range(500)] + [("b", 2.5)] + [("c", None)] + [(None, 1.0), (None, 4.0)] + [("d", float(i)) for i in range(11)]
+    got = {r.k: (r.low, r.middle, r.high) for r in exact_quantiles(spark.createDataFrame(rows, "k string, v double").repartition(5), "k", "v", {"low": 0.0, "middle": 0.5, "high": 0.93}).collect()}
+    for k in ("a", "b", None, "d"):
+        values = [v for x, v in rows if x == k]
+        assert got[k] == pytest.approx(tuple(np.quantile(values, q) for q in (0, 0.5, 0.93)))
+    assert set(got) == {"a", "b", None, "d"}

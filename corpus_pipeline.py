@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import stored, text_column
+from quern.llm.common import drop_stored, stored, text_column
 from quern.llm.decontamination import LEAST_ITEM, leaks
 from quern.llm.near_dedup import near_groups
 from quern.llm.quality_rules import quality_rules
@@ -80,8 +80,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir; what is between them goes to the shared folder."""
     docs = load(spark, sf_dir, "documents", *COLUMNS)
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = stored(docs, f"stage-{name}")
-    return docs
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        if k:
+            drop_stored(before)
+    return STAGES[-1][1](spark, docs, sf_dir)

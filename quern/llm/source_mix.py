@@ -58,7 +58,9 @@ def targets(sizes: DataFrame) -> DataFrame:
         if raised == level:
             break
         level = raised
-    return weighed.select("source", "source_size", F.least(F.col("weight") * F.lit(level), MOST_COPIES * F.col("source_size").cast("double")).alias("target"))
+    out = stored(weighed.select("source", "source_size", F.least(F.col("weight") * F.lit(level), MOST_COPIES * F.col("source_size").cast("double")).alias("target")), "targets")
+    drop_stored(weighed)
+    return out
 
 
 def dual_rates(size: np.ndarray, n: np.ndarray, target: float) -> np.ndarray:
@@ -129,12 +131,14 @@ def mix_sources(docs: DataFrame) -> DataFrame:
     source = docs["source"].cast("string") if "source" in docs.columns else F.lit(None).cast("string")
     sized = stored(docs.select(docs["doc_id"], source.alias("source"), size.alias("size"), F.xxhash64(text_column(docs)).alias("tie")), "sizes")
     counted = stored(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "counts")
-    aims = stored(targets(counted.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))), "targets")
+    aims = targets(counted.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")))
 
     filled = counted.filter("size > 0")
     own, met = _same(filled, aims.select("source", "target"), "source")
     rated = stored(filled.join(own, met).select("source", "size", "n", "target").groupBy("source").applyInPandas(_rated, "source string, size bigint, rate double, fewer bigint, base double"), "rates")
 
+    drop_stored(counted)
+
     # Number each source's documents by size: range partitions are numbered within, then offset by the counts of those before.
     order = ["source", "size", "doc_id", "tie"]
     dealt = _numbered(sized.filter("size > 0"), *order)

@@ -233,3 +233,24 @@ def test_pipeline_equals_its_stages_by_brute_force(spark, sf_dir):
         sizes[r.source] = sizes.get(r.source, 0) + len(WORD.findall(r.text))
     want_mix = plain_targets(sizes)
     assert {r.doc_id for r in mix} == set(masked) and all(r.target == pytest.approx(want_mix[masked[r.doc_id].source]) for r in mix)
+
+
+def test_pipeline_stages_on_edge_rows(spark, tmp_path, no_documents):
+    """Null and repeated ids, several texts of one id, clashing columns and an empty table: no row goes but those that a stage rejects."""
+    item = prose(900, 40)
+    spark.createDataFrame([(1, item), (2, "yes"), (None, prose(1, 30)), (3, None)], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    x, y, z, leak = prose(801, 60), prose(802, 60), prose(803, 60), prose(804, 30) + " " + item + " " + prose(805, 30)
+    rows = [(1, x, "en", "a"), (2, x, "en", "b"), (2, y, None, "a"), (2, y, None, "a"), (None, z, "en", None), (None, leak, "en", "a"), (None, x, None, None), (3, leak, "de", "a"), (4, "yes", "en", "a"), (4, None, "en", "a"), (5, "", "en", "a"), (6, f"yes {z} token=abcdefghijklmnop", "en", "a")]
+    docs = documents(spark, rows, clash=True)
+    stages = dict(corpus_pipeline.STAGES)
+    texts = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=repr)
+    own = lambda *keep: sorted(((rows[k][0], rows[k][1]) for k in keep), key=repr)
+    assert texts(stages["quality_rules"](spark, docs, str(tmp_path))) == own(0, 1, 2, 3, 4, 5, 6, 7, 11)
+    assert texts(stages["near_dedup"](spark, docs, str(tmp_path))) == own(0, 2, 4, 5, 6, 7, 8, 9, 10, 11)
+    assert texts(stages["decontamination"](spark, docs, str(tmp_path))) == own(0, 1, 2, 3, 4, 6, 9, 10, 11)
+    masked = stages["secret_scan"](spark, docs, str(tmp_path))
+    assert masked.count() == len(rows) and masked.columns == list(corpus_pipeline.COLUMNS)
+    assert [r.text for r in masked.collect() if r.doc_id == 6] == [f"yes {z} [SECRET]"]
+    assert sorted((r.doc_id or 0, r.size) for r in stages["source_mix"](spark, docs, str(tmp_path)).collect()) == sorted((r[0] or 0, len(WORD.findall(r[1] or ""))) for r in rows)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, no_documents, str(tmp_path)).count() == 0, name

@@ -30,7 +30,8 @@ ACCESS = "AKIA[A-Z0-9]{14,}"
 HEX = "[0-9a-f]{16,}"
 #: Values that the base kinds report already are passed over: assignments whole, the others where they fill the run.
 LEAST_LENGTH = 20
-RUN = ASSIGN + f"|[A-Za-z0-9+/_-]{{{LEAST_LENGTH},}}={{0,2}}"
+LONG = f"[A-Za-z0-9+/_-]{{{LEAST_LENGTH},}}"
+RUN = f"{ASSIGN}|{LONG}={{0,2}}"
 REPORTED = "^([0-9a-f]{16,}|AKIA[A-Z0-9]{14,})$"
 KINDS = ("assign", "access", "hex", "random")
 LEAST_VALUE = 12
@@ -71,10 +72,11 @@ def _folded(items: Column, first: Column, step, length, shift) -> Column:
     return let(items, whole)
 
 
-def _found(text: Column, pattern: str, kind: str) -> Column:
+def _found(text: Column, pattern: str, kind: str, guard: str | None = None) -> Column:
     """Spans (start, kind, end, value) of the matches, leftmost and not overlapping, in code points.
 
-    The pieces between the matches give the positions: splitting and matching walk through the text alike.
+    The pieces between the matches give the positions: splitting and matching walk through the text alike. Texts without a match of guard
+    (the pattern itself, unless a simpler one will do) have none.
     """
     hit = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     group = F.regexp_extract_all(text, F.lit(pattern), F.lit({"assign": 2, "random": 1}.get(kind, 0)))
@@ -91,7 +93,7 @@ def _found(text: Column, pattern: str, kind: str) -> Column:
         lambda chunk: chunk["at"],
         lambda x, at: F.struct((x["start"] + at).alias("start"), x["kind"].alias("kind"), (x["end"] + at).alias("end"), x["value"].alias("value")),
     )
-    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(SPANS))
+    return F.when(text.rlike(guard or pattern), spans).otherwise(F.array().cast(SPANS))
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
@@ -101,7 +103,7 @@ def base_spans(docs: DataFrame) -> DataFrame:
     named = F.contains(low, F.lit("passw")) | F.contains(low, F.lit("secret")) | F.contains(low, F.lit("token")) | (F.contains(low, F.lit("api")) & F.contains(low, F.lit("key")))
     none = F.array().cast(SPANS)
     text = F.col("text")
-    runs = F.filter(_found(text, RUN, "random"), lambda x: x["value"].rlike("[0-9]") & x["value"].rlike("[A-Za-z]") & ~x["value"].rlike(REPORTED))
+    runs = F.filter(_found(text, RUN, "random", LONG), lambda x: x["value"].rlike("[0-9]") & x["value"].rlike("[A-Za-z]") & ~x["value"].rlike(REPORTED))
     return df.select(
         "doc_id",
         F.when(named, _found(text, ASSIGN, "assign")).otherwise(none).alias("assign"),

@@ -1,7 +1,7 @@
 """Operator 8: toxicity by a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
 Words are runs of letters and digits, lower-cased. A word's input is its own vector (zero for words outside the vocabulary)
-beside the mean vector of its hashed character n-grams, so unseen words are read from their spelling. Windows of WINDOW words
+beside the mean vector of its hashed character n-grams, so that words outside the vocabulary have an input too. Windows of WINDOW words
 start every STRIDE words; each goes through a gated recurrent unit in both directions, attention pools the states, and a
 document's score is that of its highest window, calibrated. Training is multiple-instance: a toxic document vouches for its
 highest windows, a clean one for all of its windows. Vectors start from the log-odds of words and n-grams in the

@@ -10,6 +10,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -214,6 +215,74 @@ def test_gradients_of_the_recurrent_network():
     assert dx[2, 1, 3] == pytest.approx((ends[0] - ends[1]) / 2e-4, rel=2e-2, abs=1e-4)
 
 
+def test_recurrent_network_equals_a_plain_forward_pass():
+    rng = np.random.default_rng(4)
+    net = toxicity.Network(np.arange(1, 5, dtype=np.uint64))
+    p = net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    x = rng.standard_normal((6, 4, toxicity.WORD_DIM + toxicity.CHAR_DIM))
+    n, sigmoid = toxicity.HIDDEN, lambda v: 1 / (1 + np.exp(-v))
+    for w, got in enumerate(net.forward(x)):
+        states = []
+        for side, order in (("f", range(6)), ("b", range(5, -1, -1))):
+            h, out = np.zeros(n), {}
+            for t in order:
+                gate, back = x[t, w] @ p[f"{side}x"] + p[f"{side}b"], h @ p[f"{side}h"]
+                z, r = sigmoid(gate[:n] + back[:n]), sigmoid(gate[n : 2 * n] + back[n : 2 * n])
+                h = (1 - z) * np.tanh(gate[2 * n :] + r * back[2 * n :]) + z * h
+                out[t] = h
+            states.append(out)
+        both = [np.concatenate([states[0][t], states[1][t]]) for t in range(6)]
+        weight = np.exp([(np.tanh(b @ p["a"]) @ p["v"])[0] for b in both])
+        pooled = sum(a * b for a, b in zip(weight / weight.sum(), both, strict=True))
+        assert got == pytest.approx((pooled @ p["o"])[0] + p["c"][0], rel=1e-4)
+
+
+def test_toxicity_needs_words_and_characters():
+    """The whole network tells texts that it hasn't seen; without word vectors it finds no toxic one, without those of characters it errs."""
+    toxic = np.array([float(i % 5 == 0) for i in range(300)])
+    net = toxicity.train([prose(i, 40) + (f" vequ{'abcdefgh'[i % 8]}or " if i % 5 == 0 else " ") + prose(900 + i, 20) for i in range(300)], toxic, 0.2)
+    rude, clean = [prose(2000 + i, 40) + f" vequ{x}or " + prose(3000 + i, 20) for i, x in enumerate("abcdefgh")], [prose(4000 + i, 60) for i in range(8)]
+
+    def found(part: str | None = None) -> tuple[float, float]:
+        kept = dict(net.p)
+        if part:
+            net.p[part] = 0 * net.p[part]
+        raw = [t.encode() for t in rude + clean]
+        out = toxicity.scores(net, np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), 0.0) >= 0.5
+        net.p = kept
+        return out[:8].mean(), out[8:].mean()
+
+    assert found() == (1.0, 0.0)
+    assert found("word")[0] <= 0.25
+    hit, alarm = found("char")
+    assert hit < 1 or alarm > 0
+
+
+def test_sums_over_the_pool_equal_plain_ones(spark):
+    """Gradients and Hessians that tasks add up are those of all documents that the other view is certain of, computed in one place."""
+    from quern.llm import cotraining
+
+    rng = np.random.default_rng(3)
+    batch = next(iter(cotraining._packed(iter([pa.RecordBatch.from_pydict({"doc_id": list(range(60)), "text": [prose(i, 30).upper() if i % 3 else prose(i, 30) for i in range(60)], "lang": ["en"] * 60, "source": [f"s{i % 5}" for i in range(60)]})]))))
+    views = cotraining._unpacked(batch)
+    y = (np.arange(60) % 3 > 0).astype(float)
+    fitted = [cotraining.Logistic(v, y) for v in views]
+    teachers = [f.beta + rng.standard_normal(len(f.beta)) * 0.01 for f in fitted]
+    pool = spark.createDataFrame([(bytes(a), bytes(b)) for a, b in zip(batch.column("text_view").to_pylist(), batch.column("meta_view").to_pylist(), strict=True)], "text_view binary, meta_view binary").repartition(4)
+    got = cotraining._taught(pool, fitted, teachers)
+    z = [f.standard(v) for f, v in zip(fitted, views, strict=True)]
+    for pupil, teacher in ((0, 1), (1, 0)):
+        p = 1 / (1 + np.exp(-np.clip(z[teacher] @ teachers[teacher], -30, 30)))
+        for label in (0, 1):
+            sure = np.flatnonzero((p if label else 1 - p) >= cotraining.CERTAIN)
+            g, h = np.zeros(z[pupil].shape[1]), 0
+            for i in sure:
+                q = 1 / (1 + np.exp(-np.clip(z[pupil][i] @ fitted[pupil].beta, -30, 30)))
+                g, h = g + (q - label) * z[pupil][i], h + max(q * (1 - q), 1e-5) * np.outer(z[pupil][i], z[pupil][i])
+            n, gradient, hessian = got[pupil][label]
+            assert n == len(sure) and np.allclose(gradient, g, atol=1e-6) and np.allclose(hessian, h, atol=1e-6)
+
+
 def test_windows_cover_every_word():
     start, end, row = toxicity.windows(np.array([0, 0, 5, 5 + 32, 5 + 32 + 100]))
     assert set(row.tolist()) == {1, 2, 3}

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from quern.llm.common import drop_stored, hashed_words, steps, stored, text_column
 
 MOST_LABELLED = 4000
-ROUNDS, NEWTON_STEPS, CERTAIN, TAUGHT_WEIGHT = 5, 10, 0.95, 0.5
+ROUNDS, NEWTON_STEPS, CERTAIN, TAUGHT_WEIGHT = 3, 6, 0.95, 0.5
 #: Tasks that add up the sums of the others before the driver does.
 MERGES = 8
 SOURCE_BUCKETS, LANG_BUCKETS, LENGTH_STEPS = 64, 16, 16

@@ -9,10 +9,10 @@ spelling: a byte-bigram model over all tokens, normalised for each length, which
 
 The first pass counts words and byte pairs, summed by key over the cluster. Training takes ROUNDS rounds that each go through a part
 of the documents: shards that depend on doc_id and text alone train from the same start, and their parameters are averaged by tokens,
-so that every token is learnt from once and the model doesn't depend on how rows are dealt. The last pass scores, and stores the words
-outside the TOP of each text, which are then joined with the stored counts of all words by shuffling. So only TOP words, 257 * 257
-byte-pair counts, two sums a length class and the averaged parameters go to the driver; the counts, which grow with the corpus,
-stay distributed.
+so that every token is learnt from once and the model doesn't depend on how rows are dealt. The last pass scores. It has the counts of the
+KNOWN most frequent words at hand, and stores the other words of each text, which are then joined with the stored counts of all words
+by shuffling. So only KNOWN words and counts, 257 * 257 byte-pair counts, two sums a length class and the averaged parameters go to the
+driver; the counts, which grow with the corpus, stay distributed.
 """
 
 from __future__ import annotations
@@ -29,14 +29,16 @@ from pyspark.sql import functions as F
 from quern.llm.common import PUNCTUATED, hashed_words, steps, stored, text_column
 
 TOP, CLASS_WORDS, BUCKETS = 2048, 64, 512
+#: Words whose counts are sent to every task (16 bytes each). Which these are changes the time only.
+KNOWN = 1 << 16
 SIDE = 2
 COMMON_CLASSES, LENGTH_CLASSES, HIDDEN = TOP // CLASS_WORDS, 12, 16
 CLASSES = COMMON_CLASSES + LENGTH_CLASSES
 #: Stands where the text has no token.
 NOTHING = TOP + BUCKETS
-BATCH, ROUNDS, RATES = 2048, 4, (0.02, 0.01, 0.005, 0.0025)
+BATCH, ROUNDS, RATES = 4096, 4, (0.03, 0.015, 0.008, 0.004)
 #: Tokens of a shard, unless there would be more than MOST_SHARDS; each shard's parameters are sent once a round in CHUNKS pieces.
-SHARD_TOKENS, MOST_SHARDS, CHUNKS = 1 << 19, 4096, 16
+SHARD_TOKENS, MOST_SHARDS, CHUNKS = 1 << 20, 4096, 16
 _STEP = 1 << 18
 _LOWERED = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.int64)
 
@@ -63,21 +65,22 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Lexicon:
-    """Sorted hashes of the most frequent words with their ranks, the spelling model, and where the network starts: at plain counts."""
+    """Sorted hashes of the most frequent words with their ranks and counts, the spelling model, and where the network starts: at plain counts."""
 
     keys: np.ndarray
     rank: np.ndarray
+    seen: np.ndarray
     spell: np.ndarray
     length_mass: np.ndarray
     class_odds: np.ndarray
     word_odds: np.ndarray
 
 
-def build_lexicon(top: list[tuple[int, int]], pairs: dict[int, int], others: np.ndarray) -> Lexicon:
-    """top: (word hash, count) in falling order of counts; pairs: byte-pair counts; others: tokens outside the top of each length class."""
-    keys = np.array([k for k, _ in top], np.int64).view(np.uint64)
+def build_lexicon(known: list[tuple[int, int]], pairs: dict[int, int], others: np.ndarray, top: int = TOP) -> Lexicon:
+    """known: (word hash, count) in falling order of counts, the first top of which go into classes by frequency; pairs: byte-pair counts; others: tokens outside the top of each length class."""
+    keys, seen = np.array([k for k, _ in known], np.int64).view(np.uint64), np.array([c for _, c in known], float)
     n = np.zeros(TOP)
-    n[: len(top)] = [c for _, c in top]
+    n[: min(top, len(known))] = seen[:top]
     table = np.zeros(257 * 257)
     for k, c in pairs.items():
         table[k] = c
@@ -95,12 +98,12 @@ def build_lexicon(top: list[tuple[int, int]], pairs: dict[int, int], others: np.
     order = np.argsort(keys, kind="stable")
     n = n.reshape(COMMON_CLASSES, CLASS_WORDS)
     classes = np.concatenate([n.sum(1), others]) + 0.5
-    return Lexicon(keys[order], order, spell.ravel(), np.log(np.array(lengths)), np.log(classes / classes.sum()), np.log((n + 1e-6) / (n + 1e-6).sum(1, keepdims=True)))
+    return Lexicon(keys[order], np.where(order < top, order, TOP), seen[order], spell.ravel(), np.log(np.array(lengths)), np.log(classes / classes.sum()), np.log((n + 1e-6) / (n + 1e-6).sum(1, keepdims=True)))
 
 
 @dataclass
 class Tokens:
-    """Of every token: its row, its class, its place in a class of words (0 in one by length), its number as a neighbour, its hash, and the log-probability of its spelling."""
+    """Of every token: its row, its class, its place in a class of words (0 in one by length), its number as a neighbour, its hash, the log-probability of its spelling, and its count (0 if it isn't known)."""
 
     row: np.ndarray
     group: np.ndarray
@@ -108,6 +111,7 @@ class Tokens:
     number: np.ndarray
     value: np.ndarray
     spelt: np.ndarray
+    seen: np.ndarray
 
 
 def tokens(lexicon: Lexicon, data: np.ndarray, at: np.ndarray) -> Tokens:
@@ -118,17 +122,20 @@ def tokens(lexicon: Lexicon, data: np.ndarray, at: np.ndarray) -> Tokens:
     spelt = np.concatenate([[0.0], np.cumsum(lexicon.spell[np.concatenate([[0], x[:-1]]) * 257 + x])]) if len(x) else np.zeros(1)
     # Each earlier row adds one place, and a word's end is spelt at the place after it.
     inside = spelt[end + row + 1] - spelt[start + row] - lexicon.length_mass[length]
+    seen = np.zeros(len(value))
     if len(lexicon.keys) and len(value):
         found = np.minimum(np.searchsorted(lexicon.keys, value), len(lexicon.keys) - 1)
-        hit = lexicon.keys[found] == value
+        found = np.where(lexicon.keys[found] == value, found, -1)
+        seen = np.where(found >= 0, lexicon.seen[found], 0)
+        hit = np.flatnonzero((found >= 0) & (lexicon.rank[found] < TOP))
         rank = lexicon.rank[found[hit]]
         number[hit], group[hit], place[hit] = rank, rank // CLASS_WORDS, rank % CLASS_WORDS
-    return Tokens(row, group, place, number, value, inside)
+    return Tokens(row, group, place, number, value, inside, seen)
 
 
 def rare_words(t: Tokens) -> tuple[np.ndarray, ...]:
-    """(row, hash, length, log-probability of the spelling, times) of the different words of each row in the classes by length."""
-    rare = np.flatnonzero(t.group >= COMMON_CLASSES)
+    """(row, hash, length, log-probability of the spelling, times) of the different words of each row whose counts aren't known."""
+    rare = np.flatnonzero(t.seen == 0)
     rare = rare[np.lexsort((t.value[rare], t.row[rare]))]
     new = np.ones(len(rare), bool)
     new[1:] = (t.row[rare][1:] != t.row[rare][:-1]) | (t.value[rare][1:] != t.value[rare][:-1])
@@ -137,6 +144,14 @@ def rare_words(t: Tokens) -> tuple[np.ndarray, ...]:
     return t.row[one], t.value[one], t.group[one] - COMMON_CLASSES + 1, t.spelt[one], np.diff(np.append(first, len(rare)))
 
 
+def known_words(t: Tokens, others: np.ndarray, different: np.ndarray) -> np.ndarray:
+    """Of each token the log-probability within its class by length, from its count and spelling; 0 in a class of words, and where the count isn't known."""
+    out, at = np.zeros(len(t.group)), np.flatnonzero((t.group >= COMMON_CLASSES) & (t.seen > 0))
+    length = t.group[at] - COMMON_CLASSES
+    out[at] = np.log((t.seen[at] - 1 + np.maximum(different, 1)[length] * np.exp(t.spelt[at])) / np.maximum(others, 1)[length])
+    return out
+
+
 def contexts(t: Tokens) -> np.ndarray:
     """[position, token]: the numbers of the tokens SIDE before to SIDE after, NOTHING where the text has none."""
     out = np.full((2 * SIDE, len(t.number)), NOTHING, np.int16)
@@ -146,10 +161,20 @@ def contexts(t: Tokens) -> np.ndarray:
     return out
 
 
-def _softmax(o: np.ndarray) -> np.ndarray:
-    """Log-probabilities, in place."""
+def _log_chance(o: np.ndarray, row: np.ndarray, column: np.ndarray) -> np.ndarray:
+    """Of each row of log-odds, the log-probability of one column."""
+    top = o.max(1)
+    own = o[row, column] - top
+    o -= top[:, None]
+    np.exp(o, out=o)
+    return own.astype(float) - np.log(o.sum(1))
+
+
+def _chances(o: np.ndarray) -> np.ndarray:
+    """Probabilities, in place."""
     o -= o.max(1, keepdims=True)
-    o -= np.log(np.exp(o).sum(1, keepdims=True))
+    np.exp(o, out=o)
+    o /= o.sum(1, keepdims=True)
     return o
 
 
@@ -178,49 +203,48 @@ class WindowNetwork:
         h += self.p["b"]
         return np.tanh(h, out=h)
 
-    @staticmethod
-    def _by_class(group: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """Each class of words that occurs, and which tokens are in it."""
-        order = np.argsort(group.astype(np.uint8), kind="stable")
-        bounds = np.searchsorted(group[order], np.arange(COMMON_CLASSES + 1))
-        for c in np.flatnonzero(np.diff(bounds)):
-            yield int(c), order[bounds[c] : bounds[c + 1]]
-
     def log_probability(self, around: np.ndarray, group: np.ndarray, place: np.ndarray) -> np.ndarray:
         """Of each token its class's, plus the word's within it where that is a class of words."""
         out, p = np.zeros(len(group)), self.p
-        for a in range(0, len(group), 8 * BATCH):
-            part = slice(a, a + 8 * BATCH)
-            h, g, w = self._hidden(around[:, part]), group[part], place[part]
-            found = _softmax(h @ p["w"] + p["c"])[np.arange(len(g)), g].astype(float)
-            for c, at in self._by_class(g):
-                found[at] += _softmax(h[at] @ p["o"][c].T + p["d"][c])[np.arange(len(at)), w[at]]
-            out[part] = found
+        for first in range(0, len(group), 4 * BATCH):
+            order = first + np.argsort(group[first : first + 4 * BATCH].astype(np.uint8), kind="stable")  # classes then are slices
+            h, g, w, each = self._hidden(around[:, order]), group[order], place[order], np.arange(len(order))
+            found = _log_chance(h @ p["w"] + p["c"], each, g)
+            bounds = np.searchsorted(g, np.arange(COMMON_CLASSES + 1)).tolist()
+            for c, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+                if a < b:
+                    found[a:b] += _log_chance(h[a:b] @ p["o"][c].T + p["d"][c], each[: b - a], w[a:b])
+            out[order] = found
         return out
 
     def gradients(self, around: np.ndarray, group: np.ndarray, place: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean negative log-probability."""
         p, n = self.p, len(group)
+        order = np.argsort(group.astype(np.uint8), kind="stable")  # classes then are slices
+        around, group, place = around[:, order], group[order], place[order]
         h = self._hidden(around)
-        d = np.exp(_softmax(h @ p["w"] + p["c"]))
+        d = _chances(h @ p["w"] + p["c"])
         d[np.arange(n), group] -= 1
-        d /= n
         dh = d @ p["w"].T
         g = {"e": np.zeros_like(p["e"]), "w": h.T @ d, "c": d.sum(0), "o": np.zeros_like(p["o"]), "d": np.zeros_like(p["d"])}
-        for c, at in self._by_class(group):
-            own = h[at]
-            d = np.exp(_softmax(own @ p["o"][c].T + p["d"][c]))
-            d[np.arange(len(at)), place[at]] -= 1
-            d /= n
-            g["o"][c], g["d"][c] = d.T @ own, d.sum(0)
-            dh[at] += d @ p["o"][c]
+        bounds = np.searchsorted(group, np.arange(COMMON_CLASSES + 1)).tolist()
+        each = np.arange(n)
+        for c, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+            if a < b:
+                own = h[a:b]
+                d = _chances(own @ p["o"][c].T + p["d"][c])
+                d[each[: b - a], place[a:b]] -= 1
+                g["o"][c], g["d"][c] = d.T @ own, d.sum(0)
+                dh[a:b] += d @ p["o"][c]
         dh *= 1 - h * h
         g["b"] = dh.sum(0)
-        for k, a in enumerate(around):
-            order = np.argsort(a, kind="stable")
-            sorted_ = a[order]
+        for k, x in enumerate(around):
+            order = np.argsort(x, kind="stable")
+            sorted_ = x[order]
             first = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
             g["e"][k][sorted_[first]] = np.add.reduceat(dh[order], first, 0)
+        for v in g.values():
+            v /= n
         return g
 
     def learn(self, around: np.ndarray, group: np.ndarray, place: np.ndarray, rate: float) -> None:
@@ -229,10 +253,17 @@ class WindowNetwork:
         pace = rate * np.sqrt(1 - 0.999**self.turn) / (1 - 0.9**self.turn)
         for k, v in self.gradients(around, group, place).items():
             m, s = self.moments[k]
-            m += 0.1 * (v - m)
+            m *= 0.9
+            m += 0.1 * v
             v *= v
-            s += 0.001 * (v - s)
-            self.p[k] -= pace * m / (np.sqrt(s) + 1e-8)
+            v *= 0.001
+            s *= 0.999
+            s += v
+            np.sqrt(s, out=v)
+            v += 1e-8
+            np.divide(m, v, out=v)
+            v *= pace
+            self.p[k] -= v
 
 
 @dataclass
@@ -265,20 +296,20 @@ def _average(parts: DataFrame) -> np.ndarray | None:
     return np.concatenate([np.frombuffer(bytes(r.value), np.float32) for r in sorted(rows, key=lambda r: r.chunk)]) if rows else None
 
 
-def fit(docs: DataFrame, top: int = TOP) -> Model:
-    """The model of all texts of docs, with at most top (up to TOP) words in classes by frequency."""
+def fit(docs: DataFrame, top: int = TOP, known: int = KNOWN) -> Model:
+    """The model of all texts of docs, with at most top (up to TOP) words in classes by frequency and the counts of about known words at hand."""
     spark, base = docs.sparkSession, _base(docs)
     counts = stored(base.select("text").mapInArrow(_counted, "kind int, key bigint, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n")), "words")
-    common = counts.filter("kind > 0").orderBy(F.desc("n"), "key").limit(top).collect()
+    known = counts.filter("kind > 0").orderBy(F.desc("n"), "key").limit(max(top, known)).collect()
     pairs = {r.key: r.n for r in counts.filter("kind = 0").collect()}  # 257 * 257 at most
     others, different, total = np.zeros(LENGTH_CLASSES), np.zeros(LENGTH_CLASSES), 0
     for r in counts.filter("kind > 0").groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect():
         others[r.kind - 1], different[r.kind - 1] = r.n, r.words
         total += r.n
-    for r in common:
+    for r in known[:top]:
         others[r.kind - 1] -= r.n
         different[r.kind - 1] -= 1
-    lexicon = build_lexicon([(r.key, r.n) for r in common], pairs, others)
+    lexicon = build_lexicon([(r.key, r.n) for r in known], pairs, others, top)
     sent, weights = spark.sparkContext.broadcast(lexicon), None
     shards = int(min(MOST_SHARDS, max(1, -(-total // (ROUNDS * SHARD_TOKENS)))))
     mark = F.xxhash64("doc_id", "text")
@@ -332,16 +363,16 @@ def fit(docs: DataFrame, top: int = TOP) -> Model:
 def scores(docs: DataFrame, model: Model) -> DataFrame:
     """What ``lm_scores`` gives, under a fitted model. Words that the model has not seen are scored by their spelling."""
     base, spark = _base(docs), docs.sparkSession
-    sent = spark.sparkContext.broadcast((model.lexicon, model.weights))
+    sent = spark.sparkContext.broadcast((model.lexicon, model.weights, model.others, model.different))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, weights = sent.value
+        lexicon, weights, others, different = sent.value
         net, names = WindowNetwork(lexicon, weights), ["row", "doc_id", "n", "total", "key", "kind", "spelt", "times"]
         kinds, after = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int32(), pa.float64(), pa.int64()], TaskContext.get().partitionId() << 40
         for batch in batches:
             for i, j, data, at in steps(batch.column("text"), _STEP):
                 t = tokens(lexicon, data, at)
-                total = net.log_probability(contexts(t), t.group, t.place)
+                total = net.log_probability(contexts(t), t.group, t.place) + known_words(t, others, different)
                 own = [np.arange(after, after + j - i), batch.column("doc_id").slice(i, j - i), np.bincount(t.row, minlength=j - i), np.bincount(t.row, weights=total, minlength=j - i)]
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(own, kinds, strict=False)] + [pa.nulls(j - i, k) for k in kinds[4:]], names)
                 at_row, *rare = rare_words(t)

@@ -318,7 +318,7 @@ def small_network():
     rank = rng.integers(0, 256, n)
     group = np.where(rng.random(n) < 0.3, lm_score.COMMON_CLASSES + rng.integers(0, lm_score.LENGTH_CLASSES, n), rank // lm_score.CLASS_WORDS)
     common = group < lm_score.COMMON_CLASSES
-    t = lm_score.Tokens(np.repeat([0, 1], [25, 15]), group, np.where(common, rank % lm_score.CLASS_WORDS, 0), np.where(common, rank, lm_score.TOP + rank), rank, np.zeros(n))
+    t = lm_score.Tokens(np.repeat([0, 1], [25, 15]), group, np.where(common, rank % lm_score.CLASS_WORDS, 0), np.where(common, rank, lm_score.TOP + rank), rank, np.zeros(n), np.zeros(n))
     return net, t
 
 
@@ -400,6 +400,10 @@ def test_words_outside_the_most_frequent_are_scored_by_their_counts(spark):
     assert often.log_likelihood - once.log_likelihood == pytest.approx(want, abs=1e-6)
     trained = {r.doc_id: r.log_likelihood for r in lm_score.scores(docs, model).collect() if r.n_tokens}
     assert trained[100] - trained[200] > 3
+    # Whether counts are at hand or come by the join makes no difference.
+    joined = lm_score.fit(docs, 2, 2)
+    assert len(joined.lexicon.keys) == 2 < len(model.lexicon.keys)
+    assert {r.doc_id: r.log_likelihood for r in lm_score.scores(docs, joined).collect() if r.n_tokens} == pytest.approx(trained, rel=1e-5)
 
 
 def test_every_unlabelled_document_teaches(spark, monkeypatch):

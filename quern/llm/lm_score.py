@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import PUNCTUATED, hashed_words, steps, stored, text_column
+from quern.llm.common import PUNCTUATED, hashed_words, mix, steps, stored, text_column
 
 TOP, CLASS_WORDS, BUCKETS = 2048, 64, 512
 #: Words whose counts are sent to every task (16 bytes each). Which these are changes the time only.
@@ -136,7 +136,7 @@ def tokens(lexicon: Lexicon, data: np.ndarray, at: np.ndarray) -> Tokens:
 def rare_words(t: Tokens) -> tuple[np.ndarray, ...]:
     """(row, hash, length, log-probability of the spelling, times) of the different words of each row whose counts aren't known."""
     rare = np.flatnonzero(t.seen == 0)
-    rare = rare[np.lexsort((t.value[rare], t.row[rare]))]
+    rare = rare[np.argsort(t.value[rare] ^ mix(t.row[rare].astype(np.uint64)))]
     new = np.ones(len(rare), bool)
     new[1:] = (t.row[rare][1:] != t.row[rare][:-1]) | (t.value[rare][1:] != t.value[rare][:-1])
     first = np.flatnonzero(new)
@@ -161,21 +161,17 @@ def contexts(t: Tokens) -> np.ndarray:
     return out
 
 
-def _log_chance(o: np.ndarray, row: np.ndarray, column: np.ndarray) -> np.ndarray:
-    """Of each row of log-odds, the log-probability of one column."""
-    top = o.max(1)
-    own = o[row, column] - top
-    o -= top[:, None]
+def _chances(o: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of log-odds, in place, what is in proportion to the probabilities of each row, and the rows' sums. One shift for all rows keeps exp in range."""
+    o -= o.max()
     np.exp(o, out=o)
-    return own.astype(float) - np.log(o.sum(1))
+    return o, o @ np.ones(o.shape[1], o.dtype) + np.float32(1e-37)
 
 
-def _chances(o: np.ndarray) -> np.ndarray:
-    """Probabilities, in place."""
-    o -= o.max(1, keepdims=True)
-    np.exp(o, out=o)
-    o /= o.sum(1, keepdims=True)
-    return o
+def _log_chance(o: np.ndarray, row: np.ndarray, column: np.ndarray) -> np.ndarray:
+    """Of each row of log-odds, the log-probability of one column."""
+    own = o[row, column] - o.max()
+    return own.astype(float) - np.log(_chances(o)[1])
 
 
 class WindowNetwork:
@@ -223,7 +219,8 @@ class WindowNetwork:
         order = np.argsort(group.astype(np.uint8), kind="stable")  # classes then are slices
         around, group, place = around[:, order], group[order], place[order]
         h = self._hidden(around)
-        d = _chances(h @ p["w"] + p["c"])
+        d, total = _chances(h @ p["w"] + p["c"])
+        d /= total[:, None]
         d[np.arange(n), group] -= 1
         dh = d @ p["w"].T
         g = {"e": np.zeros_like(p["e"]), "w": h.T @ d, "c": d.sum(0), "o": np.zeros_like(p["o"]), "d": np.zeros_like(p["d"])}
@@ -232,7 +229,8 @@ class WindowNetwork:
         for c, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
             if a < b:
                 own = h[a:b]
-                d = _chances(own @ p["o"][c].T + p["d"][c])
+                d, total = _chances(own @ p["o"][c].T + p["d"][c])
+                d /= total[:, None]
                 d[each[: b - a], place[a:b]] -= 1
                 g["o"][c], g["d"][c] = d.T @ own, d.sum(0)
                 dh[a:b] += d @ p["o"][c]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quern.storage import drop_stored, stored
 
-__all__ = ["BLANKS", "PUNCTUATED", "STEP_BYTES", "drop_stored", "hashed_words", "let", "mix", "steps", "stored", "string_buffers", "text_column", "words"]
+__all__ = ["BLANKS", "PUNCTUATED", "STEP_BYTES", "drop_stored", "hashed_slices", "hashed_words", "let", "mix", "steps", "stored", "string_buffers", "text_column", "words"]
 
 #: The white space of the word definition, [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\x0c\r"
@@ -45,19 +45,8 @@ PUNCTUATED[[i for i in range(0x21, 0x7F) if not chr(i).isalnum()]] = True
 _ALNUM = np.array([i < 128 and chr(i).isalnum() for i in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
-_BYTE = np.random.default_rng(20240101).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15 | 1
-_POWER: list[np.ndarray] = []
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, at least n of each."""
-    if not _POWER or len(_POWER[0]) < n:
-        size = max(n, STEP_BYTES + 1)
-        inverse = pow(_BASE, -1, 1 << 64)
-        with np.errstate(over="ignore"):
-            _POWER[:] = [np.concatenate([[np.uint64(1)], np.cumprod(np.full(size - 1, x, np.uint64))]).astype(np.uint64) for x in (_BASE, inverse)]
-    return _POWER[0], _POWER[1]
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_FIRST_BYTES = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -68,6 +57,29 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+def hashed_slices(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each non-empty data[start:end]. Eight bytes at a time are mixed with their place, so slices that are
+    made of the same parts in another order, or that only a structure such as a polynomial would confuse, differ."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    size = end - start
+    blocks = (size + 7) >> 3
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), np.dtype("<u8"), padded, strides=(1,))  # the eight bytes from each place on
+    with np.errstate(over="ignore"):
+        if int(blocks.max()) == 1:
+            total = mix(eight[start] & _FIRST_BYTES[size])
+        else:
+            first = np.cumsum(blocks) - blocks
+            place = np.arange(int(blocks.sum())) - np.repeat(first, blocks)
+            left = np.repeat(size, blocks) - 8 * place
+            part = mix(eight[np.repeat(start, blocks) + 8 * place] & _FIRST_BYTES[np.minimum(left, 8)])
+            later = np.flatnonzero(place)
+            part[later] = mix(part[later] ^ place[later].astype(np.uint64) * _ODD)
+            total = np.add.reduceat(part, first)
+        return mix(total + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
 def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and row offsets of a string column; null is empty."""
     column = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
@@ -117,11 +129,6 @@ def hashed_words(data: np.ndarray, at: np.ndarray, lower: bool = True, blanks: n
     if tail is not None:
         cut = (end - start > 1) & tail[data[end - 1]] & _ALNUM[data[end - 2]]
         end = end - cut
-    power, inverse = _powers(n + 1)
-    with np.errstate(over="ignore"):
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[_LOWER[data] if lower else data] * power[:n], out=total[1:])
-        value = (total[end] - total[start]) * inverse[start]
-        value = mix(value + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    value = hashed_slices(_LOWER[data] if lower else data, start, end)
     row = np.searchsorted(at, start, "right") - 1
     return (start, end, row, value) if tail is None else (start, end, row, value, cut)

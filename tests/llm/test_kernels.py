@@ -97,3 +97,18 @@ def test_no_pair_of_words_spans_rows():
 def test_punctuation_parts_words():
     raw = np.frombuffer("Ab,c d-e".encode(), np.uint8)
     assert len(hashed_words(raw, np.array([0, len(raw)]), blanks=PUNCTUATED)[0]) == 4
+
+
+def thue_morse(n: int) -> tuple[str, str]:
+    """Two words that share no place, which every polynomial hash modulo 2**64 confuses."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_structured_words_differ():
+    a, b = thue_morse(2048)
+    blocks = ["abcdefgh", "ijklmnop", "qrstuvwx"]
+    texts = [a, b, "".join(blocks), "".join(blocks[::-1]), "a" * 7, "a" * 8, "a" * 9, "a" * 16, "a\0", "a"]
+    raw = "\n".join(texts).encode()
+    value = hashed_words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[3]
+    assert len(set(value.tolist())) == len(texts)

@@ -17,7 +17,7 @@ from quern.llm.near_dedup import near_duplicates, near_groups
 from quern.sources.tables import load
 
 from .conftest import documents, edge_rows, prose
-from .test_kernels import edit_infix, lowered
+from .test_kernels import edit_infix, lowered, thue_morse
 from .test_native import base_counts, base_secrets, plain_targets
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -111,6 +111,12 @@ def test_near_duplicates_on_edge_rows(edge, no_documents):
     assert [r.component_id for r in got if r.doc_id is None] == [None, None]
 
 
+def test_words_that_polynomial_hashes_confuse_are_not_linked(spark):
+    a, b = thue_morse(2048)
+    rows = [(1, a, "en", "a"), (2, b, "en", "a"), (3, b, "en", "b")]
+    assert {r.doc_id: r.component_id for r in near_duplicates(documents(spark, rows)).collect()} == {1: 1, 2: 2, 3: 2}
+
+
 @pytest.mark.parametrize("contracted", [1 << 20, 1])
 def test_components_of_long_chains_and_hubs(spark, monkeypatch, contracted):
     """In one contraction, and, where a partition contracts each edge by itself, by star rounds over the cluster."""

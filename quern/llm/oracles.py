@@ -43,3 +43,33 @@ limited AS (SELECT lang AS l, source AS s, {_WIDE} FROM (SELECT lang, source, ru
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({_ABOVE}) AS kept, {", ".join(RULES)}, {", ".join(f"{k}_limit" for k in RULES)}
 FROM measured LEFT JOIN limited ON lang IS NOT DISTINCT FROM l AND source IS NOT DISTINCT FROM s
 """
+
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen({0}::VARCHAR) || ':' || {0}::VARCHAR END"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(x) for x in ("doc_id", "source", "lang", "n_chars", "{text}")) + ")"
+#: CRC-32 of a text in ASCII: one step for each byte, and in it one for each bit.
+_BIT = "xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END)"
+_CRC = f"""xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: {_BIT})))"""
+
+MANIFEST = f"""
+WITH RECURSIVE hashed AS (SELECT row_number() OVER () AS r, doc_id, lang, {_LEAF.format(text="text")} AS leaf,
+    CASE WHEN {_CRC} % 3 = 0 THEN {_LEAF.format(text="translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS bad FROM documents),
+leaves AS (SELECT *, dense_rank() OVER (ORDER BY encode(lang) NULLS FIRST) AS tree, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, r) - 1 AS i FROM hashed),
+low(tree, lvl, i, d) AS (SELECT tree, 0, i, leaf FROM leaves UNION ALL
+    SELECT * FROM (SELECT tree, lvl + 1, i // 8 AS j, sha256(string_agg(d, '' ORDER BY i)) FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS n FROM low) WHERE n > 1 GROUP BY tree, lvl, i // 8)),
+subroots AS (SELECT tree, max_by(d, lvl) AS d, max(lvl) AS height FROM low GROUP BY tree),
+high(lvl, i, d) AS (SELECT 0, tree - 1, d FROM subroots UNION ALL
+    SELECT * FROM (SELECT lvl + 1, i // 8 AS j, sha256(string_agg(d, '' ORDER BY i)) FROM (SELECT *, count(*) OVER () AS n FROM high) WHERE n > 1 GROUP BY lvl, i // 8)),
+roots AS (SELECT max_by(d, lvl) AS d FROM high),
+nodes AS (SELECT tree, lvl, i, low.d FROM low JOIN subroots USING (tree) WHERE lvl < height UNION ALL
+    SELECT subroots.tree, height + high.lvl, high.i, high.d FROM high, subroots WHERE high.lvl < (SELECT max(lvl) FROM high)),
+runs AS (SELECT tree, lvl, i, coalesce(string_agg(d, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+    coalesce(string_agg(d, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after FROM nodes WINDOW w AS (PARTITION BY tree, lvl, i // 8 ORDER BY i)),
+places AS (SELECT r, tree, k.lvl, CASE WHEN k.lvl < height THEN i // (8::BIGINT ** k.lvl)::BIGINT ELSE (tree - 1) // (8::BIGINT ** (k.lvl - height))::BIGINT END AS i
+    FROM leaves l JOIN subroots USING (tree), (SELECT DISTINCT lvl FROM nodes) k),
+paths AS (SELECT r, list(before ORDER BY p.lvl) AS b, list(after ORDER BY p.lvl) AS a FROM places p JOIN runs USING (tree, lvl, i) GROUP BY r),
+folds(r, k, d) AS (SELECT r, 0, coalesce(bad, leaf) FROM leaves UNION ALL SELECT f.r, k + 1, sha256(b[k + 1] || d || a[k + 1]) FROM folds f JOIN paths USING (r) WHERE k < len(b)),
+folded AS (SELECT r, max_by(d, k) AS d FROM folds GROUP BY r)
+SELECT doc_id, leaf, s.d AS subroot, roots.d AS root, sha256(array_to_string(list_transform(coalesce(b, []), lambda x, i: x || a[i]), '')) AS proof_sha256, f.d AS folded_root, f.d = roots.d AS verified
+FROM leaves JOIN subroots s USING (tree) JOIN folded f USING (r) LEFT JOIN paths USING (r), roots
+"""

@@ -8,8 +8,9 @@ from quern.llm.cotraining import quality
 from quern.llm.decontamination import contaminated
 from quern.llm.html_extract import extract
 from quern.llm.lm_score import lm_scores
+from quern.llm.merkle import manifest
 from quern.llm.near_dedup import near_duplicates
-from quern.llm.oracles import NEAR_DEDUP, QUALITY_RULES
+from quern.llm.oracles import MANIFEST, NEAR_DEDUP, QUALITY_RULES
 from quern.llm.quality_rules import quality_rules
 from quern.llm.secret_scan import secret_scan
 from quern.llm.source_mix import mix_sources
@@ -18,7 +19,7 @@ from quern.llm.toxicity import toxicity
 from quern.sources.tables import load
 
 QUERIES = {}
-ORACLES = {"op4_near_dedup": NEAR_DEDUP, "op7_quality_rules": QUALITY_RULES}
+ORACLES = {"op4_near_dedup": NEAR_DEDUP, "op7_quality_rules": QUALITY_RULES, "op11_merkle_manifest": MANIFEST}
 
 
 def query(f):
@@ -76,3 +77,8 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest(load(spark, sf_dir, "documents"))

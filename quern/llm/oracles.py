@@ -73,3 +73,21 @@ folded AS (SELECT r, max_by(d, k) AS d FROM folds GROUP BY r)
 SELECT doc_id, leaf, s.d AS subroot, roots.d AS root, sha256(array_to_string(list_transform(coalesce(b, []), lambda x, i: x || a[i]), '')) AS proof_sha256, f.d AS folded_root, f.d = roots.d AS verified
 FROM leaves JOIN subroots s USING (tree) JOIN folded f USING (r) LEFT JOIN paths USING (r), roots
 """
+
+_P = "1 + 1000000000::HUGEINT * ({n} + 1) // ({all} + v)"
+_F = "(p - q) * (p - q) // q"
+
+DIVERGENCE = rf"""
+WITH docs AS (SELECT row_number() OVER () AS r, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+tokens AS (SELECT r, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+kept AS (SELECT lang, term, count(*) AS n FROM tokens GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+langs AS (SELECT lang, count(*) AS v, sum(n) AS n FROM kept GROUP BY lang),
+cells AS (SELECT lang, source, term, count(*) AS n FROM tokens SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+groups AS (SELECT lang, source, coalesce(any_value(v), 0) AS v, coalesce(sum(c.n), 0) AS total FROM (SELECT DISTINCT lang, source FROM docs) LEFT JOIN langs USING (lang) LEFT JOIN cells c USING (lang, source) GROUP BY lang, source),
+rates AS (SELECT g.lang, g.source, term, coalesce(c.n, 0) AS n, {_P.format(n="coalesce(c.n, 0)", all="total")} AS p FROM groups g JOIN kept USING (lang) LEFT JOIN cells c USING (lang, source, term)),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum({_F}) AS value FROM rates a JOIN (SELECT lang, source, term, p AS q FROM rates) b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+tops AS (SELECT lang, source, term AS item, {_F} AS value FROM (SELECT r.*, {_P.format(n="k.n", all="l.n")} AS q FROM rates r JOIN kept k USING (lang, term) JOIN langs l USING (lang) WHERE r.n > 0) WHERE p > q),
+parts AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+    UNION ALL SELECT lang, source, 'term', item, value FROM tops)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM parts) WHERE part = 'pair' OR rank <= 200
+"""

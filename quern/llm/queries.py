@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm.cotraining import quality
 from quern.llm.decontamination import contaminated
+from quern.llm.divergence import divergence
 from quern.llm.html_extract import extract
 from quern.llm.lm_score import lm_scores
 from quern.llm.merkle import manifest
 from quern.llm.near_dedup import near_duplicates
-from quern.llm.oracles import MANIFEST, NEAR_DEDUP, QUALITY_RULES
+from quern.llm.oracles import DIVERGENCE, MANIFEST, NEAR_DEDUP, QUALITY_RULES
 from quern.llm.quality_rules import quality_rules
 from quern.llm.secret_scan import secret_scan
 from quern.llm.source_mix import mix_sources
@@ -19,7 +20,7 @@ from quern.llm.toxicity import toxicity
 from quern.sources.tables import load
 
 QUERIES = {}
-ORACLES = {"op4_near_dedup": NEAR_DEDUP, "op7_quality_rules": QUALITY_RULES, "op11_merkle_manifest": MANIFEST}
+ORACLES = {"op4_near_dedup": NEAR_DEDUP, "op7_quality_rules": QUALITY_RULES, "op11_merkle_manifest": MANIFEST, "op13_source_divergence": DIVERGENCE}
 
 
 def query(f):
@@ -82,3 +83,8 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(load(spark, sf_dir, "documents"))
+
+
+@query
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(load(spark, sf_dir, "documents"))

@@ -8,6 +8,7 @@ from quern.llm.cotraining import quality
 from quern.llm.decontamination import contaminated
 from quern.llm.divergence import divergence
 from quern.llm.html_extract import extract
+from quern.llm.language_id import identify
 from quern.llm.lm_score import lm_scores
 from quern.llm.merkle import manifest
 from quern.llm.near_dedup import near_duplicates
@@ -88,3 +89,8 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence(load(spark, sf_dir, "documents"))
+
+
+@query
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(load(spark, sf_dir, "documents"))

@@ -17,6 +17,7 @@ CONTRACT = {
     "op9_secret_scan": ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
     "op10_decontamination": ["doc_id", "item_id"],
     "op11_merkle_manifest": ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"],
+    "op12_language_id": ["doc_id", "held_out", "lang_pred", "score"],
     "op13_source_divergence": ["lang", "source", "part", "item", "value", "rank"],
 }
 

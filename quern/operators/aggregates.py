@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quern.operators.joins import BROADCAST_ROWS
 from quern.registry import query
 from quern.sources.tables import load
 from quern.storage import stored
@@ -157,25 +156,3 @@ def conv_assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a conversation, its turns in order."""
     turns = F.sort_array(F.collect_list(F.struct("turn", F.concat_ws(": ", "role", "text").alias("line"))))
     return load(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), F.array_join(F.transform(turns, lambda x: x["line"]), "\n").alias("script"))
-
-
-@query("vec_centroid", """SELECT label, i::BIGINT AS position, round(avg(CAST(x AS DOUBLE)), 5) AS mean FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) GROUP BY label, i""")
-def vec_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = load(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("position", "x"))
-    return parts.groupBy("label", F.col("position").cast("bigint").alias("position")).agg(F.round(F.avg(F.col("x").cast("double")), 5).alias("mean"))
-
-
-@query("vec_nearest_label", """WITH means AS (SELECT label, i, avg(CAST(x AS DOUBLE)) AS m FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY label, i),
-    centres AS (SELECT label, list(m ORDER BY i) AS centre FROM means GROUP BY label)
-    SELECT vec_id, e.label, arg_max(c.label, round(list_inner_product(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), centre), 9)) AS nearest FROM embeddings e CROSS JOIN centres c GROUP BY vec_id, e.label""")
-def vec_nearest_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every vector with the label whose centroid has the greatest product with it; the least label of equals. The centroids, a row a label, go into each row as one array."""
-    vectors = load(spark, sf_dir, "embeddings")
-    means = vectors.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    centres = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]).alias("centre"))
-    table = centres.groupBy(F.lit(1).alias("one")).agg(F.collect_list(F.struct("label", "centre")).alias("centres"))
-    if centres.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:  # else the row is shuffled to the vectors
-        table = F.broadcast(table)
-    product = lambda c: F.round(F.aggregate(F.zip_with("embedding", c["centre"], lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x), 9)
-    best = F.array_max(F.transform("centres", lambda c: F.struct(product(c).alias("product"), (-c["label"]).alias("minus"))))
-    return vectors.withColumn("one", F.lit(1)).join(table, "one").select("vec_id", "label", (-best["minus"]).alias("nearest"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quern.registry import query
 from quern.sources.tables import load
@@ -151,24 +150,6 @@ def join_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, ["user_id", "bin"]).filter(within).select("error_id", "purchase_id", "user_id")
 
 
-def as_of(left: DataFrame, right: DataFrame, key: str, time: str, value: str, out: str) -> DataFrame:
-    """Each left row with the value of the last right row of its key at or before its time: one union and one window, no range join."""
-    rows = left.withColumns({"_right": F.lit(0), out: F.lit(None).cast(right.schema[value].dataType)}).unionByName(
-        right.select(key, time, F.col(value).alias(out), F.lit(1).alias("_right")), allowMissingColumns=True
-    )
-    seen = Window.partitionBy(key).orderBy(F.col(time), F.desc("_right"), F.col(out)).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn(out, F.last(out, ignorenulls=True).over(seen)).filter("_right = 0").drop("_right")
-
-
-@query("join_asof", """SELECT e.event_id, e.user_id, (SELECT max(v.event_id) FROM events v WHERE v.event_type = 'view' AND v.user_id = e.user_id AND v.ts = m.t) AS view_id
-    FROM events e LEFT JOIN LATERAL (SELECT max(ts) AS t FROM events v WHERE v.event_type = 'view' AND v.user_id = e.user_id AND v.ts <= e.ts) m ON true WHERE e.event_type = 'purchase'""")
-def join_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = load(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type")
-    purchases = events.filter("event_type = 'purchase'").select("event_id", "user_id", "ts")
-    views = events.filter("event_type = 'view'").select("user_id", "ts", F.col("event_id").alias("id"))
-    return as_of(purchases, views, "user_id", "ts", "id", "view_id").select("event_id", "user_id", "view_id")
-
-
 @query("join_null_safe", """SELECT a.o_orderkey, b.n_name FROM (SELECT o_orderkey, nullif(o_orderkey % 30, 25) AS k FROM orders) a
     JOIN (SELECT n_name, nullif(n_nationkey, 0) AS k FROM nation) b ON a.k IS NOT DISTINCT FROM b.k""")
 def join_null_safe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Window functions and frames, gaps and islands, sorts, limits and set operations."""
+"""Window functions and frames, sorts, limits and set operations."""
 
 from __future__ import annotations
 
@@ -43,11 +43,6 @@ def _sum_over(w, spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "events").select("event_id", F.sum(F.round(F.col("value") * 100).cast("bigint")).over(w).alias("total"))
 
 
-@query("win_running", f"SELECT event_id, (sum({_CENTS}) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))::BIGINT AS total FROM events")
-def win_running(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sum_over(Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0), spark, sf_dir)
-
-
 @query("win_moving", f"SELECT event_id, (sum({_CENTS}) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS 4 PRECEDING))::BIGINT AS total FROM events")
 def win_moving(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sum_over(Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-4, 0), spark, sf_dir)
@@ -65,17 +60,6 @@ def win_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "orders").withColumn("rn", F.row_number().over(w)).filter("rn <= 3").select("o_custkey", "o_orderkey", F.col("rn").cast("bigint").alias("rn"))
 
 
-@query("gaps_islands", """SELECT user_id, session, count(*)::BIGINT AS n, min(event_id) AS first_id, max(event_id) AS last_id FROM (
-    SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS session FROM (
-        SELECT *, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events)) GROUP BY user_id, session""")
-def gaps_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    fresh = F.when(F.col("ts") <= F.lag("ts").over(w) + F.expr("INTERVAL 6 HOURS"), 0).otherwise(1)
-    marked = load(spark, sf_dir, "events").withColumn("fresh", fresh)
-    numbered = marked.withColumn("session", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy("user_id", "session").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"))
-
-
 @query("sort_multi", "SELECT c_custkey, c_mktsegment, c_nationkey FROM customer ORDER BY c_mktsegment DESC NULLS LAST, nullif(c_nationkey, 3) ASC NULLS LAST, c_custkey")
 def sort_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "customer").orderBy(F.desc_nulls_last("c_mktsegment"), F.expr("nullif(c_nationkey, 3)").asc_nulls_last(), "c_custkey").select("c_custkey", "c_mktsegment", "c_nationkey")

@@ -1,7 +1,7 @@
 """The plans that the queries are meant to have."""
 
 from quern import registry
-from quern.operators.joins import as_of
+from quern.operators.ordered import as_of
 
 
 def plan(df) -> str:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,16 +9,14 @@ from quern.registry import query
 from quern.sources.tables import load
 
 
-def text_key(text: Column | str) -> Column:
-    """The signed 64-bit XXH64 of the text's UTF-8 with seed 0; null stays null. The built-in xxhash64 has seed 42, so this runs in Arrow batches."""
-
-    @F.pandas_udf("bigint")
-    def key(x: pd.Series) -> pd.Series:
-        import xxhash
+#: The long whose own hash under Spark's seed is 0, so that what follows it is hashed under seed 0.
+_TO_SEED_0 = -365884300664092260
 
-        return pd.Series([None if t is None else int.from_bytes(xxhash.xxh64_digest(t.encode()), "big", signed=True) for t in x], dtype="Int64")
 
-    return key(text)
+def text_key(text: Column | str) -> Column:
+    """The signed 64-bit XXH64 of the text's UTF-8 with seed 0; null stays null. xxhash64 passes each column's hash on as the next one's seed, so a constant before the text changes the seed from 42."""
+    text = F.col(text) if isinstance(text, str) else text
+    return F.when(text.isNotNull(), F.xxhash64(F.lit(_TO_SEED_0).cast("bigint"), text))
 
 
 @query("fn_text_key")

@@ -43,6 +43,36 @@ def agg_approx_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey", 0.02).alias("parts"))
 
 
+#: Bits of the number of a sketch's registers, and its relative standard error, 1.04 / sqrt(2 ** SKETCH_BITS), three times.
+SKETCH_BITS = 12
+NEAR = 3 * 1.04 / 2 ** (SKETCH_BITS / 2)
+
+
+def distinct_rollup(lines: DataFrame) -> DataFrame:
+    """level, month, flag and estimate: how many parts there are in each month and flag, month, flag, and in all, from sketches of each month and flag that are stored once and then merged; no row is read again."""
+    month = F.date_format("l_shipdate", "yyyy-MM")
+    sketches = stored(lines.groupBy(month.alias("month"), F.col("l_returnflag").alias("flag")).agg(F.hll_sketch_agg("l_partkey", SKETCH_BITS).alias("sketch")), "sketches")
+    count = F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("estimate")
+    levels = [("month, flag", ["month", "flag"]), ("month", ["month"]), ("flag", ["flag"]), ("all", [])]
+    name = lambda keys, k: F.col(k) if k in keys else F.lit(None).cast("string").alias(k)
+    parts = [sketches.groupBy(*keys).agg(count).select(F.lit(level).alias("level"), name(keys, "month"), name(keys, "flag"), "estimate") for level, keys in levels]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+@query("agg_hll_rollup", """SELECT CASE grouping(month) * 2 + grouping(flag) WHEN 0 THEN 'month, flag' WHEN 1 THEN 'month' WHEN 2 THEN 'flag' ELSE 'all' END AS level, month, flag, count(DISTINCT l_partkey)::BIGINT AS parts, true AS near
+    FROM (SELECT strftime(l_shipdate, '%Y-%m') AS month, l_returnflag AS flag, l_partkey FROM lineitem) GROUP BY CUBE (month, flag)""")
+def agg_hll_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact numbers, and whether the merged sketches are within NEAR of them at every level."""
+    lines = load(spark, sf_dir, "lineitem", "l_shipdate", "l_returnflag", "l_partkey")
+    cube = lines.cube(F.date_format("l_shipdate", "yyyy-MM").alias("month"), F.col("l_returnflag").alias("flag")).agg(F.grouping_id().alias("g"), F.count_distinct("l_partkey").alias("parts"))
+    exact = cube.select(F.element_at(F.array(*map(F.lit, ("month, flag", "month", "flag", "all"))), (F.col("g") + 1).cast("int")).alias("level"), "month", "flag", "parts")
+    met = exact.alias("x").join(distinct_rollup(lines).alias("y"), (F.col("x.level") == F.col("y.level")) & F.col("x.month").eqNullSafe(F.col("y.month")) & F.col("x.flag").eqNullSafe(F.col("y.flag")))
+    return met.select("x.level", "x.month", "x.flag", "parts", (F.abs(F.col("estimate") - F.col("parts")) <= F.greatest(F.lit(1.0), NEAR * F.col("parts"))).alias("near"))
+
+
 @query("agg_filter", """SELECT user_id, count(*) FILTER (WHERE event_type = 'purchase')::BIGINT AS purchases, count(*) FILTER (WHERE event_type = 'view')::BIGINT AS views,
     coalesce(sum(CAST(round(value * 100) AS BIGINT)) FILTER (WHERE event_type = 'purchase'), 0)::BIGINT AS spent_cents FROM events GROUP BY user_id""")
 def agg_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

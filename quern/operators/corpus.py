@@ -6,9 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions.text import BLANKS, LOWER, UPPER, Bloom, window_hashes, words
-from quern.operators.joins import small
 from quern.registry import query
-from quern.sources.tables import load
+from quern.sources.tables import load, small
 from quern.storage import stored
 
 _WORDS = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x09-\x0D\x20]+'), lambda x: x <> '')"

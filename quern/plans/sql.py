@@ -23,7 +23,7 @@ sql_query(
 )
 sql_query(
     "lateral",
-    "SELECT c_custkey, x.o_orderkey FROM {customer} c, LATERAL (SELECT o_orderkey FROM {orders} o WHERE o.o_custkey = c.c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 1) x WHERE c_nationkey < 5",
+    "SELECT c_custkey, x.o_orderkey FROM {customer} c, LATERAL (SELECT o_orderkey FROM {orders} o WHERE o.o_custkey = c.c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 1) x",
     tables=("customer", "orders"),
 )
 

@@ -37,10 +37,10 @@ def sql_query(name: str, oracle: str, text: str | None = None, tables: tuple[str
 
 def _register() -> None:
     from quern.functions import hashing, scalars, udf  # noqa: F401
-    from quern.operators import aggregates, corpus, joins, ordered, vectors, windows  # noqa: F401
-    from quern.plans import sql  # noqa: F401
+    from quern.operators import aggregates, corpus, joins, ordered, pages, vectors, windows  # noqa: F401
+    from quern.plans import recursion, sql  # noqa: F401
     from quern.sources import io  # noqa: F401
-    from quern.streaming import events  # noqa: F401
+    from quern.streaming import events, stateful  # noqa: F401
 
 
 _register()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.llm.quality_rules import FENCE, RULES, SKETCH_BITS
+from quern.llm.quality_rules import FENCE, RULES, SKETCH_BITS, above, rate
 
 _WORDS = r"list_filter(string_split_regex(text, '[\x09-\x0D\x20]+'), lambda x: x <> '')"
 
@@ -20,11 +20,10 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = comp
 """
 
 _DROP = f"greatest(length(bin(value)) - {SKETCH_BITS}, 0)"
-_RATES = ", ".join(f"({rule.replace(' DIV ', ' // ')})::BIGINT AS {k}" for k, (rule, _) in RULES.items())
+_RATES = ", ".join(f"({rate(k, '//')})::BIGINT AS {k}" for k in RULES)
 _LONG = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS rule, {k} AS value FROM measured WHERE NOT base_failed" for k in RULES)
-_SPREAD = "CASE rule " + " ".join(f"WHEN '{k}' THEN {least}" for k, (_, least) in RULES.items()) + " END"
 _WIDE = ", ".join(f"max(lim) FILTER (WHERE rule = '{k}')::BIGINT AS {k}_limit" for k in RULES)
-_ABOVE = " OR ".join(f"coalesce({k} > {k}_limit, false)" for k in RULES)
+_ABOVE = " OR ".join(above(k) for k in RULES)
 
 QUALITY_RULES = rf"""
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
@@ -39,7 +38,7 @@ rates AS ({_LONG}),
 sketch AS (SELECT lang, source, rule, (((value >> {_DROP}) + 1) << {_DROP}) - 1 AS bucket, count(*) AS n FROM rates GROUP BY ALL),
 ranked AS (SELECT *, sum(n) OVER (PARTITION BY lang, source, rule ORDER BY bucket) AS seen, sum(n) OVER (PARTITION BY lang, source, rule) AS total FROM sketch),
 quartiles AS (SELECT lang, source, rule, min(bucket) FILTER (WHERE seen >= (total + 3) // 4) AS q1, min(bucket) FILTER (WHERE seen >= (total * 3 + 3) // 4) AS q3 FROM ranked GROUP BY ALL),
-limited AS (SELECT lang AS l, source AS s, {_WIDE} FROM (SELECT lang, source, rule, q3 + greatest({FENCE} * (q3 - q1), {_SPREAD}) AS lim FROM quartiles) GROUP BY lang, source)
+limited AS (SELECT lang AS l, source AS s, {_WIDE} FROM (SELECT lang, source, rule, q3 + {FENCE} * (q3 - q1) AS lim FROM quartiles) GROUP BY lang, source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({_ABOVE}) AS kept, {", ".join(RULES)}, {", ".join(f"{k}_limit" for k in RULES)}
 FROM measured LEFT JOIN limited ON lang IS NOT DISTINCT FROM l AND source IS NOT DISTINCT FROM s
 """

@@ -4,9 +4,10 @@ Every text gets counts of words, symbols, repeated lines, words in repeated wind
 rule's figure is summed into a sketch per language and source: a table of bucket counts, where a bucket holds the values that share their leading
 SKETCH_BITS bits (a log-linear histogram, relative error 2**-(SKETCH_BITS - 1)). Such sketches merge by adding counts, so the
 partial aggregation before the shuffle is the merge, and the result does not depend on how rows are dealt. A group's
-limit is its upper quartile plus FENCE times its interquartile range, and lies at least the rule's least spread above that quartile,
-so that a group in which most figures are equal doesn't lose its clean documents; the documents are joined to their group's
-limits and filtered. No limit is a fixed cutoff: each moves with its group's quantiles.
+limit is its upper quartile plus FENCE times its interquartile range; there is no least spread and no fixed cutoff, so the group's own sketch
+sets every limit. The documents are joined to their group's limits and filtered: one is rejected if its count is above what
+its size times the limit gives by more than chance. Chance is CHANCE standard deviations of a Poisson count, so a short document isn't rejected for one symbol in a
+group that has none, and a long one is for many.
 """
 
 from __future__ import annotations
@@ -22,15 +23,35 @@ MOST_REPEATED_PERCENT = 30
 SYMBOLS = "#*$%&|<>"
 SKETCH_BITS = 7
 FENCE = 3
-#: Rule: (its figure per mille, as SQL over the counts; the least spread). A document above its group's limit is rejected.
+#: Standard deviations that a count may be above its limit, by Poisson's distribution.
+CHANCE = 3
+#: Rule: (what it counts, of how many). A document above its group's limit by more than chance is rejected.
 RULES = {
-    "symbol_rate": ("1000 * n_symbols DIV greatest(n_words, 1)", 250),
-    "dup_line_rate": ("1000 * n_dup_lines DIV greatest(n_lines, 1)", 400),
-    "echo_rate": ("1000 * n_echoes DIV greatest(n_words, 1)", 150),
-    "word_length": ("1000 * word_chars DIV greatest(n_words, 1)", 1500),
+    "symbol_rate": ("n_symbols", "n_words"),
+    "dup_line_rate": ("n_dup_lines", "n_lines"),
+    "echo_rate": ("n_echoes", "n_words"),
+    "word_length": ("word_chars", "n_words"),
 }
 
 
+def rate(rule: str, divide: str = "DIV") -> str:
+    """A rule's figure per mille, as SQL over the counts."""
+    count, size = RULES[rule]
+    return f"1000 * {count} {divide} greatest({size}, 1)"
+
+
+def above(rule: str) -> str:
+    """Whether a count k is above its limit by more than chance, as SQL: k > m + c sqrt(m) + c**2, where m = size * limit / 1000."""
+    count, size = RULES[rule]
+    most = f"CAST({size} AS DOUBLE) * CAST({rule}_limit AS DOUBLE) / 1000"
+    return f"coalesce(CAST({count} AS DOUBLE) > {most} + {CHANCE} * sqrt({most}) + {CHANCE**2}, false)"
+
+
+def _windows(hashes: Column) -> Column:
+    """The hash of each window, from those of its words, which are hashed once."""
+    return F.transform(F.sequence(F.lit(0), F.size(hashes) - WINDOW), lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(WINDOW)]))
+
+
 def _repeated_words(hashes: Column) -> Column:
     """Words covered by the windows whose hash occurs more than once. hashes: one per window start.
 
@@ -55,7 +76,7 @@ def counts(docs: DataFrame) -> DataFrame:
     text = text_column(docs)
     own = {c: docs[c] if c in docs.columns else F.lit(None).cast("string") for c in ("lang", "source")}
     base = docs.select(docs["doc_id"], own["lang"].alias("lang"), own["source"].alias("source"), text.alias("text")).withColumn("w", words("text"))
-    hashed = base.withColumn("h", F.when(F.size("w") >= WINDOW, F.transform(F.sequence(F.lit(1), F.size("w") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("w", i, WINDOW)))).otherwise(F.array().cast("array<bigint>")))
+    hashed = base.withColumn("h", F.when(F.size("w") >= WINDOW, let(F.transform("w", lambda x: F.xxhash64(x)), _windows)).otherwise(F.array().cast("array<bigint>")))
     lines = F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
     return hashed.withColumn("lines", lines).select(
         "doc_id", "lang", "source",
@@ -91,9 +112,7 @@ def limits(measured: DataFrame) -> DataFrame:
             lambda s: s["at"],
         )
 
-    spread = F.create_map(*[F.lit(x) for k, (_, least) in RULES.items() for x in (k, least)])
-    reach = F.greatest(FENCE * (F.col("q3") - F.col("q1")), F.element_at(spread, F.col("rule")).cast("bigint"))
-    return group.select("lang", "source", "rule", quantile(1).alias("q1"), quantile(3).alias("q3")).select("lang", "source", "rule", (F.col("q3") + reach).alias("limit"))
+    return group.select("lang", "source", "rule", quantile(1).alias("q1"), quantile(3).alias("q3")).select("lang", "source", "rule", (F.col("q3") + FENCE * (F.col("q3") - F.col("q1"))).alias("limit"))
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
@@ -104,11 +123,10 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     of which no document passes the base rules has no limits and needs none.
     """
     base = counts(docs).withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words")))
-    measured = stored(base.withColumns({k: F.expr(rule) for k, (rule, _) in RULES.items()}), "counts")
+    measured = stored(base.withColumns({k: F.expr(rate(k)) for k in RULES}), "counts")
     wide = limits(measured).groupBy("lang", "source").agg(*[F.max(F.when(F.col("rule") == k, F.col("limit"))).alias(f"{k}_limit") for k in RULES])
     wide = wide.withColumnsRenamed({"lang": "l", "source": "s"})
     met = measured.join(wide, measured["lang"].eqNullSafe(wide["l"]) & measured["source"].eqNullSafe(wide["s"]), "left")
-    above = F.greatest(*[F.coalesce((F.col(k) > F.col(f"{k}_limit")).cast("int"), F.lit(0)) for k in RULES]) == 1
-    return met.withColumn("kept", ~F.col("base_failed") & ~above).select(
+    return met.withColumn("kept", ~F.col("base_failed") & ~F.expr(" OR ".join(above(k) for k in RULES))).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *RULES, *[f"{k}_limit" for k in RULES]
     )

@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quern.llm.quality_rules import RULES, quality_rules
+from quern.llm.quality_rules import quality_rules
 from quern.llm.secret_scan import ALPHABETS, STEPS, redact, secret_scan
 from quern.llm.source_mix import dual_rates, mix_sources, targets
 from quern.sources.tables import load
@@ -63,7 +63,14 @@ def test_quality_limits_adapt_to_the_group_and_reject_outliers(spark):
     rows += [(200 + i, prose(200 + i, 60) + " $$$" * 20, "en", "code") for i in range(20)]
     got = {r.doc_id: r for r in quality_rules(documents(spark, rows)).collect()}
     assert not got[100].kept and all(got[i].kept for i in range(40)) and all(got[200 + i].kept for i in range(20))
-    assert got[0].symbol_rate_limit == 250 and got[200].symbol_rate_limit >= 700
+    assert got[0].symbol_rate_limit == 0 and got[200].symbol_rate_limit >= 700
+
+
+def test_a_count_above_the_limit_by_chance_is_kept(spark):
+    """Where no document has symbols, a few don't reject one; ten do. In a group whose limit is high, chance follows the document's size."""
+    rows = [(i, prose(i, 60), "en", "plain") for i in range(40)] + [(100 + n, prose(100 + n, 60) + " #" * n, "en", "plain") for n in (1, 9, 10, 30)]
+    got = {r.doc_id: r.kept for r in quality_rules(documents(spark, rows)).collect()}
+    assert all(got[i] for i in range(40)) and [got[100 + n] for n in (1, 9, 10, 30)] == [True, True, False, False]
 
 
 def exact_quantile(values, part):
@@ -80,7 +87,7 @@ def test_quality_limits_are_the_sketch_quantiles(spark):
     cut = lambda v: ((v >> max(0, v.bit_length() - SKETCH_BITS)) + 1 << max(0, v.bit_length() - SKETCH_BITS)) - 1
     values = [cut(x.word_length) for x in got]
     q1, q3 = exact_quantile(values, 1), exact_quantile(values, 3)
-    assert {x.word_length_limit for x in got} == {q3 + max(RULES["word_length"][1], FENCE * (q3 - q1))}
+    assert {x.word_length_limit for x in got} == {q3 + FENCE * (q3 - q1)}
 
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quern.llm.common import mix, steps, text_column
+from quern.sources.tables import small
 
 GRAMS = (1, 2, 3, 4)
 BUCKETS = 1 << 13
@@ -207,8 +208,8 @@ def labelled_sample(docs: DataFrame, most: int = MOST_LABELLED) -> tuple[list[st
     languages = base.select("lang").distinct().count()
     each = max(LEAST_PER_LANGUAGE, most // max(1, languages))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    last = ids.withColumn("rank", rank).filter(F.col("rank") <= each).groupBy("lang").agg(F.max("h").alias("last"))  # a row a language
-    chosen = base.join(last, "lang").filter(F.col("h") <= F.col("last")).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    last = ids.withColumn("rank", rank).filter(F.col("rank") <= each).groupBy("lang").agg(F.max("h").alias("last"))  # a row a language; texts aren't shuffled to meet it
+    chosen = base.join(small(last), "lang").filter(F.col("h") <= F.col("last")).groupBy("lang", "h").agg(F.min("text").alias("text"))
     rows = sorted(chosen.mapInArrow(_profiled, "lang string, h bigint, buckets binary, weights binary").collect(), key=lambda r: (r.lang.encode(), r.h, r.buckets, r.weights))
     rows = [r for r in rows if len(r.buckets)]
     names = sorted({r.lang for r in rows}, key=str.encode)

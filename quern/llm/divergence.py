@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quern.llm.common import drop_stored, steps, stored
+from quern.sources.tables import small
 
 #: Documents of its language that a term must be in.
 LEAST_DOCUMENTS = 3
@@ -31,7 +32,7 @@ TERMS = 200
 #: A rate of 1.
 SCALE = 1_000_000_000
 #: Entries of the sparse matrix in a block, and pairs of sources that one block yields at a time.
-BLOCK, PAIRS = 1 << 20, 1 << 20
+BLOCK, PAIRS = 1 << 17, 1 << 20
 #: Bytes of text that are tokenized at a time; a longer text is a step of its own.
 STEP = 1 << 21
 
@@ -267,7 +268,7 @@ def divergence(docs: DataFrame, block: int = BLOCK, pairs: int = PAIRS) -> DataF
     groups = groups.withColumns({"blocks": F.greatest(F.lit(1), F.ceil(F.col("entries") / block)), "shares": F.ceil(sources * sources / pairs)})
     groups = stored(groups.drop("entries"), "groups")
     shape = groups.select("lang", "blocks", "shares").distinct()  # a row a language
-    dealt = kept.join(shape, "lang").select("lang", F.pmod(F.xxhash64("term"), "blocks").alias("block"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("shares") - 1)).alias("share"), "term", "n", "cells")
+    dealt = kept.join(small(shape), "lang").select("lang", F.pmod(F.xxhash64("term"), "blocks").alias("block"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("shares") - 1)).alias("share"), "term", "n", "cells")
     places = groups.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).withColumn("share", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("shares") - 1)))
 
     def apply(key: tuple, cells: pa.Table, groups: pa.Table) -> pa.Table:

@@ -80,7 +80,7 @@ def doc_stats_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = stored(counted, "stats")
     langs = counted.groupBy(F.col("lang").alias("l")).agg(F.count("*").alias("n"), F.sum("repeats").alias("s"))  # a row a language
     kept = (F.col("n_words") >= FEWEST_WORDS) & (F.col("symbols") <= MOST_SYMBOLS) & (F.col("repeats") * F.col("n") <= 2 * F.col("s"))
-    return counted.join(langs, F.col("lang").eqNullSafe(F.col("l"))).select("doc_id", "lang", "n_words", "symbols", "repeats", kept.alias("kept"))
+    return counted.join(small(langs), F.col("lang").eqNullSafe(F.col("l"))).select("doc_id", "lang", "n_words", "symbols", "repeats", kept.alias("kept"))
 
 
 # --- overlaps with a benchmark ------------------------------------------------------------------------------------------

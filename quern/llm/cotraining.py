@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 from quern.llm.common import drop_stored, hashed_words, steps, stored, text_column
 
 MOST_LABELLED = 4000
-ROUNDS, NEWTON_STEPS, CERTAIN, TAUGHT_WEIGHT = 3, 6, 0.95, 0.5
+CERTAIN, TAUGHT_WEIGHT = 0.95, 0.5
+#: Rounds of teaching at most (labels near the limit of certainty may come and go for ever), and steps of a fit at most; a fit ends once a step is below SETTLED, after about ten.
+ROUNDS, NEWTON_STEPS, SETTLED = 8, 40, 1e-3
 #: Tasks that add up the sums of the others before the driver does.
 MERGES = 8
 SOURCE_BUCKETS, LANG_BUCKETS, LENGTH_STEPS = 64, 16, 16
@@ -188,7 +190,7 @@ def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: DataFram
             f.beta = np.zeros_like(f.beta)  # from saturated weights, Newton's steps would overshoot
         for _ in range(NEWTON_STEPS):
             taught = [tuple((k, g, h) if ok else (0, 0 * g, 0 * h) for ok, (k, g, h) in zip(may, own, strict=True)) for may, own in zip(trusted, _taught(pool, fitted, teachers), strict=True)]
-            if max([f.step(t) for f, t in zip(fitted, taught, strict=True)]) < 1e-3:
+            if max([f.step(t) for f, t in zip(fitted, taught, strict=True)]) < SETTLED:
                 break
         if not any(k for t in taught for k, _, _ in t) or max(np.abs(f.beta - t).max() for f, t in zip(fitted, teachers, strict=True)) < 1e-2:
             break

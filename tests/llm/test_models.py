@@ -428,3 +428,25 @@ def test_the_text_view_keeps_what_the_labels_taught_it(spark):
     marks = [(i, int(i % 16 > 0)) for i in range(0, 1600)]
     got = quality(documents(spark, rows), spark.createDataFrame(marks, "doc_id bigint, quality int")).collect()
     assert all((r.text_score >= 0.5) == (r.doc_id % 16 > 0) for r in got)
+
+
+def test_quality_fits_settle(spark, sf_dir, monkeypatch):
+    """Every round's fit goes on until its steps are small, and the held-aside documents are told apart."""
+    from quern.llm import cotraining
+
+    steps, rounds, was, taught = [], [], cotraining.Logistic.step, cotraining._trusted
+
+    def step(self, labels=()):
+        size = was(self, labels)
+        if labels:
+            steps.append(size)
+        return size
+
+    monkeypatch.setattr(cotraining.Logistic, "step", step)
+    monkeypatch.setattr(cotraining, "_trusted", lambda *x: rounds.append(len(steps)) or taught(*x))
+    docs, labels = load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")
+    scored = {r.doc_id: r.score for r in cotraining.quality(docs, labels).collect()}
+    ends = sorted({n for n in rounds if n} | {len(steps)})
+    assert steps and all(max(steps[n - 2 : n]) < cotraining.SETTLED for n in ends)
+    truth = {r.doc_id: r.quality for r in labels.filter("quality IS NOT NULL").collect()}
+    assert np.mean([(scored[k] >= 0.5) == bool(v) for k, v in truth.items() if k in scored]) > 0.9

@@ -12,7 +12,8 @@ walks over sequences at edit distance d meet again soon after each edit, so the
 the order of d squared at most, whatever the window's length. Each of REPEATS walks is hashed at SAMPLED random
 steps; windows that meet an item in any repeat are candidates, and each is verified by the exact edit distance.
 
-Items of fewer than LEAST_ITEM words leave no room for edits: they are found word for word, by the hash of the whole item.
+Items of fewer than LEAST_ITEM words are found exactly: word for word by the hash of the whole item, and, where their length allows one
+edit, by their first and last pair of words, one of which an edit leaves as it is; the words beside the pair are then compared with the item's.
 Characters of scripts written without blanks count as words.
 """
 
@@ -97,6 +98,7 @@ class Index:
     ids: list[int]
     items: list[np.ndarray]
     short: dict[int, tuple[np.ndarray, np.ndarray]] = field(repr=False)  # by number of words: sorted hashes of whole items, and the items
+    edges: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = field(repr=False)  # by number of words: sorted hashes of first and last pairs, the items, and whether the pair is the last
     vocabulary: np.ndarray  # hashes of pairs of neighbouring words
     member: np.ndarray  # of each pair in the vocabulary and each window size: whether an item of that size has the pair
     sizes: list[int]
@@ -136,6 +138,12 @@ def build_index(ids: list[int], texts: list[str | None]) -> Index:
         value = np.concatenate([sequences(items[k], n) for k in own])
         order = np.argsort(value, kind="stable")
         short[n] = value[order], np.array(own)[order]
+    edges = {}
+    for n, (_, own) in short.items():
+        if edits_allowed(n):
+            pair = np.stack([pairs(items[k])[[0, -1]] for k in own]).T.ravel()
+            order = np.argsort(pair, kind="stable")
+            edges[n] = pair[order], np.tile(own, 2)[order], np.repeat([False, True], len(own))[order]
     known: dict[int, list[tuple[int, int]]] = {}
     for k in long:
         size, starts = windows_of(len(items[k]))
@@ -155,7 +163,7 @@ def build_index(ids: list[int], texts: list[str | None]) -> Index:
     member = np.zeros((len(vocabulary), len(sizes)), bool)
     for k in long:
         member[np.searchsorted(vocabulary, pairs(items[k])), sizes.index(windows_of(len(items[k]))[0])] = True
-    return Index(kept, items, short, vocabulary, member, sizes, every[order], pick(owner), pick(shift))
+    return Index(kept, items, short, edges, vocabulary, member, sizes, every[order], pick(owner), pick(shift))
 
 
 def infix_distance(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
@@ -199,17 +207,54 @@ def _candidates(index: Index, word: np.ndarray, ends: np.ndarray, known: np.ndar
     return found
 
 
-def _windows(index: Index, word: np.ndarray, row: np.ndarray, ends: np.ndarray) -> set[tuple[int, int, int]]:
-    """The candidates of the items that are searched by windows."""
-    if not len(index.vocabulary):
-        return set()
+def _met(pair: np.ndarray, inside: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the pairs inside a row that are among known (sorted), and their first places there."""
     bits = np.zeros(1 << 20, bool)
-    bits[index.vocabulary & np.uint64((1 << 20) - 1)] = True
-    pair = pairs(word)
-    maybe = np.flatnonzero(bits[pair & np.uint64((1 << 20) - 1)] & (row[1:] == row[:-1]))
-    place = np.minimum(np.searchsorted(index.vocabulary, pair[maybe]), len(index.vocabulary) - 1)
-    same = index.vocabulary[place] == pair[maybe]
-    return _candidates(index, word, ends, maybe[same], place[same])
+    bits[known & np.uint64((1 << 20) - 1)] = True
+    maybe = np.flatnonzero(bits[pair & np.uint64((1 << 20) - 1)] & inside)
+    place = np.minimum(np.searchsorted(known, pair[maybe]), len(known) - 1)
+    same = known[place] == pair[maybe]
+    return maybe[same], place[same]
+
+
+def _one_edit(item: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Of each row: whether a stretch of text (a word longer than the item) that begins where the item does is within one edit of it."""
+
+    def whole(same: np.ndarray) -> np.ndarray:
+        """[row, i]: whether all of the first i are the same."""
+        return np.logical_and.accumulate(np.concatenate([np.ones((len(same), 1), bool), same], 1), 1)
+
+    n = item.shape[1]
+    before = whole(item == text[:, :n])
+    after = lambda same: whole(same[:, ::-1])[:, ::-1]
+    changed = before[:, :n] & after(item == text[:, :n])[:, 1:]
+    added = before & after(item == text[:, 1:])
+    left_out = before[:, :n] & after(item[:, 1:] == text[:, : n - 1])
+    return changed.any(1) | added.any(1) | left_out.any(1)
+
+
+def _edited(index: Index, word: np.ndarray, pair: np.ndarray, inside: np.ndarray, bounds: np.ndarray, row: np.ndarray) -> set[tuple[int, int, int]]:
+    """(row, position where the item would begin, item) of the short items that a row may hold with one edit: none is missed."""
+    found: set[tuple[int, int, int]] = set()
+    for n, (keys, own, last) in index.edges.items():
+        items = np.stack([index.items[k] for k in own])
+        at, low = _met(pair, inside, keys)
+        count = np.searchsorted(keys, pair[at], "right") - low
+        until = np.cumsum(count)
+        for a in range(0, int(count.sum()), _WINDOWS_AT_ONCE):
+            # The matches of a pair with each of the items that have it, numbered one after the other.
+            number = np.arange(a, min(a + _WINDOWS_AT_ONCE, int(until[-1])))
+            hit = np.searchsorted(until, number, "right")
+            x = low[hit] + number - (until[hit] - count[hit])
+            p, end = at[hit], last[x]
+            along = np.arange(n + 1)
+            # From a last pair both are read backwards.
+            places = np.where(end[:, None], (p + 1)[:, None] - along, p[:, None] + along)
+            valid = (places >= bounds[row[p]][:, None]) & (places < bounds[row[p] + 1][:, None])
+            text = np.where(valid, word[np.clip(places, 0, len(word) - 1)], _PAD)
+            ok = _one_edit(np.where(end[:, None], items[x, ::-1], items[x]), text)
+            found.update(zip(row[p[ok]].tolist(), np.where(end, p + 2 - n, p)[ok].tolist(), own[x[ok]].tolist(), strict=True))
+    return found
 
 
 def search(index: Index, data: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, int, int, int, int]]:
@@ -228,8 +273,12 @@ def search(index: Index, data: np.ndarray, at: np.ndarray) -> Iterator[tuple[int
             for k in own[lo[p] : hi[p]]:
                 r = int(row[p])
                 best.setdefault((r, int(k)), (0, int(p - bounds[r]), int(p - bounds[r]) + n))
-    for row_end, p, k in _windows(index, word, row, ends):
-        regions.setdefault((int(row[row_end - 1]), k), []).append(p)
+    pair, inside = pairs(word), row[1:] == row[:-1]
+    if len(index.vocabulary):
+        for row_end, p, k in _candidates(index, word, ends, *_met(pair, inside, index.vocabulary)):
+            regions.setdefault((int(row[row_end - 1]), k), []).append(p)
+    for r, p, k in _edited(index, word, pair, inside, bounds, row):
+        regions.setdefault((r, k), []).append(p)
     for (r, k), places in regions.items():
         item = index.items[k]
         most = edits_allowed(len(item))

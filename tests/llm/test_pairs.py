@@ -149,7 +149,7 @@ def planted(spark):
     for i, text, *_ in rows:
         for k, item in items:
             own = re.findall("[a-z0-9]+", (item or "").lower())
-            if k is not None and own and edit_infix(own, re.findall("[a-z0-9]+", text.lower())) <= (edits_allowed(len(own)) if len(own) >= 8 else 0):
+            if k is not None and own and edit_infix(own, re.findall("[a-z0-9]+", text.lower())) <= edits_allowed(len(own)):
                 want.add((i, k))
     return rows, items, want
 
@@ -200,6 +200,19 @@ def test_items_with_all_allowed_edits_are_found(n):
     assert missed == 0
 
 
+@pytest.mark.parametrize("n", [1, 2, 4, 5, 6, 7])
+def test_short_items_equal_brute_force(n):
+    """Few distinct words, so that edits, near misses, repeats and rows' ends meet in every way; several rows and items at once."""
+    r = random.Random(n)
+    some = lambda k: [r.choice("abcd") if r.random() < 0.9 else "e" for _ in range(k)]
+    items = [some(n) for _ in range(30)]
+    rows = [some(r.choice((0, 1, n - 1, n, n + 1, 12))) for _ in range(200)] + [some(2) + item for item in items[::9]]
+    raw = [" ".join(x).encode() for x in rows]
+    got = {(i, k): d for i, k, d, *_ in search(build_index(list(range(30)), [" ".join(x) for x in items]), np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))}
+    want = {(i, k): d for i, x in enumerate(rows) for k, item in enumerate(items) if x and (d := edit_infix(item, x)) <= edits_allowed(n)}
+    assert got == want and (n < 5 or {0, 1} == set(want.values()))
+
+
 def test_benchmark_blocks(spark, monkeypatch):
     from quern.llm import decontamination
 

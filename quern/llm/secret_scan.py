@@ -1,10 +1,10 @@
 """Operator 9: secrets by fixed patterns and by a battery of randomness tests, in DataFrame functions only.
 
 Three base kinds (assign, access, hex) are found by pattern. The method adds kind random: runs of LEAST_LENGTH or more
-characters of [A-Za-z0-9+/_-], with up to two =, that hold a digit and a letter and aren't a base span's. Each run's encoding is inferred (hex, base32,
-base36, base62 or base64), its characters are numbered in that alphabet, and three tests of uniform randomness are made:
-chi-squared over the alphabet, runs above and below the middle, and serial correlation of neighbours. Fisher's method combines
-their p-values into p_random. A fourth p-value speaks for the other side: under the null hypothesis of language, whose letters
+characters of [A-Za-z0-9+/_-], with up to two =, that aren't a base span's. Each run's encoding is inferred (hex, base26, base32,
+base36, base52, base62 or base64), its characters are numbered in that alphabet, and four tests of uniform randomness are made:
+chi-squared over the alphabet (too uneven or too even), runs above and below the middle, runs of letters and of other characters given how
+many there are (which alternation fails), and serial correlation of neighbours. Fisher's method combines their p-values into p_random. A fourth p-value speaks for the other side: under the null hypothesis of language, whose letters
 are so uneven that chi-squared grows with the length (noncentrality of SKEW a character), p_language says how well a run refutes
 it; a short run can hardly do so and a long one can. Language also leaves a small alphabet soon (all letters stay within a-f
 with chance HEX_LETTERS each).
@@ -29,7 +29,8 @@ ASSIGN = "((?i)password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]\\x20*[\"']
 ACCESS = "AKIA[A-Z0-9]{14,}"
 HEX = "[0-9a-f]{16,}"
 #: Values that the base kinds report already are passed over: assignments whole, the others where they fill the run.
-LEAST_LENGTH = 20
+#: The least length at which half of all random base62 runs refute language by themselves (p_language below FALSE_DISCOVERY).
+LEAST_LENGTH = 16
 LONG = f"[A-Za-z0-9+/_-]{{{LEAST_LENGTH},}}"
 RUN = f"{ASSIGN}|{LONG}={{0,2}}"
 REPORTED = "^([0-9a-f]{16,}|AKIA[A-Z0-9]{14,})$"
@@ -43,8 +44,10 @@ SKEW = 0.066
 HEX_LETTERS = 0.317
 ALPHABETS = {
     "hex": "0123456789abcdef",
+    "base26": "abcdefghijklmnopqrstuvwxyz",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
     "base36": "0123456789abcdefghijklmnopqrstuvwxyz",
+    "base52": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
     "base62": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
 }
@@ -103,7 +106,7 @@ def base_spans(docs: DataFrame) -> DataFrame:
     named = F.contains(low, F.lit("passw")) | F.contains(low, F.lit("secret")) | F.contains(low, F.lit("token")) | (F.contains(low, F.lit("api")) & F.contains(low, F.lit("key")))
     none = F.array().cast(SPANS)
     text = F.col("text")
-    runs = F.filter(_found(text, RUN, "random", LONG), lambda x: x["value"].rlike("[0-9]") & x["value"].rlike("[A-Za-z]") & ~x["value"].rlike(REPORTED))
+    runs = F.filter(_found(text, RUN, "random", LONG), lambda x: ~x["value"].rlike(REPORTED))
     return df.select(
         "doc_id",
         F.when(named, _found(text, ASSIGN, "assign")).otherwise(none).alias("assign"),
@@ -125,13 +128,13 @@ def _upper_tail(z: Column) -> Column:
 
 
 def tested(runs: DataFrame) -> DataFrame:
-    """runs: row, start, end, value. Adds encoding, the three tests' p-values, p_random that combines them, and p_language, that of language."""
+    """runs: row, start, end, value. Adds encoding, the four tests' p-values, p_random that combines them, and p_language, that of language."""
     v = F.rtrim(F.col("value"), F.lit("="))
     df = runs.withColumn("v", v).withColumn(
         "encoding",
-        F.when(F.col("v").rlike("^([0-9a-f]+|[0-9A-F]+)$"), "hex").when(F.col("v").rlike("^[A-Z2-7]+$"), "base32").when(F.col("v").rlike("^([0-9a-z]+|[0-9A-Z]+)$"), "base36").when(F.col("v").rlike("^[0-9A-Za-z]+$"), "base62").otherwise("base64"),
+        F.when(F.col("v").rlike("^([0-9a-f]+|[0-9A-F]+)$"), "hex").when(F.col("v").rlike("^([a-z]+|[A-Z]+)$"), "base26").when(F.col("v").rlike("^[A-Z2-7]+$"), "base32").when(F.col("v").rlike("^([0-9a-z]+|[0-9A-Z]+)$"), "base36").when(F.col("v").rlike("^[A-Za-z]+$"), "base52").when(F.col("v").rlike("^[0-9A-Za-z]+$"), "base62").otherwise("base64"),
     )
-    df = df.withColumn("v", F.when(F.col("encoding").isin("hex", "base36"), F.lower("v")).otherwise(F.translate("v", "-_", "+/")))
+    df = df.withColumn("v", F.when(F.col("encoding").isin("hex", "base26", "base36"), F.lower("v")).otherwise(F.translate("v", "-_", "+/")))
     table = F.create_map(*[F.lit(x) for item in ALPHABETS.items() for x in item])
     df = df.withColumn("alphabet", F.element_at(table, F.col("encoding"))).withColumn("k", F.length("alphabet").cast("double")).withColumn("c", F.transform(F.split("v", ""), lambda x: F.instr(F.col("alphabet"), x) - 1))
     n = F.size("c").cast("double")
@@ -141,23 +144,30 @@ def tested(runs: DataFrame) -> DataFrame:
     pairs = F.arrays_zip(F.slice("c", F.lit(1), F.size("c") - 1).alias("a"), F.slice("c", F.lit(2), F.size("c") - 1).alias("b"))
     runs_seen = F.aggregate(pairs, F.lit(1.0), lambda s, x: s + ((x["a"] > mean) != (x["b"] > mean)).cast("double"))
     product = F.aggregate(pairs, F.lit(0.0), lambda s, x: s + (x["a"] - mean) * (x["b"] - mean))
-    df = df.withColumns({"n": n, "chi": F.col("k") * square / n - n, "flips": runs_seen, "product": product})
+    letter = F.transform(F.split("v", ""), lambda x: F.lower(x).between("a", "z"))
+    classes = F.aggregate(F.arrays_zip(F.slice(letter, F.lit(1), F.size("c") - 1).alias("a"), F.slice(letter, F.lit(2), F.size("c") - 1).alias("b")), F.lit(1.0), lambda s, x: s + (x["a"] != x["b"]).cast("double"))
+    letters = F.size(F.filter(letter, lambda x: x)).cast("double")
+    df = df.withColumns({"n": n, "chi": F.col("k") * square / n - n, "flips": runs_seen, "product": product, "classes": classes, "twice": 2 * letters * (n - letters)})
     free, variance = F.col("k") - 1, (F.col("k") * F.col("k") - 1) / 12
     # Wilson and Hilferty's cube root makes chi-squared near normal.
     cube = (F.pow(F.greatest(F.col("chi"), F.lit(0.0)) / free, F.lit(1 / 3)) - (1 - 2 / (9 * free))) / F.sqrt(2 / (9 * free))
     skew = F.greatest(SKEW * F.col("k") - 1, F.lit(0.5)) * F.col("n")
+    # Wald and Wolfowitz's mean and variance of the number of runs, with a continuity correction; runs of one class tell nothing.
+    spread = F.col("twice") * (F.col("twice") - F.col("n")) / (F.col("n") * F.col("n") * (F.col("n") - 1))
+    off = F.greatest(F.abs(F.col("classes") - 1 - F.col("twice") / F.col("n")) - 0.5, F.lit(0.0))
     df = df.withColumns(
         {
-            "p_uniform": _upper_tail(cube),
+            "p_uniform": 2 * _upper_tail(F.abs(cube)),
+            "p_classes": F.when(spread > 0, 2 * _upper_tail(off / F.sqrt(spread))).otherwise(1.0),
             "p_runs": 2 * _upper_tail(F.abs((F.col("flips") - (F.col("n") + 1) / 2) / F.sqrt((F.col("n") - 1) / 4))),
             "p_serial": 2 * _upper_tail(F.abs(F.col("product") / (variance * F.sqrt(F.col("n") - 1)))),
             "p_language": _upper_tail(-(F.col("chi") - free - skew) / F.sqrt(2 * free + 4 * skew)) * F.when(F.col("encoding") == "hex", F.pow(F.lit(HEX_LETTERS), F.length(F.translate("v", "0123456789", "")))).otherwise(1.0),
         }
     )
-    # Minus the sum of logarithms is Gamma-distributed with shape 3, whose upper tail has a closed form.
-    surprise = sum((-F.log(F.greatest(F.least(p, F.lit(1.0)), F.lit(1e-100))) for p in ("p_uniform", "p_runs", "p_serial")), F.lit(0.0))
-    df = df.withColumn("surprise", surprise).withColumn("p_random", F.exp(-F.col("surprise")) * (1 + F.col("surprise") + F.col("surprise") * F.col("surprise") / 2))
-    return df.select("row", "start", "end", "value", "encoding", "n", "p_uniform", "p_runs", "p_serial", "p_random", "p_language")
+    # Minus the sum of logarithms is Gamma-distributed with shape 4, whose upper tail has a closed form.
+    surprise = sum((-F.log(F.greatest(F.least(p, F.lit(1.0)), F.lit(1e-100))) for p in ("p_uniform", "p_runs", "p_classes", "p_serial")), F.lit(0.0))
+    df = df.withColumn("surprise", surprise).withColumn("p_random", F.exp(-F.col("surprise")) * sum((F.pow("surprise", F.lit(float(i))) / math.factorial(i) for i in (1, 2, 3)), F.lit(1.0)))
+    return df.select("row", "start", "end", "value", "encoding", "n", "p_uniform", "p_runs", "p_classes", "p_serial", "p_random", "p_language")
 
 
 def _significant(tests: DataFrame, p: str) -> tuple[Column, Column]:

@@ -27,6 +27,8 @@ BLOCK = frozenset(
 )
 VOID = frozenset("area base br col embed frame hr img input keygen link meta param source track wbr".split())
 RAW = frozenset("script style noscript template svg math iframe object canvas video audio textarea head title select datalist noframes".split())
+#: Those whose content is markup, so that one may hold another of its name.
+NESTED = frozenset("svg math template object canvas video audio".split())
 ASIDE = frozenset("nav footer aside menu button dialog search".split())
 CLOSES_P = BLOCK - {"body", "html", "button"}
 TITLED = tuple("p h1 h2 h3 h4 h5 h6 li td th dt dd pre blockquote figcaption caption summary legend address".split())
@@ -37,7 +39,8 @@ NEUTRAL = ("html", "body", "article", "main")
 HINT = frozenset(
     "ad ads advert adverts advertisement adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice newsletter subscribe subscription signup login sidebar menu nav navbar navigation breadcrumb breadcrumbs pagination pager comment comments commentlist reply replies respond discussion disqus share sharing social related recommended trending widget toolbar footer masthead popup modal overlay copyright disclaimer complementary contentinfo".split()
 )
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[A-Za-z][^>]*(?:>|\Z)", re.S)
+#: In attributes only what follows = may open a quote.
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)>|<[!?/][^>]*(?:>|\Z)|<[A-Za-z][^>]*(?:>|\Z)", re.S)
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 LABEL = re.compile(r"\bdata-main=\"?([01])")
 FEATURES = ("words", "link_density", "plain", "words_before", "link_density_before", "plain_before", "words_after", "link_density_after", "plain_after", "in_aside", "in_article", "heading", "in_list", "hinted")
@@ -143,6 +146,18 @@ class _Reader:
                 self.labels.pop()
 
 
+def closing(page: str, at: int, name: str) -> re.Match | None:
+    """The tag that closes the element of that name which began before at."""
+    if name not in NESTED:
+        return re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+    depth = 1
+    for m in re.compile(rf"<(/?){name}\b(?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+(?:>|\Z)", re.I).finditer(page, at):
+        depth += -1 if m[1] else not m[0].endswith("/>")
+        if not depth:
+            return m
+    return None
+
+
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page in order, references decoded and white space collapsed."""
     reader, at, n = _Reader(), 0, len(page)
@@ -155,7 +170,7 @@ def blocks(page: str) -> list[Block]:
         name = m[2].lower()
         if name in RAW and not m[1]:
             if not m[3].endswith("/"):
-                end = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+                end = closing(page, at, name)
                 # A head that is never closed ends where the body begins.
                 end = end or (re.compile(r"(?=<body\b)", re.I).search(page, at) if name == "head" else None)
                 at = end.end() if end else n

@@ -123,7 +123,18 @@ def test_names_decide_nothing_alone():
     assert html_extract.main_text(page, tree) == f"T\n{long}"
 
 
-@pytest.mark.parametrize("part", ["<p><span>x ", "<div><a>x", "<ul><li>x", "</b>", "<p>x", "<li><ul><b>", '<a "', "<!-- ", "<form>"])
+def test_quotes_open_after_an_equals_sign_only_and_drawings_nest():
+    tree = html_extract.trained()
+    long = "The notes of that year fill four large boxes in the archive of the town and nobody has read all of them since."
+    read = lambda inner: html_extract.main_text(f"<article><h1>T</h1>{inner}</article>", tree)
+    assert read(f"<p title=don't>{long}</p><p>It isn't over: {long}</p>") == f"T\n{long}\nIt isn't over: {long}"
+    assert read(f'<p title = "a > b" data-x=\'<p>"\'>{long}</p><p 5" wide>{long}</p>') == f"T\n{long}\n{long}"
+    assert read(f"<svg width=1><g/><svg/><svg><text>no</text></svg><text>leak</text></svg><p>{long}</p>") == f"T\n{long}"
+    assert read(f"<template><template>no</template>leak</template><script>'</script x><p>{long}</p>") == f"T\n{long}"
+    assert read(f'<svg title="</svg>"><text>leak</text></svg><p>{long}</p>') == f"T\n{long}"
+
+
+@pytest.mark.parametrize("part", ["<p><span>x ", "<div><a>x", "<ul><li>x", "</b>", "<p>x", "<li><ul><b>", '<a "', "<!-- ", "<form>", '<a x="', "<a x='\">", "<svg>", "<svg x='", '= "<p x=">'])
 def test_reading_takes_linear_time(part):
     tree, took = html_extract.trained(), []
     for n in (200_000, 800_000):

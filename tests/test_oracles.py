@@ -7,7 +7,7 @@ import xxhash
 import __spark_entry__ as entry
 from quern import registry
 from quern.functions.hashing import text_key
-from quern.operators.aggregates import exact_quantiles
+from quern.operators.aggregates import NEAR, distinct_rollup, exact_quantiles
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
@@ -21,6 +21,13 @@ def test_approximate_distinct_is_near_the_exact_count(spark, sf_dir):
     assert all(abs(rough[k] - exact[k]) <= 0.08 * exact[k] for k in exact)
 
 
+def test_rolled_up_sketches_of_hard_keys(spark):
+    """Keys that sketches of 4096 registers count 5.3 % wrong, the worst of 1600 such sets."""
+    lines = spark.range(1455, 1600 * 13_000, 1600, 8).selectExpr("id AS l_partkey", "TIMESTAMP_NTZ '2024-01-01' AS l_shipdate", "'A' AS l_returnflag")
+    got = distinct_rollup(lines).collect()
+    assert len(got) == 4 and all(abs(r.estimate - 13_000) <= NEAR * 13_000 for r in got)
+
+
 def test_entry_gives_rows(spark):
     assert entry.entry(spark).count() > 0
 

@@ -76,23 +76,24 @@ def sessions(df: DataFrame, key: str, time: str, tie: str, gap: str, out: str) -
     return _carried(numbered, carries, key).withColumn(out, F.col(out) + F.col(_CARRY)).drop(_SLICE, _CARRY)
 
 
-def sums_above(left: DataFrame, value: str, right: DataFrame, other: str, sums: dict[str, str]) -> DataFrame:
+def sums_above(left: DataFrame, value: str, right: DataFrame, other: str, sums: dict[str, str], by: tuple[str, str] | None = None) -> DataFrame:
     """The inequality join right.other > left.value, aggregated: left with the number of right rows above each row's value (``matches``), and the sum of each column of ``sums`` over them.
 
-    Both sides become one row for each distinct value, dealt by ranges. Ranges that lie above a row's own count by their totals, and only the own
-    range is scanned, so the work is that of sorting both sides once, not that of comparing all pairs. A null value is below and above nothing.
+    With ``by``, a left and a right column, only right rows whose column equals the left row's count; a null equals nothing. Both sides become one row for each distinct key and value, dealt by ranges, so a key may lie in many.
+    Ranges of the key that lie above a row's own count by their totals, and only the own range is scanned, so the work is that of sorting both sides once, not that of comparing all pairs. A null value is below and above nothing.
     """
     names = ["matches", *sums.values()]
-    totals = right.filter(F.col(other).isNotNull()).groupBy(F.col(other).alias("_v")).agg(F.count("*").alias("matches"), *[F.coalesce(F.sum(c), F.lit(0)).alias(n) for c, n in sums.items()])
-    asked = left.select(F.col(value).alias("_v")).filter("_v IS NOT NULL").distinct().withColumn("_asks", F.lit(1)).withColumns({n: F.lit(0).cast(totals.schema[n].dataType) for n in names})
-    at = sliced(totals.withColumn("_asks", F.lit(0)).unionByName(asked), "_v")
-    parts = at.groupBy(_SLICE).agg(*[F.sum(n).alias(n) for n in names])
-    higher = Window.orderBy(F.desc(_SLICE)).rowsBetween(Window.unboundedPreceding, -1)  # one row a range
-    beyond = parts.select(F.col(_SLICE).alias("_of"), *[F.coalesce(F.sum(n).over(higher), F.lit(0)).alias(f"_{n}") for n in names])
-    upto = Window.partitionBy(_SLICE).orderBy(F.desc("_v"), F.desc("_asks")).rowsBetween(Window.unboundedPreceding, 0)  # a row that asks comes before its equals
-    local = at.select("_v", "_asks", _SLICE, *[F.sum(n).over(upto).alias(n) for n in names]).filter("_asks = 1")
-    found = local.join(beyond, F.col(_SLICE) == F.col("_of")).select("_v", *[(F.col(n) + F.col(f"_{n}")).alias(n) for n in names])
-    return left.join(found, F.col(value) == F.col("_v"), "left").drop("_v").na.fill(0, names)
+    of_left, of_right = (F.col(x) for x in by) if by else (F.lit(0), F.lit(0))
+    totals = right.select(of_right.alias("_k"), F.col(other).alias("_v"), *sums).filter("_k IS NOT NULL AND _v IS NOT NULL").groupBy("_k", "_v").agg(F.count("*").alias("matches"), *[F.coalesce(F.sum(c), F.lit(0)).alias(n) for c, n in sums.items()])
+    asked = left.select(of_left.alias("_k"), F.col(value).alias("_v")).filter("_k IS NOT NULL AND _v IS NOT NULL").distinct().withColumn("_asks", F.lit(1)).withColumns({n: F.lit(0).cast(totals.schema[n].dataType) for n in names})
+    at = sliced(totals.withColumn("_asks", F.lit(0)).unionByName(asked), "_k", "_v")
+    parts = at.groupBy("_k", _SLICE).agg(*[F.sum(n).alias(n) for n in names])
+    higher = Window.partitionBy("_k").orderBy(F.desc(_SLICE)).rowsBetween(Window.unboundedPreceding, -1)  # one row a key and range
+    beyond = parts.select(F.col("_k").alias("_key"), F.col(_SLICE).alias("_of"), *[F.coalesce(F.sum(n).over(higher), F.lit(0)).alias(f"_{n}") for n in names])
+    upto = Window.partitionBy("_k", _SLICE).orderBy(F.desc("_v"), F.desc("_asks")).rowsBetween(Window.unboundedPreceding, 0)  # a row that asks comes before its equals
+    local = at.select("_k", "_v", "_asks", _SLICE, *[F.sum(n).over(upto).alias(n) for n in names]).filter("_asks = 1")
+    found = local.join(beyond, (F.col("_k") == F.col("_key")) & (F.col(_SLICE) == F.col("_of"))).select("_k", "_v", *[(F.col(n) + F.col(f"_{n}")).alias(n) for n in names])
+    return left.join(found, (of_left == F.col("_k")) & (F.col(value) == F.col("_v")), "left").drop("_k", "_v").na.fill(0, names)
 
 
 _CENTS = "CAST(round(value * 100) AS BIGINT)"

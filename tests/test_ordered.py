@@ -1,6 +1,7 @@
 """Scans with carries against plain Python: one key with nearly all rows, ties, nulls, and ranges that cut keys anywhere."""
 
 import random
+import re
 
 import pytest
 
@@ -88,6 +89,25 @@ def test_sums_above(spark, ranges):
     assert {x.i: (x.matches, x.total) for x in sums_above(a, "v", b, "o", {"a": "total"}).collect()} == want
 
 
+def test_sums_above_within_a_key(spark, ranges):
+    """Few keys, one with nearly all rows; null keys meet nothing, and a key of one side alone has no matches."""
+    r = random.Random(6)
+    draw = lambda: (r.choice([1, 1, 1, 1, 2, None]), r.choice([None, float("nan"), *map(float, range(25))]))
+    left = [(i, *draw()) for i in range(80)] + [(80, 3, 1.0)]
+    right = [(*draw(), r.choice([None, 1, 10])) for _ in range(300)] + [(4, 9.0, 1)]
+    above = lambda o, v: (o > v or o != o) and v == v  # noqa: E731  NaN is above all numbers
+    met = {i: [a for q, o, a in right if None not in (k, v, o) and q == k and above(o, v)] for i, k, v in left}
+    a, b = spark.createDataFrame(left, "i int, k int, v double"), spark.createDataFrame(right, "q int, o double, a bigint")
+    got = sums_above(a, "v", b, "o", {"a": "total"}, by=("k", "q"))
+    assert {x.i: (x.matches, x.total) for x in got.collect()} == {i: (len(m), sum(x or 0 for x in m)) for i, m in met.items()} and got.columns == ["i", "k", "v", "matches", "total"]
+
+
+def test_theta_makes_no_pairs(spark, sf_dir):
+    """Suppliers and customers meet only as sums, so the plan has no join with an inequality."""
+    text = plan(registry.QUERIES["join_theta"](spark, sf_dir))
+    assert "acctbal" in text and not re.search(r"Join.*acctbal#\d+ [<>]", text)
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "k int, t timestamp, i int, v bigint")
     assert running_sum(none, "k", ["t", "i"], "v", "out").collect() == []

@@ -24,6 +24,9 @@ sql_query(
 sql_query(
     "lateral",
     "SELECT c_custkey, x.o_orderkey FROM {customer} c, LATERAL (SELECT o_orderkey FROM {orders} o WHERE o.o_custkey = c.c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 1) x",
+    # Spark turns ORDER BY and LIMIT of a lateral subquery into a row number without an order, over sorted rows that a shuffle then mixes. So the order is the window's own, with nulls where DuckDB has them.
+    text="""SELECT c_custkey, x.o_orderkey FROM {customer} c, LATERAL (SELECT o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC NULLS LAST, o_orderkey ASC NULLS LAST) AS place FROM {orders}) o
+    WHERE o.o_custkey = c.c_custkey AND place = 1) x""",
     tables=("customer", "orders"),
 )
 
